@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +24,22 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is what ``spark.checkpoint.dir`` names; only where the session
     names none (local tests) a temporary folder is set.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+    return context.getCheckpointDir()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it again."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def small_join(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = 50_000) -> DataFrame:
@@ -127,11 +139,14 @@ def text_blocks(column: pa.Array, max_bytes: int = 1 << 20):
         lo = hi
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE_BYTES, fold: bool = True):
-    """Per word of a block: hash, row within the block, first byte, end byte. Words never cross rows."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE_BYTES, fold: bool = True, prefixes: tuple[int, ...] = ()):
+    """Per word of a block: hash, row within the block, first byte, end byte. Words never cross rows.
+
+    With ``prefixes`` the hash is an array of rows (word, its first k bytes for each k); 0 stands where a word is no longer than k.
+    """
     if not len(data):
         none = np.zeros(0, np.int64)
-        return none.view(np.uint64), none, none, none
+        return none.view(np.uint64) if not prefixes else np.zeros((0, 1 + len(prefixes)), np.uint64), none, none, none
     inside = ~separators[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
@@ -144,7 +159,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray =
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((_FOLDED if fold else _PLAIN)[data] * up[: len(data)], dtype=np.uint64, out=sums[1:])
     row = np.searchsorted(offsets, start, "right") - 1
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)), row, start, end
+    hashes = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    if prefixes:
+        cuts = [np.where(end - start > k, mix((sums[np.minimum(start + k, len(data))] - sums[start]) * down[start] + np.uint64((k << 32) + 1)), np.uint64(0)) for k in prefixes]
+        hashes = np.stack([hashes, *cuts], axis=1)
+    return hashes, row, start, end
 
 
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
