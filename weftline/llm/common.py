@@ -59,6 +59,11 @@ def space_words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often and within whatever lambdas the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ranked(df: DataFrame, group: list[str], order: list, rank: str, buckets: int, spread: Column) -> DataFrame:
     """Gapless ranks from 0 within ``group``, without putting a group into one task.
 

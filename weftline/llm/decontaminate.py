@@ -36,9 +36,10 @@ def words(text: Column) -> Column:
 
 def shingles(column: str, width: int) -> Column:
     """Hashes of all runs of ``width`` words of an array column."""
-    whole = F.sequence(F.lit(0), F.size(column) - width)
-    runs = F.transform(whole, lambda i: F.xxhash64(F.lit(width), *[F.get(F.col(column), i + k) for k in range(width)]))
-    return F.when(F.size(column) >= width, runs).otherwise(F.array().cast("array<long>"))
+    def runs(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: F.xxhash64(F.lit(width), *[F.get(w, i + k) for k in range(width)]))
+
+    return F.when(F.size(column) >= width, common.let(F.col(column), runs)).otherwise(F.array().cast("array<long>"))
 
 
 def windows(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
