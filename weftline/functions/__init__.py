@@ -1 +1,62 @@
+"""Scalar functions as Column expressions."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def parse_size(text: Column) -> Column:
+    """Bytes of a size such as ``12345``, ``1k`` or ``2Gb`` (powers of 1024); -1 if it isn't one."""
+    number = F.regexp_extract(F.lower(text), r"^([0-9]+)(?:([kmgtp])b?)?$", 1)
+    unit = F.regexp_extract(F.lower(text), r"^([0-9]+)(?:([kmgtp])b?)?$", 2)
+    factor = F.lit(1).cast("decimal(20,0)")
+    for power, letter in enumerate("kmgtp", 1):
+        factor = F.when(unit == letter, F.lit(1024**power).cast("decimal(20,0)")).otherwise(factor)
+    return F.when(number == "", F.lit(-1).cast("decimal(38,0)")).otherwise((number.cast("decimal(18,0)") * factor).cast("decimal(38,0)"))
+
+
+def format_size(size: Column, unit: int, suffix: str) -> Column:
+    """Whole units above one unit, else two decimals without trailing zeros."""
+    small = F.regexp_replace(F.regexp_replace(F.format_string("%.2f", size.cast("double") / unit), "0+$", ""), r"\.$", "")
+    return F.concat(F.when(size > unit, F.floor(size / unit).cast("long").cast("string")).otherwise(small), F.lit(suffix))
+
+
+def pretty_size(size: Column) -> Column:
+    """In g above a GiB, in m above a MiB, else in k."""
+    return F.when(size > 1 << 30, format_size(size, 1 << 30, "g")).when(size > 1 << 20, format_size(size, 1 << 20, "m")).otherwise(format_size(size, 1 << 10, "k"))
+
+
+def quote(text: Column) -> Column:
+    """A shell argument: as it is, in single quotes, or with specials escaped, by what it holds."""
+    has_quote, has_special = text.contains("'"), text.rlike(r"""[ "$`\\!*?()<>|&;#~\[\]{}]""")
+    return (
+        F.when(~has_quote & ~has_special, text)
+        .when(~has_quote, F.concat(F.lit("'"), text, F.lit("'")))
+        .when(~has_special, F.regexp_replace(text, "'", r"\\'"))
+        .otherwise(F.regexp_replace(text, r"""([ '"$`\\!*?()<>|&;#~\[\]{}])""", r"\\$1"))
+    )
+
+
+def pad(number: Column, width: int, suffix: str) -> Column:
+    """Zero-padded to ``width``; longer numbers keep all digits."""
+    text = number.cast("string")
+    return F.concat(F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, "0")), F.lit(suffix))
+
+
+def words_in_line(line: Column) -> Column:
+    """Pieces between single spaces, without trailing empty ones; 1 for an empty line, 0 for one of spaces alone."""
+    return F.when(line == "", 1).when(F.rtrim(line) == "", 0).otherwise(F.size(F.split(F.rtrim(line), " ")))
+
+
+def human_name(name: Column) -> Column:
+    """Camel case to words."""
+    return F.regexp_replace(name, r"(?<=[A-Z])(?=[A-Z][a-z])|(?<=[^A-Z])(?=[A-Z])|(?<=[A-Za-z])(?=[^A-Za-z])", " ")
+
+
+def replace_extension(path: Column, extension: str) -> Column:
+    return F.concat(F.regexp_replace(path, r"\.[^./]*$", ""), F.lit(extension))
+
+
+def round_half_up(x: Column) -> Column:
+    return F.floor(x + 0.5).cast("long")

@@ -1 +1,103 @@
+"""Record-level operators on DataFrames. Those that stand for external tools are this library's own definitions."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def failed_filters(limits: dict[str, Column]) -> Column:
+    """Comma-joined names of the conditions that don't hold; empty if all do. A null condition fails."""
+    return F.array_join(F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in limits.items()])), ",")
+
+
+def differ(a: Column, b: Column) -> Column:
+    return ~a.eqNullSafe(b)
+
+
+def region(name: Column, start: Column, end: Column) -> Column:
+    return F.format_string("%s:%d-%d", name, start - 1, end)
+
+
+def mask_ambiguous(text: Column) -> Column:
+    return F.regexp_replace(F.upper(text), "[KMRYSWBVHDX]", "N")
+
+
+def mark_duplicates(df: DataFrame, key: list[str], best: list) -> DataFrame:
+    """Add is_dup: all but the best row of a key."""
+    return df.withColumn("is_dup", F.row_number().over(Window.partitionBy(*key).orderBy(*best)) > 1)
+
+
+def in_bins(df: DataFrame, lo: Column, hi: Column, width: int) -> DataFrame:
+    """One row for each bin of ``width`` that [lo, hi] touches."""
+    return df.withColumn("bin", F.explode(F.sequence(F.floor(lo / width), F.floor(hi / width))))
+
+
+def overlap_join(points: DataFrame, point: str, intervals: DataFrame, lo: str, hi: str, width: int = 64, how: str = "inner") -> DataFrame:
+    """Points within intervals: an equi-join on bins, then the exact bounds."""
+    intervals = in_bins(intervals, F.col(lo), F.col(hi), width)
+    points = points.withColumn("bin", F.floor(F.col(point) / width))
+    return points.join(intervals, (points["bin"] == intervals["bin"]) & F.col(point).between(F.col(lo), F.col(hi)), how)
+
+
+def split_at_bands(df: DataFrame, lo: str, hi: str, band: int) -> DataFrame:
+    """Intervals cut at multiples of ``band``."""
+    out = in_bins(df, F.col(lo), F.col(hi), band)
+    return out.withColumn(lo, F.greatest(F.col(lo), F.col("bin") * band)).withColumn(hi, F.least(F.col(hi), F.col("bin") * band + band - 1)).drop("bin")
+
+
+def merge_intervals(df: DataFrame, lo: str, hi: str, contig: list[str] | None = None, gap: int = 0) -> DataFrame:
+    """Islands of overlapping intervals, within each contig."""
+    contig = contig or []
+    over = Window.partitionBy(*contig).orderBy(lo, hi)
+    before = F.max(hi).over(over.rowsBetween(Window.unboundedPreceding, -1))
+    marked = df.withColumn("_new", F.when(F.col(lo) <= before + gap, 0).otherwise(1))
+    numbered = marked.withColumn("_island", F.sum("_new").over(over.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*contig, "_island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).drop("_island")
+
+
+def pack(sizes: DataFrame, order: str, size: str, most: int, group: list[str] | None = None) -> DataFrame:
+    """Greedy bins of a group's rows in order: a bin closes when the next row would exceed ``most``; a larger row sits alone.
+
+    A group is folded by one task, as the order makes it sequential.
+    """
+    import pandas as pd
+
+    schema = ", ".join(f"{n} {t}" for n, t in sizes.dtypes) + ", bin long"
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        bins, total, number = [], 0, 0
+        rows = rows.sort_values(order)
+        for x in rows[size]:
+            if total and total + x > most:
+                number, total = number + 1, 0
+            total += x
+            bins.append(number)
+        return rows.assign(bin=bins)
+
+    return sizes.groupBy(*(group or [])).applyInPandas(fold, schema)
+
+
+def nearest(observed: DataFrame, known: DataFrame, value: str, target: str, most: int, margin: int) -> DataFrame:
+    """(value, best, dist) of the closest known string within ``most`` edits, if the runner-up is ``margin`` further.
+
+    Within one edit, strings share the text without one letter, so candidates meet by an equi-join on those; ``most`` is 1 at most.
+    """
+    if most > 1:
+        raise ValueError("at most one edit")
+
+    def keys(df: DataFrame, c: str) -> DataFrame:
+        without = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
+        return df.select(c, F.explode(F.array_distinct(F.concat(F.array(c), without))).alias("_key"))
+
+    pairs = keys(observed.select(value).distinct(), value).join(keys(known.select(target).distinct(), target), "_key").select(value, target).distinct()
+    pairs = pairs.withColumn("dist", F.levenshtein(value, target))
+    ranked = pairs.groupBy(value).agg(F.sort_array(F.collect_list(F.struct("dist", target))).alias("near"))
+    first, second = F.col("near")[0], F.get("near", F.lit(1))
+    return ranked.where((first["dist"] <= most) & (second.isNull() | (second["dist"] - first["dist"] >= margin))).select(value, first[target].alias("best"), first["dist"].alias("dist"))
+
+
+def majority(df: DataFrame, group: list[str], value: str, out: str) -> DataFrame:
+    """The most frequent value of a group; the least among equals."""
+    counts = df.groupBy(*group, value).count()
+    return counts.groupBy(*group).agg(F.min_by(value, F.struct(-F.col("count"), value)).alias(out))

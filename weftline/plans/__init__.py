@@ -1 +1 @@
-
+"""Composition: scatter and gather, dependency graphs, typed pipes."""

@@ -1 +1,46 @@
+"""Readers and writers of tabular text formats, as plain Spark sources."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """A tab-separated metrics file with ``#`` comments and a header."""
+    return spark.read.csv(path, sep="\t", header=True, comment="#", inferSchema=True)
+
+
+def read_intervals(spark: SparkSession, path: str) -> DataFrame:
+    """(contig, start, end): an interval list; lines that begin with ``@`` are its header."""
+    parts = F.split("value", "\t")
+    lines = spark.read.text(path).where(~F.col("value").startswith("@") & (F.col("value") != ""))
+    return lines.select(parts[0].alias("contig"), parts[1].cast("int").alias("start"), parts[2].cast("int").alias("end"))
+
+
+def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """(contig, start, end): one interval for each sequence named in a header."""
+    lines = spark.read.text(path).where(F.col("value").startswith("@SQ"))
+    return lines.select(F.regexp_extract("value", r"\tSN:([^\t]*)", 1).alias("contig"), F.lit(1).alias("start"), F.regexp_extract("value", r"\tLN:(\d+)", 1).cast("int").alias("end"))
+
+
+def sample_names(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, sample) in order from a variant file's column header."""
+    header = spark.read.text(path).where(F.col("value").startswith("#CHROM")).select(F.split("value", "\t").alias("c"))
+    return header.select(F.posexplode(F.slice("c", 10, 1 << 30)).alias("pos", "sample"))
+
+
+def log_contains(spark: SparkSession, path: str, token: str) -> bool:
+    """Whether any line has the token; a missing file has none."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return False
+    return not spark.read.text(path).where(F.col("value").contains(token)).isEmpty()
+
+
+def write_by_partition(df: DataFrame, path: str, column: str) -> None:
+    df.write.partitionBy(column).mode("overwrite").parquet(path)
+
+
+def write_map(df: DataFrame, key: str, value: str, path: str) -> None:
+    df.select(key, value).write.csv(path, sep="\t", mode="overwrite")
