@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftline.lineage import cut, shared_folder
+
 #: Separators of words: space and the ASCII controls from tab to carriage return.
 SPACE = r"[ \t-\r]+"
 
@@ -18,23 +19,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so that a lost executor costs no recomputation.
-
-    The folder is what ``spark.checkpoint.dir`` names; only where the session
-    names none (local tests) a temporary folder is set.
-    """
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def shared_folder(spark: SparkSession) -> str:
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return context.getCheckpointDir()
-
-
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
