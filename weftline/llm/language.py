@@ -71,10 +71,14 @@ def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray, list[dict[str, np
     rows = top.orderBy(F.desc("all"), "n", "feature").limit(KNOWN).collect()
     counts = {r["lang"]: r["count"] for r in totals.collect()}
     langs = sorted(counts)
-    size = {(r["lang"], r["n"]): r["total"] + SMOOTH * r["kinds"] for r in sums}
+    kinds = Counter()
+    for r in sums:
+        kinds[r["n"]] += r["kinds"]
+    total = {(r["lang"], r["n"]): r["total"] for r in sums}
+    size = {(x, n): total.get((x, n), 0) + SMOOTH * kinds[n] for x in langs for n in kinds}
     tables: list[dict[str, np.ndarray]] = [{} for _ in range(GRAMS + 1)]
     for r in rows:
-        tables[r["n"]][r["feature"]] = np.array([math.log((r["by"].get(x, 0) + SMOOTH) / size.get((x, r["n"]), 1.0)) for x in langs])
+        tables[r["n"]][r["feature"]] = np.array([math.log((r["by"].get(x, 0) + SMOOTH) / size[x, r["n"]]) for x in langs])
     prior = np.log(np.array([counts[x] for x in langs], float) / max(1, sum(counts.values()))) if langs else np.zeros(0)
     return langs, prior, tables
 
