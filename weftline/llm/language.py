@@ -11,7 +11,8 @@ out: those of least hash, about ``FIT`` a language, and keeps the ``KNOWN`` most
 frequent words and n-grams seen twice or more.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0,
-and so is every text if there is nothing to learn from. Ties go to the first
+and so is every text if there is nothing to learn from; a language whose
+documents have no word isn't learned. Ties go to the first
 language by code point. Repeated rows come back as often as they came. An empty
 table gives an empty result. Only the named columns are read.
 """
@@ -70,7 +71,7 @@ def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray, list[dict[str, np
     top = found.groupBy("n", "feature").agg(F.sum("count").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("by")).where("all >= 2")
     rows = top.orderBy(F.desc("all"), "n", "feature").limit(KNOWN).collect()
     counts = {r["lang"]: r["count"] for r in totals.collect()}
-    langs = sorted(counts)
+    langs = sorted({r["lang"] for r in sums if r["n"] == 0})
     kinds = Counter()
     for r in sums:
         kinds[r["n"]] += r["kinds"]
@@ -79,7 +80,7 @@ def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray, list[dict[str, np
     tables: list[dict[str, np.ndarray]] = [{} for _ in range(GRAMS + 1)]
     for r in rows:
         tables[r["n"]][r["feature"]] = np.array([math.log((r["by"].get(x, 0) + SMOOTH) / size[x, r["n"]]) for x in langs])
-    prior = np.log(np.array([counts[x] for x in langs], float) / max(1, sum(counts.values()))) if langs else np.zeros(0)
+    prior = np.log(np.array([counts[x] for x in langs], float) / max(1, sum(counts[x] for x in langs))) if langs else np.zeros(0)
     return langs, prior, tables
 
 
