@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import common
 
-FIT, KNOWN, GRAMS, SURE, SMOOTH = 2_000, 100_000, 4, 50, 0.5
+FIT, KNOWN, GRAMS, SURE, SMOOTH = 2_000, 100_000, 4, 50, 0.05
 _LETTERS = regex.compile(r"\p{L}+")
 
 
