@@ -2,7 +2,7 @@
 
 A text is the set of its distinct shingles (runs of ``WIDTH`` words); two texts
 link when their Jaccard similarity is at least ``PERCENT`` / 100. The join is
-exact (up to collisions of 64-bit hashes):
+exact (up to collisions of 56-bit hashes of shingles and 64-bit hashes of sets):
 
 * Equal sets form one class; only classes are joined.
 * Light sets (at most ``boundary`` shingles) enumerate subsets of one fixed size
@@ -42,6 +42,8 @@ WIDTH, PERCENT = 5, 80
 MOST_LIGHT = 8
 #: Classes per side of a verified block.
 BLOCK = 256
+#: A listed shingle is one long: its hash in the low bits, and above them how common it is (eighths of a power of two; the last value is for hot shingles).
+HASH_BITS, HOT = 56, 127
 
 
 def room(n: int) -> int:
@@ -57,9 +59,9 @@ def row_sets(column: pa.Array) -> Iterator[np.ndarray]:
         bounds = np.searchsorted(row, np.arange(len(offsets)))
         for a, b in zip(bounds[:-1], bounds[1:]):
             if b - a >= WIDTH:
-                yield np.unique(grams[a : b - WIDTH + 1])
+                yield np.unique(grams[a : b - WIDTH + 1] >> np.uint64(64 - HASH_BITS))
             else:
-                yield common.ngram_hashes(words[a:b], b - a) if b > a else words[:0]
+                yield common.ngram_hashes(words[a:b], b - a) >> np.uint64(64 - HASH_BITS) if b > a else words[:0]
 
 
 def set_id(shingles: np.ndarray) -> int:
@@ -131,22 +133,29 @@ def keyed(hot: np.ndarray, boundary: int, wide: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            rows = []
+            rows, waiting = [], 0
             for shingles in row_sets(batch.column(0)):
+                if waiting > 1 << 18:
+                    yield packed(rows)
+                    rows, waiting = [], 0
                 n = len(shingles)
                 if not n or (key := set_id(shingles)) in seen:
                     continue
                 seen.add(key)
+                waiting += n
                 is_hot = np.isin(shingles, hot) if len(hot) else np.zeros(n, bool)
                 if wide:
                     if n >= listed and not is_hot.all():
-                        rows.append((key, n, shingles[~is_hot].view(np.int64)))
+                        rows.append((key, shingles[~is_hot].view(np.int64)))
                 elif n <= boundary or is_hot.any():
-                    rows.append((key, n, shingles[is_hot].view(np.int64) if n >= listed else [], shingles.view(np.int64) if n <= boundary else None, light_keys(shingles).view(np.int64) if n <= boundary else None))
-            longs = pa.list_(pa.int64())
-            cols = list(zip(*rows)) if rows else [[]] * (3 if wide else 5)
-            types = [pa.int64(), pa.int64()] + [longs] * (len(cols) - 2)
-            yield pa.record_batch([pa.array(list(c), t) for c, t in zip(cols, types)], ["set_id", "n", "keys"] if wide else ["set_id", "n", "hot", "light", "keys"])
+                    rows.append((key, shingles[is_hot].view(np.int64) if n >= listed else [], shingles.view(np.int64) if n <= boundary else None, light_keys(shingles).view(np.int64) if n <= boundary else None))
+            yield packed(rows)
+
+    def packed(rows: list) -> pa.RecordBatch:
+        names = ["set_id", "keys"] if wide else ["set_id", "hot", "light", "keys"]
+        cols = list(zip(*rows)) if rows else [[]] * len(names)
+        types = [pa.int64()] + [pa.list_(pa.int64())] * (len(names) - 1)
+        return pa.record_batch([pa.array(list(c), t) for c, t in zip(cols, types)], names)
 
     return run
 
@@ -155,7 +164,7 @@ def linked(group: pd.DataFrame) -> pd.DataFrame:
     """Spanning links among the classes of one block or pair of blocks."""
     ids, sizes = group["set_id"].to_numpy(), group["n"].to_numpy()
     m = len(ids)
-    values = np.concatenate([np.asarray(x, np.int64) for x in group["shared"]]) if m else np.zeros(0, np.int64)
+    values = np.concatenate([np.asarray(x, np.int64) for x in group["shared"]]) & ((1 << HASH_BITS) - 1)
     owner = np.repeat(np.arange(m), [len(x) for x in group["shared"]])
     _, inverse, counts = np.unique(values, return_inverse=True, return_counts=True)
     keep = counts[inverse] > 1
@@ -198,22 +207,23 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     hot = np.array([r[0] for r in found.where("hot is not null").groupBy("hot").agg(F.sum("hot_n").alias("c")).where(F.col("c") >= floor).select("hot").collect()], np.int64).view(np.uint64)
 
     texts = docs.select("text")
-    listed = texts.mapInArrow(keyed(hot, boundary, True), "set_id long, n long, keys array<long>").select("set_id", "n", F.explode("keys").alias("key"))
+    listed = texts.mapInArrow(keyed(hot, boundary, True), "set_id long, keys array<long>").select("set_id", F.explode("keys").alias("key"))
     over = Window.partitionBy("key")
+    graded = F.shiftleft(F.least(F.floor(8 * F.log2("df")), F.lit(HOT - 1)).cast("long"), HASH_BITS)
     shared = (
         listed.select("*", F.count(F.lit(1)).over(over).alias("df"), F.min("set_id").over(over).alias("lo"), F.max("set_id").over(over).alias("hi"))
         .where("lo <> hi")
+        .select("set_id", graded.bitwiseOR(F.col("key")).alias("key"))
         .groupBy("set_id")
-        .agg(F.first("n").alias("n"), F.collect_set(F.struct("df", "key")).alias("rare"))
+        .agg(F.collect_set("key").alias("rare"))
     )
-    rest = common.cut(texts.mapInArrow(keyed(hot, boundary, False), "set_id long, n long, hot array<long>, light array<long>, keys array<long>").dropDuplicates(["set_id"]))
+    rest = common.cut(texts.mapInArrow(keyed(hot, boundary, False), "set_id long, hot array<long>, light array<long>, keys array<long>").dropDuplicates(["set_id"]))
     none = F.array().cast("array<long>")
-    both = shared.join(rest.where("size(hot) > 0").select("set_id", F.col("n").alias("n2"), "hot"), "set_id", "full_outer").select(
-        "set_id", F.coalesce("n", "n2").alias("n"), F.coalesce(F.transform(F.sort_array("rare"), lambda x: x["key"]), none).alias("rare"), F.coalesce("hot", none).alias("hot")
-    )
-    missing = F.col("n") - F.size("rare") - F.size("hot")
-    spare = (F.col("n") - F.ceil(F.col("n") * PERCENT / 100)).cast("int") - missing.cast("int") + 1
-    heavy = common.cut(both.where(spare > 0).select("set_id", "n", F.concat("rare", "hot").alias("shared"), F.slice(F.concat("rare", "hot"), 1, spare).alias("keys")))
+    common_last = F.transform("hot", lambda x: x.bitwiseOR(F.lit(HOT << HASH_BITS)))
+    both = shared.join(rest.where("size(hot) > 0").select("set_id", common_last.alias("hot")), "set_id", "full_outer")
+    both = both.join(classes, "set_id").select("set_id", "n", F.concat(F.sort_array(F.coalesce("rare", none)), F.coalesce("hot", none)).alias("shared"))
+    spare = (F.col("n") - F.ceil(F.col("n") * PERCENT / 100)).cast("int") - (F.col("n") - F.size("shared")).cast("int") + 1
+    heavy = common.cut(both.where(spare > 0).select("set_id", "n", "shared", F.slice("shared", 1, spare).alias("keys")))
 
     light = rest.where("light is not null")
     lists = heavy.select("set_id", F.explode("keys").alias("key")).union(light.select("set_id", F.explode("keys").alias("key")))
@@ -227,7 +237,6 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     placed = groups.join(choice, "component")
     whole = placed.where("whole").select(F.lit(0).alias("kind"), F.col("component").alias("unit"), F.col("node").alias("set_id"), "members")
     single = lists.join(placed.where("not whole").select(F.col("node").alias("set_id")), "set_id").select(F.lit(1).alias("kind"), F.col("key").alias("unit"), "set_id", "members")
-    sets = heavy.select("set_id", "n", "shared").join(light.select("set_id"), "set_id", "left_anti").union(light.select("set_id", "n", "light"))
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     dealt = (
         whole.union(single)
@@ -236,7 +245,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("kind", "unit", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set_id")
     )
-    links = dealt.join(sets, "set_id").groupBy("kind", "unit", "i", "j").applyInPandas(linked, "a long, b long")
+    verified = dealt.join(heavy.where(F.col("n") > boundary).select("set_id", "n", "shared"), "set_id")
+    verified = verified.union(dealt.join(light.select("set_id", F.size("light").cast("long").alias("n"), F.col("light").alias("shared")), "set_id"))
+    links = verified.groupBy("kind", "unit", "i", "j").applyInPandas(linked, "a long, b long")
     parts = common.connected_components(common.cut(links), "a", "b")
 
     labelled = rows.join(parts, rows["set_id"] == parts["node"], "left").select("doc_id", "set_id", "n", F.coalesce("component", "set_id").alias("part"))
