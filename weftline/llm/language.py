@@ -1,6 +1,8 @@
 """Language identification by known words first, then ever shorter character n-grams.
 
-A word the model knows adds its log frequency in each language; an unknown word
+A word the model knows adds its log frequency in each language (blended with
+``BLEND`` of its frequency in all, so small languages don't gain by words they
+lack); an unknown word
 adds the mean of its longest known n-grams (``GRAMS`` characters down to one,
 with the word's edges marked). The document's language is the one of highest sum
 with the log prior; its score is the softmax of that, for at most ``SURE`` words'
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import common
 
-FIT, KNOWN, GRAMS, SURE, SMOOTH = 2_000, 100_000, 4, 50, 0.05
+FIT, KNOWN, GRAMS, SURE, BLEND = 2_000, 100_000, 4, 50, 0.01
 _LETTERS = regex.compile(r"\p{L}+")
 
 
@@ -67,19 +69,18 @@ def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray, list[dict[str, np
     fraction = common.small_join(labelled, totals, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("count").cast("double") ** -1 * FIT * (1 << 30))
     found = fraction.select("lang", "text").mapInArrow(count_features, "lang string, n int, feature string, count long")
     found = common.cut(found.groupBy("lang", "n", "feature").agg(F.sum("count").alias("count")))
-    sums = found.groupBy("lang", "n").agg(F.sum("count").alias("total"), F.count(F.lit(1)).alias("kinds")).collect()
+    sums = found.groupBy("lang", "n").agg(F.sum("count").alias("total")).collect()
     top = found.groupBy("n", "feature").agg(F.sum("count").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("by")).where("all >= 2")
     rows = top.orderBy(F.desc("all"), "n", "feature").limit(KNOWN).collect()
     counts = {r["lang"]: r["count"] for r in totals.collect()}
     langs = sorted({r["lang"] for r in sums if r["n"] == 0})
-    kinds = Counter()
+    total, whole = {(r["lang"], r["n"]): r["total"] for r in sums}, Counter()
     for r in sums:
-        kinds[r["n"]] += r["kinds"]
-    total = {(r["lang"], r["n"]): r["total"] for r in sums}
-    size = {(x, n): total.get((x, n), 0) + SMOOTH * kinds[n] for x in langs for n in kinds}
+        whole[r["n"]] += r["total"]
     tables: list[dict[str, np.ndarray]] = [{} for _ in range(GRAMS + 1)]
     for r in rows:
-        tables[r["n"]][r["feature"]] = np.array([math.log((r["by"].get(x, 0) + SMOOTH) / size[x, r["n"]]) for x in langs])
+        n, common_share = r["n"], BLEND * r["all"] / whole[r["n"]]
+        tables[n][r["feature"]] = np.array([math.log((1 - BLEND) * r["by"].get(x, 0) / max(1, total.get((x, n), 0)) + common_share) for x in langs])
     prior = np.log(np.array([counts[x] for x in langs], float) / max(1, sum(counts[x] for x in langs))) if langs else np.zeros(0)
     return langs, prior, tables
 
