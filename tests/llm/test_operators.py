@@ -6,7 +6,10 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -119,6 +122,33 @@ def test_language(docs, empty):
     assert {r["lang_pred"] for r in language.identify(docs, F.lit(True)).collect()} == {"und"}
 
 
+def test_language_evidence(monkeypatch):
+    """The vectorised sum equals word-by-word backoff, also when kept vectors are given up."""
+    monkeypatch.setattr(language, "KEPT", 2)
+    langs, prior = ["aa", "bb"], np.log([0.4, 0.6])
+    tables = [{"one": np.array([-1.0, -4.0]), "two": np.array([-3.0, -2.0])}, {c: np.array([-2.0 - i / 10, -2.5 + i / 9]) for i, c in enumerate("abcdefghij")}, {"<b": np.array([-1.5, -6.0])}, {}, {}]
+    texts = ["one two two", "one bad bead cab zzz², one", "bad bead", "ü² ½", "cab dad zzz two", "", None, "½ 12"]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array([False] * len(texts)), pa.array(texts)], ["doc_id", "held_out", "text"])
+    got = next(language.predictor(langs, prior, tables)([batch])).to_pylist()
+
+    def vector(word):
+        if word in tables[0]:
+            return tables[0][word]
+        for n in range(language.GRAMS, 0, -1):
+            if known := [tables[n][g] for g in language.grams(word, n) if g in tables[n]]:
+                return np.mean(known, axis=0)
+        return np.zeros(2)
+
+    for text, row in zip(texts, got):
+        found = regex.findall(r"\p{L}+", (text or "").lower())
+        if not found:
+            assert (row["lang_pred"], row["score"]) == ("und", 0.0)
+            continue
+        total = sum(vector(w) for w in found) + prior
+        assert row["lang_pred"] == langs[int(np.argmax(total))]
+        assert math.isclose(row["score"], 1 / np.exp(total - total.max()).sum(), rel_tol=1e-9)
+
+
 def test_sharding(docs, empty):
     got = sharding.shard_documents(docs, shards=5).collect()
     assert len(got) == len(table())

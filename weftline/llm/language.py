@@ -22,6 +22,7 @@ table gives an empty result. Only the named columns are read.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -34,11 +35,17 @@ from pyspark.sql import functions as F
 from weftline.llm import common
 
 FIT, KNOWN, GRAMS, SURE, BLEND = 2_000, 100_000, 4, 50, 0.01
+#: Vectors of unknown words that a task keeps.
+KEPT = 50_000
 _LETTERS = regex.compile(r"\p{L}+")
+#: Letters, and numerals that are neither letters nor digits.
+_NEARLY = re.compile(r"[^\W\d_]+")
 
 
 def words(text: str | None) -> list[str]:
-    return _LETTERS.findall((text or "").lower())
+    text = (text or "").lower()
+    found = _NEARLY.findall(text)
+    return found if text.isascii() or "".join(found).isalpha() else _LETTERS.findall(text)
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -94,7 +101,32 @@ def predictor(langs: list[str], prior: np.ndarray, tables: list[dict[str, np.nda
         return np.zeros(len(langs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rest = tables[0], {}
+        known = tables[0]
+        index = {word: i for i, word in enumerate(known)}
+        vectors = np.zeros((len(known) + KEPT, len(langs)))
+        if known:
+            vectors[: len(known)] = list(known.values())
+        kept: list[str] = []
+
+        def evidence(found: Counter) -> np.ndarray:
+            """Sum of the words' vectors; those of unknown words are kept until there are ``KEPT``."""
+            at, counts = list(map(index.get, found)), np.fromiter(found.values(), float, len(found))
+            if None not in at:
+                return counts @ vectors[at]
+            seen = np.array([i is not None for i in at])
+            total = counts[seen] @ vectors[[i for i in at if i is not None]] if seen.any() else np.zeros(len(langs))
+            for word, i, count in zip(found, at, counts):
+                if i is None:
+                    if len(kept) == KEPT:
+                        for old in kept:
+                            del index[old]
+                        kept.clear()
+                    i = index[word] = len(known) + len(kept)
+                    kept.append(word)
+                    vectors[i] = backoff(word)
+                    total += count * vectors[i]
+            return total
+
         for batch in batches:
             langs_out, scores = [], []
             for text in batch.column(2):
@@ -103,17 +135,7 @@ def predictor(langs: list[str], prior: np.ndarray, tables: list[dict[str, np.nda
                     langs_out.append("und")
                     scores.append(0.0)
                     continue
-                total = np.zeros(len(langs))
-                for word, count in found.items():
-                    vector = known.get(word)
-                    if vector is None:
-                        vector = rest.get(word)
-                        if vector is None:
-                            if len(rest) > 50_000:
-                                rest.clear()
-                            vector = rest[word] = backoff(word)
-                    total += count * vector
-                n = sum(found.values())
+                total, n = evidence(found), sum(found.values())
                 best = int(np.argmax(total + prior))
                 spread = total * (min(n, SURE) / n) + prior
                 langs_out.append(langs[best])
