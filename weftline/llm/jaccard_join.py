@@ -2,7 +2,8 @@
 
 A text is the set of its distinct shingles (runs of ``WIDTH`` words); two texts
 link when their Jaccard similarity is at least ``PERCENT`` / 100. The join is
-exact (up to collisions of 56-bit hashes of shingles and 64-bit hashes of sets):
+exact up to collisions of hashes: sets are made and told apart by 56 bits a
+shingle and 64 a set, and compared with each other by 48 bits a shingle:
 
 * Equal sets form one class; only classes are joined.
 * Light sets (at most ``boundary`` shingles) enumerate subsets of one fixed size
@@ -43,7 +44,7 @@ MOST_LIGHT = 8
 #: Classes per side of a verified block.
 BLOCK = 256
 #: A listed shingle is one long: its hash in the low bits, and above them how common it is (eighths of a power of two; the last value is for hot shingles).
-HASH_BITS, HOT = 56, 127
+SET_BITS, HASH_BITS, HOT = 56, 48, 127
 
 
 def room(n: int) -> int:
@@ -59,9 +60,15 @@ def row_sets(column: pa.Array) -> Iterator[np.ndarray]:
         bounds = np.searchsorted(row, np.arange(len(offsets)))
         for a, b in zip(bounds[:-1], bounds[1:]):
             if b - a >= WIDTH:
-                yield np.unique(grams[a : b - WIDTH + 1] >> np.uint64(64 - HASH_BITS))
+                yield np.unique(grams[a : b - WIDTH + 1] >> np.uint64(64 - SET_BITS))
             else:
-                yield common.ngram_hashes(words[a:b], b - a) >> np.uint64(64 - HASH_BITS) if b > a else words[:0]
+                yield common.ngram_hashes(words[a:b], b - a) >> np.uint64(64 - SET_BITS) if b > a else words[:0]
+
+
+def narrow(shingles: np.ndarray) -> np.ndarray:
+    """A set's shingles by the ``HASH_BITS`` under which sets are compared; still sorted and distinct."""
+    short = shingles >> np.uint64(SET_BITS - HASH_BITS)
+    return short[np.flatnonzero(np.r_[True, short[1:] != short[:-1]])] if len(short) else short
 
 
 def set_id(shingles: np.ndarray) -> int:
@@ -116,7 +123,7 @@ def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids.append(set_id(shingles) if len(shingles) else None)
             if ids[-1] is not None and ids[-1] not in seen:
                 seen.add(ids[-1])
-                held.append(shingles)
+                held.append(narrow(shingles))
                 pending += len(shingles)
                 if pending > 1_000_000:
                     yield hot()
@@ -143,6 +150,8 @@ def keyed(hot: np.ndarray, boundary: int, wide: bool):
                     continue
                 seen.add(key)
                 waiting += n
+                shingles = narrow(shingles)
+                n = len(shingles)
                 is_hot = np.isin(shingles, hot) if len(hot) else np.zeros(n, bool)
                 if wide:
                     if n >= listed and not is_hot.all():
@@ -223,10 +232,10 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     both = shared.join(rest.where("size(hot) > 0").select("set_id", common_last.alias("hot")), "set_id", "full_outer")
     both = both.join(classes, "set_id").select("set_id", "n", F.concat(F.sort_array(F.coalesce("rare", none)), F.coalesce("hot", none)).alias("shared"))
     spare = (F.col("n") - F.ceil(F.col("n") * PERCENT / 100)).cast("int") - (F.col("n") - F.size("shared")).cast("int") + 1
-    heavy = common.cut(both.where(spare > 0).select("set_id", "n", "shared", F.slice("shared", 1, spare).alias("keys")))
+    heavy = common.cut(both.select("set_id", "n", "shared", spare.alias("spare")).where("spare > 0"))
 
     light = rest.where("light is not null")
-    lists = heavy.select("set_id", F.explode("keys").alias("key")).union(light.select("set_id", F.explode("keys").alias("key")))
+    lists = heavy.select("set_id", F.explode(F.slice("shared", F.lit(1), F.col("spare"))).alias("key")).union(light.select("set_id", F.explode("keys").alias("key")))
     sizes = lists.groupBy("key").agg(F.min("set_id").alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1")
     lists = common.cut(lists.join(sizes, "key"))
     groups = common.connected_components(lists.where("set_id <> first").select("set_id", "first").distinct(), "set_id", "first")
