@@ -192,6 +192,18 @@ def test_language_model(docs, empty):
     assert language_model.score_texts(empty, flag).count() == 0
 
 
+def test_language_model_steps_on_every_token(monkeypatch):
+    stepped = []
+    plain = language_model.step
+    monkeypatch.setattr(language_model, "step", lambda table, speed, rows, target: (stepped.append((table.shape[1], len(target))), plain(table, speed, rows, target))[1])
+    outer = np.zeros((language_model.ROWS, language_model.CLASSES), np.float32)
+    inner = np.zeros((language_model.ROWS, language_model.TOP + 1), np.float32)
+    texts = ["one", "", "a b", *(t[1] for t in table())]
+    batch = pa.record_batch([pa.array(texts, pa.string())], ["text"])
+    list(language_model.trainer(outer, inner, np.zeros((language_model.CLASSES, language_model.TOP), np.uint64))(iter([batch])))
+    assert sum(n for width, n in stepped if width == language_model.CLASSES) == sum(len(low(t).encode().split()) + 1 for t in texts)
+
+
 def brute_quality(text):
     words = ascii_words(text)
     runs = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))

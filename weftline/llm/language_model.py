@@ -9,9 +9,8 @@ outcome each; the others share one and are told apart by smoothed counts.
 
 Counts are taken from all training documents. The weights are trained by
 distributed gradient updates: each of ``ROUNDS`` rounds goes over its own share
-of the training documents; every task takes gradient steps on its part (on every
-``STRIDE``-th token, from a place that differs by document), and the mean of the
-tasks' updates becomes the next round's start. Scoring runs over sparse numpy
+of the training documents; every task takes gradient steps on every token of its
+part, and the mean of the tasks' updates becomes the next round's start. Scoring runs over sparse numpy
 batches. The ``HEAD`` most frequent words' counts go to the tasks, of fixed
 number; all other words are looked up by a join, so no count is missed.
 
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 from weftline.llm import common
 
 CLASSES, TOP, ROWS, HEAD = 64, 15, 8192, 131_072
-ROUNDS, STRIDE, RATE, DAMP, BATCH, SMOOTH = 3, 4, 0.3, 3.0, 2048, 0.1
+ROUNDS, RATE, DAMP, BATCH, SMOOTH = 3, 0.3, 3.0, 2048, 0.1
 FEATURES = 9
 
 
@@ -154,9 +153,8 @@ def trainer(outer_table: np.ndarray, inner_table: np.ndarray, tops: np.ndarray):
             for lo, data, offsets in common.text_blocks(batch.column(0), 1 << 18):
                 words, row, kind = tokens(data, offsets)
                 rows = histories(words, row, kind)
-                chosen = np.flatnonzero((np.arange(len(words)) + row) % STRIDE == 0)
-                for at in range(0, len(chosen), BATCH):
-                    pick = chosen[at : at + BATCH]
+                for at in range(0, len(words), BATCH):
+                    pick = np.arange(at, min(at + BATCH, len(words)))
                     step(a, sa, rows[pick], kind[pick])
                     full = pick[kind[pick] > 0]
                     if len(full):
