@@ -204,6 +204,27 @@ def test_language_model_steps_on_every_token(monkeypatch):
     assert sum(n for width, n in stepped if width == language_model.CLASSES) == sum(len(low(t).encode().split()) + 1 for t in texts)
 
 
+def test_language_model_in_any_partitions(spark):
+    """Scores don't depend on how the rows are partitioned, and training doesn't shrink with partitions."""
+    rows = spark.createDataFrame([(i, f"alpha beta gamma{i % 3} delta epsilon zeta{i % 5} eta") for i in range(120)], "doc_id long, text string")
+    one, many = (
+        {r["doc_id"]: (r["score"], r["base_score"]) for r in language_model.score_texts(rows.repartition(n, "doc_id"), F.col("doc_id") % 10 == 0).collect()} for n in (1, 40)
+    )
+    assert all(math.isclose(one[i][0], many[i][0], rel_tol=1e-9) for i in one)
+    assert sum(s for s, _ in many.values()) > sum(b for _, b in many.values())
+
+
+def test_language_model_mean_of_those_who_met():
+    """A row that one task met keeps that task's whole change; a row of several has their mean by tokens."""
+    seen = np.zeros((2, 64), np.float32)
+    change = np.zeros((2, 64, 3), np.float32)
+    seen[0, 5], change[0, 5] = 7, [1, 2, 3]
+    seen[:, 9], change[0, 9], change[1, 9] = (1, 3), 4, 8
+    tasks = language_model.pd.DataFrame({"which": [0, 0], "block": [2, 2], "seen": [x.tobytes() for x in seen], "change": [x.tobytes() for x in change]})
+    got = np.frombuffer(language_model.mean_change(tasks)["change"][0], np.float32).reshape(64, 3)
+    assert got[5].tolist() == [1, 2, 3] and got[9].tolist() == [7, 7, 7] and not got[[0, 63]].any()
+
+
 def brute_quality(text):
     words = ascii_words(text)
     runs = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))

@@ -9,9 +9,11 @@ outcome each; the others share one and are told apart by smoothed counts.
 
 Counts are taken from all training documents. The weights are trained by
 distributed gradient updates: each of ``ROUNDS`` rounds goes over its own share
-of the training documents; every task takes gradient steps on every token of its
-part, and the mean of the tasks' updates becomes the next round's start. Scoring runs over sparse numpy
-batches. The ``HEAD`` most frequent words' counts go to the tasks, of fixed
+of the training documents, dealt by hash to parts of about ``TASK_TOKENS`` tokens
+and sorted there, however they were partitioned. Gradient steps are taken on
+every token of a part; each row of weights moves by the mean of the updates of
+the parts that met it, weighted by the tokens that met it. Scoring runs over
+sparse numpy batches. The ``HEAD`` most frequent words' counts go to the tasks, of fixed
 number; all other words are looked up by a join, so no count is missed.
 
 Defined results: a null text is empty; it has the end token alone. A null doc_id
@@ -36,7 +38,7 @@ from weftline.llm import common
 
 CLASSES, TOP, ROWS, HEAD = 64, 15, 8192, 131_072
 ROUNDS, RATE, DAMP, BATCH, SMOOTH = 3, 0.3, 3.0, 2048, 0.1
-FEATURES = 9
+FEATURES, TASK_TOKENS = 9, 2_000_000
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray):
@@ -107,15 +109,32 @@ def slots(words: np.ndarray, kind: np.ndarray, tops: np.ndarray) -> np.ndarray:
     return np.where(same.any(axis=1), same.argmax(axis=1), TOP)
 
 
+def sums_by_row(error: np.ndarray, token: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of ``error[token]`` over the runs that start at ``first``, and the runs in the order of the sums: long ones one by one, the others place by place."""
+    length = np.diff(np.r_[first, len(token)])
+    by = np.argsort(-length, kind="stable")
+    first, length = first[by], length[by]
+    long = int(np.count_nonzero(length > 32))
+    out = error.take(token[first], axis=0)
+    for i in range(long):
+        out[i] = np.ones(length[i], error.dtype) @ error.take(token[first[i] : first[i] + length[i]], axis=0)
+    for k in range(1, 32):
+        more = int(np.count_nonzero(length > k))
+        if more <= long:
+            break
+        out[long:more] += error.take(token[first[long:more] + k], axis=0)
+    return out, by
+
+
 def step(table: np.ndarray, speed: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
     """One adaptive gradient step on a batch."""
     error = softmax(logits(table, rows))
     error[np.arange(len(target)), target] -= 1
-    flat = rows.ravel()
+    flat = rows.ravel().astype(np.uint16)  # of 16 bits, as these are sorted by radix
     order = np.argsort(flat, kind="stable")
     first = np.flatnonzero(np.r_[True, flat[order][1:] != flat[order][:-1]])
-    gradient = np.add.reduceat(error[order // rows.shape[1]], first, axis=0)
-    at = flat[order][first]
+    gradient, by = sums_by_row(error, order // rows.shape[1], first)
+    at = flat[order][first[by]]
     speed[at] += gradient * gradient
     table[at] -= RATE * gradient / np.sqrt(speed[at])
 
@@ -143,12 +162,12 @@ def counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def trainer(outer_table: np.ndarray, inner_table: np.ndarray, tops: np.ndarray):
-    """An Arrow function: the task's updates of both tables, as float32 rows in blocks of 64."""
+    """An Arrow function: the part's updates of both tables, and how many tokens met each row, as float32 in blocks of 64 rows; blocks that none met are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = outer_table.copy(), inner_table.copy()
         sa, sb = np.full_like(a, DAMP), np.full_like(b, DAMP)
-        seen = 0
+        seen_a, seen_b = np.zeros(ROWS, np.int64), np.zeros(ROWS, np.int64)
         for batch in batches:
             for lo, data, offsets in common.text_blocks(batch.column(0), 1 << 18):
                 words, row, kind = tokens(data, offsets)
@@ -156,23 +175,44 @@ def trainer(outer_table: np.ndarray, inner_table: np.ndarray, tops: np.ndarray):
                 for at in range(0, len(words), BATCH):
                     pick = np.arange(at, min(at + BATCH, len(words)))
                     step(a, sa, rows[pick], kind[pick])
+                    seen_a += np.bincount(rows[pick].ravel(), minlength=ROWS)
                     full = pick[kind[pick] > 0]
                     if len(full):
-                        step(b, sb, inner(rows[full], kind[full]), slots(words[full], kind[full], tops))
-                    seen += len(pick)
-        if seen:
-            for name, old, new in ((0, outer_table, a), (1, inner_table, b)):
-                change = (new - old).astype(np.float32).reshape(ROWS // 64, -1)
-                yield pa.record_batch([pa.array(np.full(len(change), name, np.int32)), pa.array(np.arange(len(change), dtype=np.int32)), pa.array([x.tobytes() for x in change], pa.binary())], ["which", "block", "change"])
+                        within = inner(rows[full], kind[full])
+                        step(b, sb, within, slots(words[full], kind[full], tops))
+                        seen_b += np.bincount(within.ravel(), minlength=ROWS)
+        for name, old, new, seen in ((0, outer_table, a, seen_a), (1, inner_table, b, seen_b)):
+            seen = seen.astype(np.float32).reshape(-1, 64)
+            change = (new - old).astype(np.float32).reshape(len(seen), -1)
+            met = np.flatnonzero(seen.any(axis=1))
+            yield pa.record_batch(
+                [pa.array(np.full(len(met), name, np.int32)), pa.array(met.astype(np.int32)), pa.array([seen[k].tobytes() for k in met], pa.binary()), pa.array([change[k].tobytes() for k in met], pa.binary())],
+                ["which", "block", "seen", "change"],
+            )
 
     return run
 
 
+def part_trainer(outer_table: np.ndarray, inner_table: np.ndarray, tops: np.ndarray):
+    """``trainer`` for a part: (place, text) rows, taken in the order of ``place``."""
+    run = trainer(outer_table, inner_table, tops)
+
+    def part(rows: pa.Table) -> pa.Table:
+        texts = rows.set_column(1, "text", rows.column(1).cast(pa.large_string())).sort_by("place").select(["text"]).combine_chunks()
+        return pa.Table.from_batches(run(iter(texts.to_batches(max_chunksize=10_000))))
+
+    return part
+
+
 def mean_change(group: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(len(group["change"].iloc[0]) // 4)
-    for x in group["change"]:
-        total += np.frombuffer(x, np.float32)
-    return pd.DataFrame({"which": group["which"].iloc[:1], "block": group["block"].iloc[:1], "change": [(total / len(group)).astype(np.float32).tobytes()]})
+    """A block's change: each row's mean over the parts that met it, by tokens, added up in an order that the rows alone decide."""
+    total, weight = 0.0, np.zeros(64)
+    for seen, change in sorted(zip(group["seen"], group["change"])):
+        seen = np.frombuffer(seen, np.float32).astype(float)
+        total = total + np.frombuffer(change, np.float32).reshape(64, -1) * seen[:, None]
+        weight += seen
+    change = (total / np.maximum(weight, 1)[:, None]).astype(np.float32)
+    return pd.DataFrame({"which": group["which"].iloc[:1], "block": group["block"].iloc[:1], "change": [change.tobytes()]})
 
 
 def scorer(outer_table: np.ndarray, inner_table: np.ndarray, tops: np.ndarray, head: tuple[np.ndarray, np.ndarray], rest_mass: np.ndarray, ends: int):
@@ -239,9 +279,11 @@ def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
     head = top["word"].to_numpy().view(np.uint64)[order], np.log10(top["n"].to_numpy(float)[order] + SMOOTH)
 
     outer_table, inner_table = np.zeros((ROWS, CLASSES), np.float32), np.zeros((ROWS, TOP + 1), np.float32)
+    parts = math.ceil(total / ROUNDS / TASK_TOKENS)
     for k in range(ROUNDS if total else 0):
-        share = train.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == k).select("text")
-        changes = share.mapInArrow(trainer(outer_table, inner_table, tops), "which int, block int, change binary")
+        share = train.select(F.xxhash64("doc_id", "text").alias("place"), "text").where(F.pmod("place", F.lit(ROUNDS)) == k)
+        train_part = part_trainer(outer_table, inner_table, tops)
+        changes = share.groupBy(F.pmod(F.xxhash64("place"), F.lit(parts)).alias("part")).applyInArrow(train_part, "which int, block int, seen binary, change binary")
         for r in changes.groupBy("which", "block").applyInPandas(mean_change, "which int, block int, change binary").collect():
             table = inner_table if r["which"] else outer_table
             table.reshape(ROWS // 64, -1)[r["block"]] += np.frombuffer(r["change"], np.float32)
