@@ -111,6 +111,15 @@ def test_decontamination(spark, docs, empty):
     assert not any(r["contaminated"] for r in decontaminate.contamination(docs, bench.limit(0)).collect())
 
 
+def test_decontamination_null_item(spark):
+    """An item without an id gives hits, but no name."""
+    docs = spark.createDataFrame([(1, "say quietly mix potions now"), (2, "one two three"), (3, "quietly mix potions one two three"), (4, "clean")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "quietly mix potions"), (7, "one two three")], "item_id long, text string")
+    sha = lambda ids: hashlib.sha256(ids.encode()).hexdigest()
+    want = [(1, 3, 0, sha(""), True), (2, 3, 1, sha("7"), True), (3, 6, 1, sha("7"), True), (4, 0, 0, sha(""), False)]
+    assert rows_of(decontaminate.contamination(docs, bench), "doc_id", "n_hit", "n_items", "items_sha256", "contaminated") == want
+
+
 def test_language(docs, empty):
     got = language.identify(docs, F.col("doc_id") % 4 == 2).collect()
     assert len(got) == len(table())

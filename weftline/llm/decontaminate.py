@@ -9,7 +9,9 @@ where the window would start and end in the document, and exact comparison of
 the words verifies it. DataFrame functions only.
 
 Defined results: null and wordless texts have no words and aren't contaminated;
-null and wordless items have no windows. Items with the same id count once.
+null and wordless items have no windows. Items with the same id count once. An
+item with a null id contaminates like any other (n_hit, contaminated), but isn't
+counted or named (n_items, items_sha256).
 Repeated documents come back as often as they came. Empty tables give empty or
 clean results. Only the named columns are read.
 """
@@ -87,7 +89,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     n_hit = F.aggregate(F.sort_array("spans"), F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), cover)["n"]
     named = hits.select("text_key", F.explode("windows").alias("window")).join(wanted.select("window", F.explode("items").alias("item")), "window")
     named = named.groupBy("text_key").agg(F.sort_array(F.collect_set("item")).alias("ids"))
-    hits = common.cut(hits.select("text_key", n_hit.cast("long").alias("n_hit")).join(named, "text_key"))
+    hits = common.cut(hits.select("text_key", n_hit.cast("long").alias("n_hit")).join(named, "text_key", "left"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), key.alias("text_key"), F.size(plain_words(F.col(text))).cast("long").alias("n_words"), *([F.struct("*").alias("row")] if keep else []))
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     return common.small_join(rows, hits, "text_key", "left", max_rows=20_000).select(
