@@ -158,6 +158,18 @@ def test_language_evidence(monkeypatch):
         assert math.isclose(row["score"], 1 / np.exp(total - total.max()).sum(), rel_tol=1e-9)
 
 
+def test_language_keeps_small_languages(spark):
+    """Features of a small language stay, however many more frequent ones a large language has."""
+    state, names = np.random.default_rng(1), set()
+    while len(names) < 40_000:
+        names.add("".join(map(chr, state.integers(97, 123, 6))))
+    large = " ".join(sorted(names) * 3)
+    rows = spark.createDataFrame([(1, large, "aa"), (2, "ÞÞð ÞÞð", "zz")], "doc_id long, text string, lang string")
+    langs, _, tables = language.learn(rows)
+    assert langs == ["aa", "zz"] and sum(map(len, tables)) > 100_000
+    assert tables[0]["þþð"][1] > tables[0]["þþð"][0] and "<þþð" in tables[4]
+
+
 def test_sharding(docs, empty):
     got = sharding.shard_documents(docs, shards=5).collect()
     assert len(got) == len(table())

@@ -9,8 +9,8 @@ with the log prior; its score is the softmax of that, for at most ``SURE`` words
 worth of evidence.
 
 The model is fitted on a bounded sample of the labelled rows that aren't held
-out: those of least hash, about ``FIT`` a language, and keeps the ``KNOWN`` most
-frequent words and n-grams seen twice or more.
+out: those of least hash, about ``FIT`` a language, and keeps all words and
+n-grams seen twice or more there, whatever their language and order.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0,
 and so is every text if there is nothing to learn from; a language whose
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import common
 
-FIT, KNOWN, GRAMS, SURE, BLEND = 2_000, 100_000, 4, 50, 0.01
+FIT, GRAMS, SURE, BLEND = 2_000, 4, 50, 0.01
 #: Vectors of unknown words that a task keeps.
 KEPT = 50_000
 _LETTERS = regex.compile(r"\p{L}+")
@@ -78,7 +78,7 @@ def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray, list[dict[str, np
     found = common.cut(found.groupBy("lang", "n", "feature").agg(F.sum("count").alias("count")))
     sums = found.groupBy("lang", "n").agg(F.sum("count").alias("total")).collect()
     top = found.groupBy("n", "feature").agg(F.sum("count").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("by")).where("all >= 2")
-    rows = top.orderBy(F.desc("all"), "n", "feature").limit(KNOWN).collect()
+    rows = top.collect()
     counts = {r["lang"]: r["count"] for r in totals.collect()}
     langs = sorted({r["lang"] for r in sums if r["n"] == 0})
     total, whole = {(r["lang"], r["n"]): r["total"] for r in sums}, Counter()
