@@ -1,13 +1,15 @@
 """A corpus pipeline of five stages over ``documents``; each works on all that its predecessor kept.
 
 1. quality: documents that the quality rules reject go.
-2. near_duplicates: of each component of the n-gram Jaccard join, the document of least id stays.
+2. near_duplicates: of each component of the n-gram Jaccard join, the row of least id stays (null
+   ids last; of one id, the least digest of text). Equal rows are one; a row without words is a component.
 3. decontaminate: documents that hold a benchmark window go.
 4. mix: documents are taken as often as their source's target says; one taken twice is two rows.
 5. shard: the mix is dealt to shards, repeats of a text together where they fit.
 
 Stages but the last return the columns of ``documents``. No SQL expresses the
-stages; ``tests/llm/test_pipeline.py`` holds them against a brute-force version.
+stages; ``tests/llm/test_pipeline.py`` holds near_duplicates against a brute-force version,
+also on null and repeated ids, and ``tests/llm/test_operators.py`` checks all stages on sf0.001.
 """
 
 from __future__ import annotations
@@ -30,16 +32,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = common.cut(jaccard_components(docs))
-    drop = found.where("doc_id <> component_id").select("doc_id").distinct()
-    # Rows that repeat an id are one document.
-    repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = common.small_join(docs, common.cut(drop), "doc_id", "left_anti", max_rows=1_000_000)
-    if repeated.isEmpty():
-        return kept
-    repeated = common.cut(repeated)
-    once = common.small_join(kept, repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return common.small_join(kept, repeated, "doc_id", "left_anti").unionByName(once)
+    # Rows are told apart by a digest of all their columns, so a null or repeated id stands for no other row.
+    docs = docs.withColumn("_row", F.xxhash64(*docs.columns))
+    found = jaccard_components(docs, doc_id="_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_component")).distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("text"), "_row")
+    placed = common.cut(docs.select("_row", order.alias("_order")).groupBy("_row").agg(F.min("_order").alias("_order"), F.count(F.lit(1)).alias("_times")).join(found, "_row"))
+    best = placed.groupBy("_component").agg(F.min("_order").alias("_best"))
+    placed = common.cut(placed.join(best, "_component").select("_row", "_times", (F.col("_order") == F.col("_best")).alias("_stays")))
+    kept = common.small_join(docs, placed.where("not _stays").select("_row"), "_row", "left_anti", max_rows=1_000_000)
+    repeated = placed.where("_stays and _times > 1").select("_row")
+    if not repeated.isEmpty():
+        once = common.small_join(kept, repeated, "_row", "left_semi").dropDuplicates(["_row"])
+        kept = common.small_join(kept, repeated, "_row", "left_anti").unionByName(once)
+    return kept.drop("_row")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
