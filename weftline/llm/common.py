@@ -33,6 +33,19 @@ def small_join(big: DataFrame, small: DataFrame, on, how: str = "inner", max_row
     return big.join(small, on, how)
 
 
+def keyed_join(big: DataFrame, small: DataFrame, key: str, rows: str, max_rows: int = 20_000, heavy: int = 50_000) -> DataFrame:
+    """Inner join with a lookup table of unique ``key`` that counts the ``rows`` of ``big`` for each.
+
+    A large table is joined by shuffle but for keys of over ``heavy`` rows, of which there are at most
+    a ``heavy``-th as many as rows: these are broadcast, so no key brings more than that to one task.
+    """
+    if small.limit(max_rows + 1).count() <= max_rows:
+        return big.join(F.broadcast(small.drop(rows)), key)
+    often = small.where(F.col(rows) > heavy).drop(rows)
+    rare = big.join(F.broadcast(often.select(key)), key, "left_anti").join(small.where(F.col(rows) <= heavy).drop(rows), key)
+    return rare.unionByName(big.join(F.broadcast(often), key))
+
+
 def ascii_lower(word: Column) -> Column:
     """Lower-case A-Z only. ``lower`` serves where it changes nothing, which is most words."""
     return F.when(F.lower(word) == word, word).otherwise(F.translate(word, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
