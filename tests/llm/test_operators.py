@@ -291,16 +291,67 @@ def test_language_model(docs, empty):
     assert language_model.score_texts(empty, flag).count() == 0
 
 
+def small_tree(levels=2, bits=13):
+    ends = np.zeros(16**levels)
+    ends[16 ** (levels - 1) // 4 :] = 0.1
+    ends[0] = 3.1
+    return language_model.Tree(levels, ends, bits)
+
+
 def test_language_model_steps_on_every_token(monkeypatch):
     stepped = []
     plain = language_model.step
-    monkeypatch.setattr(language_model, "step", lambda table, speed, rows, target: (stepped.append((table.shape[1], len(target))), plain(table, speed, rows, target))[1])
-    outer = np.zeros((language_model.ROWS, language_model.CLASSES), np.float32)
-    inner = np.zeros((language_model.ROWS, language_model.TOP + 1), np.float32)
+    monkeypatch.setattr(language_model, "step", lambda tree, table, speed, history, path: (stepped.append(history.shape[1]), plain(tree, table, speed, history, path))[1])
     texts = ["one", "", "a b", *(t[1] for t in table())]
     batch = pa.record_batch([pa.array(texts, pa.string())], ["text"])
-    list(language_model.trainer(outer, inner, np.zeros((language_model.CLASSES, language_model.TOP), np.uint64))(iter([batch])))
-    assert sum(n for width, n in stepped if width == language_model.CLASSES) == sum(len(low(t).encode().split()) + 1 for t in texts)
+    list(language_model.trainer(small_tree())(iter([batch])))
+    assert sum(stepped) == sum(len(low(t).encode().split()) + 1 for t in texts)
+
+
+def test_language_model_sums_to_one(spark):
+    """After any history, the known words, the end, and one unknown word at every end of the tree have probabilities that sum to one."""
+    said = [(i, f"alpha beta gamma{i % 9} delta{i % 4}, epsilon zeta{i % 5} eta. the{i % 30} of{i % 17}") for i in range(200)]
+    rows = spark.createDataFrame(said, "doc_id long, text string")
+    tree, vocabulary, total, distinct, ends = language_model.learned(rows)
+    known = vocabulary.collect()
+    assert distinct == len(known) + 1 and np.abs(tree.table).max() > 0.1
+    shift = 4 * (language_model.LEVELS - tree.levels)
+    for text in ("alpha beta gamma1", "alpha", "of3 unseen words", ""):
+        data = np.frombuffer(text.encode(), np.uint8)
+        words, row, kind = language_model.tokens(data, np.array([0, len(data)]))
+        history = language_model.histories(words, row, kind)[:, -1:]
+        every = np.arange(16**tree.levels) << shift
+        shares = 10 ** tree.log_share(np.repeat(history, len(every), axis=1), every)
+        mass = 10**tree.end_log
+        assert math.isclose(shares.sum(), 1, rel_tol=1e-4)
+        of = Counter()
+        for r in known:
+            of[r["path"] >> shift] += r["n"] + 0.1
+        for end, share in enumerate(shares):
+            if end >= 16 ** (tree.levels - 1) // 4:
+                assert math.isclose(of[end] + 0.1, mass[end], rel_tol=1e-9)
+            elif end:
+                assert share == 0
+        assert math.isclose(mass[0], ends + 0.1, rel_tol=1e-9)
+    # The score of a text is the sum over its tokens of the log shares and the words' shares of their ends.
+    held = spark.createDataFrame([(1000, "alpha gamma1 unseen, beta"), (1001, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in language_model.score_texts(rows.union(held), F.col("doc_id") >= 1000).collect()}
+    counts = {r["word"]: r["n"] for r in known}
+    for i, text in held.collect():
+        data = np.frombuffer(text.encode(), np.uint8)
+        words, row, kind = language_model.tokens(data, np.array([0, len(data)]))
+        path = language_model.paths(words, kind)
+        n = np.array([ends if k == 0 else counts.get(w, 0) for w, k in zip(words.view(np.int64).tolist(), kind)])
+        score = tree.log_share(language_model.histories(words, row, kind), path).sum() + np.log10((n + 0.1) / 10 ** tree.end_log[path >> shift]).sum()
+        assert math.isclose(got[i], score, rel_tol=1e-4)
+
+
+def test_frequent_words(spark):
+    rows = [(i, 1 << 13, n) for i, n in enumerate([1] * 50 + [7, 9, 40, 41, 1000])]
+    vocabulary = spark.createDataFrame(rows, "word long, path int, n long")
+    assert sorted(language_model.frequent_words(vocabulary, 4)[0].tolist()) == [51, 52, 53, 54]
+    assert len(language_model.frequent_words(vocabulary, 60)[0]) == 55
+    assert len(language_model.frequent_words(vocabulary.limit(0), 60)[0]) == 0
 
 
 def test_language_model_in_any_partitions(spark):
@@ -315,13 +366,14 @@ def test_language_model_in_any_partitions(spark):
 
 def test_language_model_mean_of_those_who_met():
     """A row that one task met keeps that task's whole change; a row of several has their mean by tokens."""
-    seen = np.zeros((2, 64), np.float32)
-    change = np.zeros((2, 64, 3), np.float32)
-    seen[0, 5], change[0, 5] = 7, [1, 2, 3]
+    size = language_model.BLOCK
+    seen = np.zeros((2, size), np.float32)
+    change = np.zeros((2, size, 16), np.float32)
+    seen[0, 5], change[0, 5] = 7, range(16)
     seen[:, 9], change[0, 9], change[1, 9] = (1, 3), 4, 8
-    tasks = language_model.pd.DataFrame({"which": [0, 0], "block": [2, 2], "seen": [x.tobytes() for x in seen], "change": [x.tobytes() for x in change]})
-    got = np.frombuffer(language_model.mean_change(tasks)["change"][0], np.float32).reshape(64, 3)
-    assert got[5].tolist() == [1, 2, 3] and got[9].tolist() == [7, 7, 7] and not got[[0, 63]].any()
+    tasks = language_model.pd.DataFrame({"block": [2, 2], "seen": [x.tobytes() for x in seen], "change": [x.tobytes() for x in change]})
+    got = np.frombuffer(language_model.mean_change(tasks)["change"][0], np.float32).reshape(size, 16)
+    assert got[5].tolist() == list(range(16)) and got[9].tolist() == [7] * 16 and not got[[0, 63]].any()
 
 
 def brute_quality(text):
