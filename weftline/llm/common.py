@@ -46,6 +46,14 @@ def keyed_join(big: DataFrame, small: DataFrame, key: str, rows: str, max_rows:
     return rare.unionByName(big.join(F.broadcast(often), key))
 
 
+def keyed_rest(big: DataFrame, small: DataFrame, key: str, rows: str, max_rows: int = 20_000, heavy: int = 50_000) -> DataFrame:
+    """What ``keyed_join`` leaves: the rows of ``big`` whose key ``small`` hasn't; rows without a key aren't exchanged."""
+    if small.limit(max_rows + 1).count() <= max_rows:
+        return big.join(F.broadcast(small.select(key)), key, "left_anti")
+    named = big.where(F.col(key).isNotNull()).join(F.broadcast(small.where(F.col(rows) > heavy).select(key)), key, "left_anti")
+    return big.where(F.col(key).isNull()).unionByName(named.join(small.where(F.col(rows) <= heavy).select(key), key, "left_anti"))
+
+
 def ascii_lower(word: Column) -> Column:
     """Lower-case A-Z only. ``lower`` serves where it changes nothing, which is most words."""
     return F.when(F.lower(word) == word, word).otherwise(F.translate(word, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))

@@ -34,15 +34,14 @@ def quotas(flows: dict[tuple[int, int], int], sizes: list[int], capacity: int) -
     return [(i, j, (f - surplus[i, j] + surplus[i, j] * admitted[j]) / f) for (i, j), f in flows.items()]
 
 
-def propagate(rows: DataFrame, shards: int, rounds: int, total: int) -> DataFrame:
-    """Rounds of label propagation over (.., grp, shard) rows of which ``linked`` ones move."""
+def propagate(rows: DataFrame, shards: int, rounds: int, capacity: int) -> DataFrame:
+    """Rounds of label propagation over (.., grp, shard) rows, all of them linked."""
     spark = rows.sparkSession
-    capacity = total // shards
     for k in range(rounds):
-        votes = rows.where("linked").groupBy("grp", "shard").count()
-        best = votes.groupBy("grp").agg(F.max(F.struct("count", F.xxhash64("grp", "shard", F.lit(k)), "shard")).alias("best")).select("grp", F.col("best.shard").alias("wanted"))
-        wanted = common.cut(rows.join(best, "grp", "left"))
-        counts = wanted.where("linked").groupBy("shard", "wanted").count().collect()  # at most shards x (shards + 1) rows
+        votes = rows.groupBy("grp", "shard").count()
+        best = votes.groupBy("grp").agg(F.max(F.struct("count", F.xxhash64("grp", "shard", F.lit(k)), "shard")).alias("best"), F.sum("count").alias("members"))
+        wanted = common.cut(common.keyed_join(rows, best.select("grp", F.col("best.shard").alias("wanted"), "members"), "grp", "members"))
+        counts = wanted.groupBy("shard", "wanted").count().collect()  # at most shards x shards rows
         sizes = [sum(c["count"] for c in counts if c["shard"] == j) for j in range(shards)]
         flows = {(c["shard"], c["wanted"]): c["count"] for c in counts if c["wanted"] != c["shard"]}
         if not flows:
@@ -87,10 +86,13 @@ def shard_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ))
     total = rows.count()
     buckets = max(1, total // (RANKED * shards))
-    groups = rows.where("grp is not null").groupBy("grp").count().where("count > 1").select("grp", F.lit(True).alias("linked"))
-    rows = rows.join(groups, "grp", "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+    groups = common.cut(rows.where("grp is not null").groupBy("grp").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit("start"), "doc_id", "size"), F.lit(shards)).cast("int"))
-    rows = common.cut(even_out(propagate(rows, shards, rounds, total), shards, total, buckets))
+    # Only linked rows meet by text; the others, null texts too, stay where they are read.
+    linked = propagate(common.keyed_join(rows, groups, "grp", "members"), shards, rounds, total // shards)
+    alone = common.keyed_rest(rows, groups, "grp", "members")
+    rows = linked.select(*rows.columns, F.lit(True).alias("linked")).unionByName(alone.withColumn("linked", F.lit(False)))
+    rows = common.cut(even_out(common.cut(rows), shards, total, buckets))
     spread = F.pmod(F.xxhash64(F.coalesce("grp", F.lit(""))), F.lit(buckets)).cast("int")
     rows = common.ranked(rows, ["shard"], ["grp", "doc_id"], "slot", buckets, spread)
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
