@@ -3,8 +3,9 @@
 A sentence's probability is a logistic function of its words and their beginnings
 (which catches inflected and disguised forms); a document's is their noisy-or, so it is toxic if any sentence is. The weights are trained from
 document labels alone, by gradient steps on a bounded sample of the labelled rows
-that aren't held out (those of least hash, about ``FIT`` of each label). Scoring
-tells which sentences offend.
+that aren't held out (those of least hash, about ``FIT`` of each label, and fewer if they
+have over ``WORDS`` features together, a whole text each). No held-out label is read, not even
+to count it. Weights of 0.02 or less are left out. Scoring tells which sentences offend.
 
 Defined results: null, empty and wordless texts have score 0. Labels that are
 null are not learned from; without both labels every score is 0. A document
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from weftline.llm import common
 
 FIT, STEPS, RATE, DECAY, START = 2_000, 60, 0.3, 3e-5, -4.0
+#: Words and beginnings of words in the sample, at most: 16 bytes each on the driver.
+WORDS = 16_000_000
 #: Features in fewer sampled documents than this have no weight. Beginnings: so many bytes.
 LEAST_DOCS, BEGINNINGS = 4, (4, 5, 6)
 _BREAK = np.ones(256, bool)
@@ -44,14 +47,14 @@ def sentence_words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarr
 
 
 def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(toxic, words, sentences): each row's word hashes and sentence numbers."""
+    """(lot, toxic, words, sentences) of (lot, toxic, text): each row's word hashes and sentence numbers."""
     for batch in batches:
         at = 0
-        for n, words, row, sentence in sentence_words(batch.column(1)):
+        for n, words, row, sentence in sentence_words(batch.column(2)):
             cuts = np.searchsorted(row, np.arange(n + 1))
             yield pa.record_batch(
-                [batch.column(0).slice(at, n), pa.array([words[a:b].view(np.int64) for a, b in zip(cuts[:-1], cuts[1:])], pa.list_(pa.int64())), pa.array([sentence[a:b] - sentence[a] if b > a else [] for a, b in zip(cuts[:-1], cuts[1:])], pa.list_(pa.int64()))],
-                ["toxic", "words", "sentences"],
+                [batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array([words[a:b].view(np.int64) for a, b in zip(cuts[:-1], cuts[1:])], pa.list_(pa.int64())), pa.array([sentence[a:b] - sentence[a] if b > a else [] for a, b in zip(cuts[:-1], cuts[1:])], pa.list_(pa.int64()))],
+                ["lot", "toxic", "words", "sentences"],
             )
             at += n
 
@@ -125,17 +128,34 @@ def scorer(vocabulary: np.ndarray, weights: np.ndarray, bias: float):
     return run
 
 
+def sampled(rows: DataFrame, marked: DataFrame) -> DataFrame:
+    """(toxic, words, sentences) of the sample: (doc_id, toxic) of least hash with their (doc_id, text)."""
+    counts = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
+    share = F.when(F.col("toxic") == 1, min(1.0, FIT / max(1, counts.get(1, 0)))).otherwise(min(1.0, FIT / max(1, counts.get(0, 0))))
+    lot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30) / share
+    chosen = common.cut(marked.withColumn("lot", lot).where("lot < 1"))
+    found = common.small_join(rows, chosen, "doc_id").select("lot", "toxic", "text").mapInArrow(bags, "lot double, toxic int, words array<long>, sentences array<long>")
+    found = common.cut(found)
+    band = F.floor(F.col("lot") * 64)
+    sizes = {r["band"]: r["n"] for r in found.groupBy(band.alias("band")).agg(F.sum(F.size("words")).alias("n")).collect()}
+    last, room = 63, WORDS
+    for k in range(64):
+        room -= sizes.get(k, 0)
+        if room < 0:
+            last = k - 1
+            break
+    return found.where(band <= last).select("toxic", "words", "sentences")
+
+
 def detect(docs: DataFrame, labels: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted, offending): ``offending`` numbers the sentences, from the first with a word, that are toxic by themselves."""
+    """(doc_id, held_out, score, predicted, offending): ``offending`` numbers the sentences, from the first with a word, that are toxic by themselves.
+
+    ``held_out`` is a condition on the id column alone; it tells documents and labels apart alike.
+    """
     kind = docs.select(F.col(doc_id)).schema[0].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).cast("string").alias("text"))
-    marked = labels.where("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    counts = {r["toxic"]: r["count"] for r in marked.where("toxic in (0, 1)").groupBy("toxic").count().collect()}
-    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
-    share = F.when(F.col("toxic") == 1, FIT / max(1, counts.get(1, 0))).otherwise(FIT / max(1, counts.get(0, 0)))
-    chosen = common.cut(marked.where(F.col("toxic").isin(0, 1) & (chance < share)))
-    sample = rows.where("not held_out").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
-    model = fit(sample.mapInArrow(bags, "toxic int, words array<long>, sentences array<long>").toArrow())
+    marked = labels.select(F.col("doc_id").alias(doc_id), F.col("toxic").cast("int").alias("toxic")).where(F.col(doc_id).isNotNull() & F.col("toxic").isin(0, 1) & ~F.coalesce(held_out, F.lit(False)))
+    model = fit(sampled(rows.where("not held_out").select("doc_id", "text"), marked.withColumnRenamed(doc_id, "doc_id")).toArrow())
     return rows.mapInArrow(scorer(*model), f"doc_id {kind}, held_out boolean, score double, predicted int, offending array<long>")
 
 
