@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weftline.llm import chat_format, decontaminate, jaccard_join, language, language_model, line_templates, quality, sharding, source_mix, toxicity
+from weftline.llm import chat_format, common, decontaminate, jaccard_join, language, language_model, line_templates, quality, sharding, source_mix, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, row string, words string, key string"
 BASE = "The quick brown fox jumps over the lazy dog while seven wizards quietly mix potions in a cold dark cellar near the old mill"
@@ -480,3 +480,52 @@ def test_pipeline_stages(spark):
         kept[name] = len(rows)
         docs = out
     assert kept["quality"] > 100
+
+
+def test_keyed_joins_beyond_a_broadcast(spark):
+    """Keys of many rows, of few, of none and null ones, with and without a broadcast of the whole table."""
+    big = spark.createDataFrame([(k, i) for i, k in enumerate(["hot"] * 50 + ["a", "a", "b", "c", None, None])], "key string, at int")
+    small = spark.createDataFrame([("hot", 50, 1), ("a", 2, 2), ("b", 1, 3), ("gone", 0, 4)], "key string, n long, value int")
+    joined = [(k, i, {"hot": 1, "a": 2, "b": 3}[k]) for k, i in map(tuple, big.collect()) if k in ("hot", "a", "b")]
+    for most in (100, 1):
+        assert rows_of(common.keyed_join(big, small, "key", "n", most, 10), "key", "at", "value") == sorted(joined, key=repr)
+        assert rows_of(common.keyed_rest(big, small, "key", "n", most, 10), "at") == [(53,), (54,), (55,)]
+
+
+def test_sharding_of_a_large_group(spark):
+    rows = [(i, "one text of a group that is larger than a shard") for i in range(20_000)] + [(20_000 + i, None) for i in range(3_000)] + [(30_000 + i, f"text {i // 2}") for i in range(4_000)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    sizes = Counter(r["shard"] for r in got)
+    assert len(got) == 27_000 and set(sizes.values()) == {1125} and sorted(sizes) == list(range(24))
+    assert sorted(r["doc_id"] for r in got) == sorted(i for i, _ in rows)
+    shard = {r["doc_id"]: r["shard"] for r in got}
+    # The large group fills its shards; the pairs, unlike the seeded start, are mostly together.
+    assert sum(shard[30_000 + i] == shard[30_001 + i] for i in range(0, 4_000, 2)) > 1_000
+
+
+def test_toxicity_reads_no_held_out_label(spark):
+    said = [(i, f"Plain words number {i}. " + ("You are trashy now. " if i % 2 else "") + "x" * (100_000 if i == 8 else 1)) for i in range(100)]
+    docs = spark.createDataFrame([(*r, 1, 0.5) for r in said], "doc_id long, text string, toxic int, score double")
+    labels = [(i, i % 2) for i in range(100)] + [(3, 1), (3, 0), (3, 1)]
+    turned = [(i, 1 - t if i % 5 == 0 else t) for i, t in labels] + [(5 * i, 1) for i in range(300)]
+    a, b = (rows_of(toxicity.detect(docs, spark.createDataFrame(x, "doc_id long, toxic int"), F.col("doc_id") % 5 == 0), "doc_id", "score") for x in (labels, turned))
+    assert a == b and len(a) == 100
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "WORDS", 3_000)
+    rows = spark.createDataFrame([(i, "some words of a text " * 20) for i in range(200)], "doc_id long, text string")
+    marked = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    found = toxicity.sampled(rows, marked).collect()
+    assert 0 < sum(len(r["words"]) for r in found) <= 3_000 and len({len(r["words"]) for r in found}) == 1
+
+
+def test_chat_of_many_turns(spark):
+    rows = [(1, t, "user" if t % 2 == 0 else "assistant", f"said {t} <s>" + "é" * (t % 50) + ("z" * 200_000 if t == 77 else ""), "s", 1) for t in range(3_000)] + [(2, 0, "assistant", "first", "s", 1)]
+    chats = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, segments string, at int")
+    by = {r["conv_id"]: r for r in chat_format.format_chats(chats).withColumn("turns", chat_format.read_back(F.col("formatted"))).collect()}
+    r = by[1]
+    assert [tuple(t) for t in r["turns"]] == [x[2:4] for x in rows[:-1]] and r["valid"]
+    spans = [r["formatted"][s["start"] : s["start"] + s["length"]] for s in r["loss_spans"]]
+    assert spans == [s["text"] for s in r["segments"] if s["loss"]] and len(spans) == 1_500
+    assert not by[2]["valid"] and by[2]["invalid_at"] == 0
