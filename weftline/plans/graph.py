@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.lineage import cut
@@ -39,12 +39,15 @@ class Dependable:
             return other if self is EMPTY else self
         return Composite([*self.heads(), *other.heads()], [*self.tails(), *other.tails()], [*self.steps(), *other.steps()])
 
-    def cut_from(self, other: Dependable) -> None:
-        """Remove the edges from this one's tails to the other's heads (the first occurrence of each)."""
+    def cut_from(self, other: Dependable) -> bool:
+        """Remove the edges from this one's tails to the other's heads (the first occurrence of each); whether there was any."""
+        found = False
         for a in self.tails():
             for b in other.heads():
                 if b in a.after:
                     a.after.remove(b)
+                    found = True
+        return found
 
 
 @dataclass(eq=False)
@@ -75,6 +78,11 @@ class Composite(Dependable):
 EMPTY = Dependable()
 
 
+def named(name: Column, frames: list[tuple[str, str]]) -> Column:
+    """A step's name within nested frames of (prefix, suffix), outermost first: all prefixes, the name, all suffixes."""
+    return F.concat(F.lit("".join(p for p, _ in frames)), name, F.lit("".join(q for _, q in frames)))
+
+
 def edges(spark: SparkSession, graph: Dependable) -> DataFrame:
     return spark.createDataFrame([(a.name, b.name) for a in dict.fromkeys(graph.steps()) for b in a.after], "src string, dst string")
 
@@ -92,30 +100,68 @@ def closure(edges: DataFrame) -> DataFrame:
         count = now
 
 
-def cyclic(edges: DataFrame) -> DataFrame:
-    """Nodes that reach themselves."""
-    return closure(edges).where("src = dst").select(F.col("src").alias("node"))
+def spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, label): the least label that reaches each node along the edges; nodes without a label take none on."""
+    edges, labels = cut(edges.select("src", "dst").distinct()), cut(labels.select("node", "label"))
+    while True:
+        near = edges.join(labels, edges["src"] == labels["node"]).groupBy("dst").agg(F.min("label").alias("near"))
+        step = labels.join(near, labels["node"] == near["dst"], "left").select("node", "label", F.least("label", "near").alias("now"))
+        step = cut(step)
+        labels = step.select("node", F.col("now").alias("label"))
+        if step.where("now <> label").isEmpty():
+            return labels
+
+
+def nodes_of(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Strongly connected components: (node, component), where the component is its least node."""
-    paths = closure(edges)
-    both = paths.alias("a").join(paths.alias("b"), (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src")))
-    nodes = edges.select("src").union(edges.select("dst")).distinct().withColumnRenamed("src", "node")
-    least = both.groupBy(F.col("a.src").alias("node")).agg(F.min("b.src").alias("least"))
-    return nodes.join(least, "node", "left").select("node", F.least("node", F.coalesce("least", "node")).alias("component"))
+    """Strongly connected components: (node, component), where the component is its least node.
+
+    Round by round: nodes without a way in or out are by themselves; each other node takes the least
+    label that reaches it, and what reaches the label's own node back within its label is that node's
+    component. Labels are exchanged, never pairs of nodes.
+    """
+    edges = cut(edges.where("src <> dst").select("src", "dst").distinct())
+    left, done = cut(nodes_of(edges)), []
+    while not left.isEmpty():
+        inner = cut(left.join(edges.select(F.col("dst").alias("node")), "node", "left_semi").join(edges.select(F.col("src").alias("node")), "node", "left_semi"))
+        done.append(left.join(inner, "node", "left_anti").select("node", F.col("node").alias("component")))
+        if inner.count() == left.count():
+            colour = cut(spread(edges, inner.select("node", F.col("node").alias("label"))))
+            of = colour.select(F.col("node").alias("src"), F.col("label").alias("a"))
+            to = colour.select(F.col("node").alias("dst"), F.col("label").alias("b"))
+            back = edges.join(of, "src").join(to, "dst").where("a = b").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+            # Backwards from the labels' own nodes: 0 reaches, 1 doesn't.
+            reached = spread(back, colour.select("node", F.when(F.col("node") == F.col("label"), 0).otherwise(1).alias("label"))).where("label = 0").select("node")
+            found = cut(colour.join(reached, "node").select("node", F.col("label").alias("component")))
+            done.append(found)
+            inner = inner.join(found, "node", "left_anti")
+        left = cut(inner)
+        edges = cut(edges.join(left.select(F.col("node").alias("src")), "src", "left_semi").join(left.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"))
+    out = left.select("node", F.col("node").alias("component"))
+    for part in done:
+        out = out.unionByName(part)
+    return out
+
+
+def cyclic(edges: DataFrame) -> DataFrame:
+    """Nodes that reach themselves: those of components of two and more, and those with an edge to themselves."""
+    parts = components(edges)
+    many = parts.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
+    return parts.join(many, "component").select("node").union(edges.where("src = dst").select("src")).distinct()
 
 
 def levels(edges: DataFrame) -> DataFrame:
     """Longest-path level of each node of an acyclic graph."""
-    nodes = edges.select("src").union(edges.select("dst")).distinct().withColumnRenamed("src", "node")
-    level = nodes.select("node", F.lit(0).alias("level"))
-    for _ in range(nodes.count()):
+    level = cut(nodes_of(edges).select("node", F.lit(0).alias("level")))
+    for _ in range(level.count()):
         above = edges.join(level, edges["src"] == level["node"]).groupBy("dst").agg((F.max("level") + 1).alias("up"))
-        raised = cut(level.join(above, level["node"] == above["dst"], "left").select("node", F.greatest("level", F.coalesce("up", "level")).alias("level")))
-        if raised.exceptAll(level).isEmpty():
-            return raised
-        level = raised
+        raised = cut(level.join(above, level["node"] == above["dst"], "left").select("node", F.col("level").alias("old"), F.greatest("level", F.coalesce("up", "level")).alias("level")))
+        if raised.where("old <> level").isEmpty():
+            return raised.select("node", "level")
+        level = raised.drop("old")
     raise ValueError("the graph has a cycle")
 
 
