@@ -2,39 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline import functions as fn
 from weftline import operators as op
+from weftline import records  # noqa: F401  (its queries register themselves)
 from weftline.plans import graph
 from weftline.plans.scatter import Scatter
+from weftline.registry import oracle_sql, queries, query, table  # noqa: F401
 
 #: Edges of the dependency queries: a chain with two fans, and a ring of three.
 CHAIN = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "f"), ("e", "g"), ("e", "h"), ("f", "i"), ("g", "i"), ("h", "i"), ("i", "j"), ("i", "k")]
 RING = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")]
 LINES = ["one", "one two", "one two three", "one two three four", "one two three four five"]
-_REGISTER: dict[str, tuple] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        _REGISTER[f.__name__] = (f, sql)
-        return f
-
-    return add
-
-
-def queries() -> dict:
-    return {name: f for name, (f, _) in _REGISTER.items()}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _REGISTER.items() if sql}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def lines(spark: SparkSession, sf_dir: str) -> Scatter:
@@ -112,15 +93,15 @@ def sg_flatmap(spark, sf_dir):
 @query("SELECT l_returnflag, count(*) * least(1.0, 1000::DOUBLE / (SELECT count(*) FROM lineitem)) AS expected FROM lineitem GROUP BY 1")
 def g_link(spark, sf_dir):
     counts = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").count()
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    return counts.select("l_returnflag", (F.col("count") * min(1.0, 1000 / max(total, 1))).alias("expected"))
+    total = counts.agg(F.sum("count")).scalar()
+    return counts.select("l_returnflag", (F.col("count") * F.least(F.lit(1.0), 1000 / total)).alias("expected"))
 
 
 @query("WITH c AS (SELECT CASE WHEN avg(l_discount) > 0.05 THEN 'R' ELSE 'A' END AS b FROM lineitem) SELECT b AS branch, count(*) AS n FROM lineitem, c WHERE l_returnflag = b GROUP BY 1")
 def g_either(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem")
-    branch = "R" if (items.agg(F.avg("l_discount")).first()[0] or 0) > 0.05 else "A"
-    return items.where(F.col("l_returnflag") == branch).agg(F.lit(branch).alias("branch"), F.count(F.lit(1)).alias("n"))
+    branch = F.when(items.agg(F.avg("l_discount")).scalar() > 0.05, "R").otherwise("A")
+    return items.where(F.col("l_returnflag") == branch).groupBy(F.col("l_returnflag").alias("branch")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH RECURSIVE e(src, dst) AS ({_values(CHAIN)}), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT src, dst FROM r")
@@ -150,13 +131,16 @@ def g_orphan(spark, sf_dir):
 
 @query(f"SELECT src, dst FROM ({_values(CHAIN)}) e(src, dst) WHERE NOT (src = 'e' AND dst IN ('f', 'g'))")
 def g_break(spark, sf_dir):
-    edges = spark.createDataFrame(CHAIN, "src string, dst string")
-    return edges.exceptAll(spark.createDataFrame([("e", "f"), ("e", "g")], "src string, dst string"))
+    step = {x: graph.Step(x) for x in "abcdefghijk"}
+    a, b, c, d, e, f, g, h, i, j, k = step.values()
+    whole = a >> b >> c >> d >> e >> (f + g + h) >> i >> (j + k)
+    e.cut_from(f + g)
+    return graph.edges(spark, whole)
 
 
-@query("SELECT concat('out.', 'in.', p_type, '.out', '.in') AS name, count(*) AS n FROM part GROUP BY 1")
+@query("SELECT concat('run.', 'in.', p_type, '.end', '.x') AS name, count(*) AS n FROM part GROUP BY 1")
 def g_names(spark, sf_dir):
-    return table(spark, sf_dir, "part").groupBy(F.concat(F.lit("out.in."), "p_type", F.lit(".out.in")).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, sf_dir, "part").groupBy(graph.named(F.col("p_type"), [("run.", ".end"), ("in.", ".x")]).alias("name")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag IS DISTINCT FROM l_linestatus")
@@ -240,8 +224,7 @@ def a_multi(spark, sf_dir):
 @query("WITH h AS (SELECT l_quantity::INT AS bin, count(*) AS n FROM lineitem GROUP BY 1) SELECT bin, n FROM h WHERE n >= 0.02 * (SELECT sum(n) FROM h)")
 def a_insert_size(spark, sf_dir):
     bins = table(spark, sf_dir, "lineitem").groupBy(F.col("l_quantity").cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    total = bins.agg(F.sum("n")).first()[0] or 0
-    return bins.where(F.col("n") >= 0.02 * float(total))
+    return bins.where(F.col("n") >= 0.02 * bins.agg(F.sum("n")).scalar())
 
 
 @query("WITH c AS (SELECT c_name, unnest(generate_series(1, least(10, length(c_name)))) AS pos FROM customer) SELECT pos::INT AS pos, substr(c_name, pos, 1) AS ch, count(*) AS n FROM c GROUP BY 1, 2")
@@ -290,42 +273,27 @@ def u_gather(spark, sf_dir):
     return orders.where("o_orderkey % 2 = 0").select(F.lit(0).alias("src"), "o_orderkey").unionByName(orders.where("o_orderkey % 2 <> 0").select(F.lit(1).alias("src"), "o_orderkey"))
 
 
-#: A table of tasks drawn from events: kind, status and resources by id.
-_STATUS = ["unknown", "submitted", "started", "failed", "succeeded"]
-_TASKS = "tasks AS (SELECT event_id AS task_id, (event_id * 7 % 5)::INT AS status_ord, list_value('unknown', 'submitted', 'started', 'failed', 'succeeded')[event_id * 7 % 5 + 1] AS status, (event_id * 3 % 4)::INT AS state_ord, CASE WHEN event_id % 3 = 0 THEN 'injvm' ELSE 'process' END AS kind, (event_id % 4 + 1) * 0.5::DOUBLE AS cores, (event_id % 8 + 1) * 1048576 AS memory FROM events)"
-
-
-def tasks(spark, sf_dir) -> DataFrame:
-    i = F.col("event_id")
-    names = F.array(*[F.lit(s) for s in _STATUS])
-    return table(spark, sf_dir, "events").select(
-        i.alias("task_id"), (i * 7 % 5).cast("int").alias("status_ord"), F.element_at(names, (i * 7 % 5 + 1).cast("int")).alias("status"), (i * 3 % 4).cast("int").alias("state_ord"),
-        F.when(i % 3 == 0, "injvm").otherwise("process").alias("kind"), ((i % 4 + 1) * 0.5).alias("cores"), ((i % 8 + 1) * 1048576).alias("memory"),
-    )
-
-
-@query(f"WITH {_TASKS} SELECT task_id, status, (row_number() OVER (ORDER BY status_ord, state_ord, task_id))::INT AS rn FROM tasks ORDER BY rn LIMIT 20")
+@query("SELECT event_id, event_type, (row_number() OVER (ORDER BY value DESC, event_id))::INT AS rn FROM events ORDER BY rn LIMIT 20")
 def s_top(spark, sf_dir):
-    top = tasks(spark, sf_dir).orderBy("status_ord", "state_ord", "task_id").limit(20).select("task_id", "status").collect()
-    return spark.createDataFrame([(r["task_id"], r["status"], k) for k, r in enumerate(top, 1)], "task_id long, status string, rn int")
+    top = table(spark, sf_dir, "events").select("event_id", "event_type", "value").orderBy(F.desc_nulls_first("value"), "event_id").limit(20)
+    return top.select("event_id", "event_type", F.row_number().over(Window.orderBy(F.desc_nulls_first("value"), "event_id")).alias("rn"))
 
 
-@query(f"WITH {_TASKS} SELECT status, count(*) AS n FROM tasks GROUP BY 1")
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def a_status_counts(spark, sf_dir):
-    return tasks(spark, sf_dir).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {_TASKS} SELECT kind, sum(cores) AS cores, sum(memory)::BIGINT AS mem FROM tasks WHERE status = 'started' GROUP BY 1")
+@query("SELECT user_id, round(sum(value), 6) AS used, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1")
 def a_util(spark, sf_dir):
-    return tasks(spark, sf_dir).where("status = 'started'").groupBy("kind").agg(F.sum("cores").alias("cores"), F.sum("memory").alias("mem"))
+    return table(spark, sf_dir, "events").where("event_type = 'click'").groupBy("user_id").agg(F.round(F.sum("value"), 6).alias("used"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {_TASKS} SELECT count(*) FILTER (status = 'started') AS running, count(*) FILTER (status = 'submitted') AS eligible, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status IN ('failed', 'succeeded')) AS done, bool_or(status = 'failed') AS has_failed, bool_and(state_ord >= 0) AS all_states FROM tasks")
+@query("SELECT count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type IN ('error', 'view')) AS others, coalesce(bool_or(event_type = 'error'), false) AS has_error, coalesce(bool_and(value >= 0), true) AS all_valued FROM events")
 def a_task_counts(spark, sf_dir):
-    is_ = lambda s: F.col("status") == s
-    return tasks(spark, sf_dir).agg(
-        F.count_if(is_("started")).alias("running"), F.count_if(is_("submitted")).alias("eligible"), F.count_if(is_("failed")).alias("failed"),
-        F.count_if(is_("failed") | is_("succeeded")).alias("done"), F.bool_or(is_("failed")).alias("has_failed"), F.bool_and(F.col("state_ord") >= 0).alias("all_states"),
+    return table(spark, sf_dir, "events").agg(
+        F.count_if(F.col("event_type") == "click").alias("clicks"), F.count_if(F.col("event_type").isin("error", "view")).alias("others"),
+        F.coalesce(F.bool_or(F.col("event_type") == "error"), F.lit(False)).alias("has_error"), F.coalesce(F.bool_and(F.col("value") >= 0), F.lit(True)).alias("all_valued"),
     )
 
 
@@ -337,20 +305,26 @@ def a_rollup_dates(spark, sf_dir):
     )
 
 
-_SIZES = [("12345", "12345"), ("1k", "1024"), ("1K", "1024"), ("1kb", "1024"), ("2Gb", str(2 << 30)), ("3t", str(3 << 40)), ("1p", str(1 << 50)), ("x", "-1"), ("", "-1"), ("12q", "-1")]
+_SIZE_TEXT = "CASE event_id % 9 WHEN 0 THEN '' WHEN 1 THEN 'k' WHEN 2 THEN 'K' WHEN 3 THEN 'kb' WHEN 4 THEN 'Gb' WHEN 5 THEN 't' WHEN 6 THEN 'P' WHEN 7 THEN 'x' ELSE '000000000' END"
 
 
-@query(f"SELECT text, out FROM ({_values(_SIZES)}) v(text, out)")
+@query(f"WITH t AS (SELECT event_id, event_id || {_SIZE_TEXT} AS text FROM events) SELECT event_id, text, CASE WHEN event_id % 9 = 7 THEN -1 ELSE regexp_extract(text, '^[0-9]+')::HUGEINT * CASE lower(regexp_extract(text, '[A-Za-z]')) WHEN 'k' THEN 1024 WHEN 'g' THEN 1073741824 WHEN 't' THEN 1099511627776 WHEN 'p' THEN 1125899906842624 ELSE 1 END END::VARCHAR AS out FROM t")
 def fn_parse_size(spark, sf_dir):
-    return spark.createDataFrame([(a,) for a, _ in _SIZES], "text string").select("text", fn.parse_size(F.col("text")).cast("string").alias("out"))
+    texts = table(spark, sf_dir, "events").select("event_id", F.concat(F.col("event_id").cast("string"), F.expr(_SIZE_TEXT)).alias("text"))
+    return texts.select("event_id", "text", fn.parse_size(F.col("text")).cast("string").alias("out"))
 
 
-_SHOWN = [(209 << 10, "0.2m"), (301 << 10, "0.29m"), (512 << 10, "0.5m"), (1 << 20, "1m"), (1 << 30, "1024m"), (3 << 20, "3m")]
+_SIZE_SHOWN = "CASE WHEN size > {u} THEN (size // {u})::VARCHAR ELSE regexp_replace(regexp_replace(printf('%.2f', size / {u}.0), '0+$', ''), '\\.$', '') END || '{s}'"
 
 
-@query(f"SELECT size::BIGINT AS size, out FROM ({_values(_SHOWN)}) v(size, out)")
+@query(f"SELECT size, {_SIZE_SHOWN.format(u=1 << 20, s='m')} AS out FROM (SELECT o_orderkey * 997 + 13 AS size FROM orders)")
 def fn_fmt_size(spark, sf_dir):
-    return spark.createDataFrame([(a,) for a, _ in _SHOWN], "size long").select("size", fn.format_size(F.col("size"), 1 << 20, "m").alias("out"))
+    return table(spark, sf_dir, "orders").select((F.col("o_orderkey") * 997 + 13).alias("size")).select("size", fn.format_size(F.col("size"), 1 << 20, "m").alias("out"))
+
+
+@query(f"SELECT size, CASE WHEN size > 1073741824 THEN {_SIZE_SHOWN.format(u=1 << 30, s='g')} WHEN size > 1048576 THEN {_SIZE_SHOWN.format(u=1 << 20, s='m')} ELSE {_SIZE_SHOWN.format(u=1 << 10, s='k')} END AS out FROM (SELECT o_orderkey * o_orderkey * 997 + 13 AS size FROM orders)")
+def fn_pretty(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select((F.col("o_orderkey") * F.col("o_orderkey") * 997 + 13).alias("size")).select("size", fn.pretty_size(F.col("size")).alias("out"))
 
 
 @query("SELECT s_suppkey, CASE WHEN length(s_suppkey::VARCHAR) >= 3 THEN s_suppkey::VARCHAR ELSE lpad(s_suppkey::VARCHAR, 3, '0') END || 'X' AS out FROM supplier")
@@ -364,25 +338,15 @@ def fn_numbers(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", fn.round_half_up(price / 100).alias("cores"), F.least(F.lit(1.0), 1000 / price).alias("proportion"))
 
 
-_CASES = [(1, 4.5, 1.0, 5.0), (2, 4.5, 1.0, 5.1), (3, 1.5, 1.0, 5.0), (4, 1.5, 1.5, 5.0), (5, 0.5, 0.5, 1.0), (6, 0.5, 0.1, 1.0), (7, 0.5, 0.51, 1.0), (8, 0.5, 0.25, 0.3), (9, 5.5, 1.2, 5.8)]
-_GRANTED = [4.0, 4.5, 1.0, 1.5, 0.5, 0.1, None, 0.3, 5.5]
-
-
-@query(f"SELECT id, granted::DOUBLE AS granted FROM ({_values([(c[0], g) for c, g in zip(_CASES, _GRANTED)])}) v(id, granted)")
-def r_subset_range(spark, sf_dir):
-    cases = spark.createDataFrame(_CASES, "id int, avail double, low double, high double")
-    # Whole steps up from the least request, or all that there is (or is asked) if one of the ends is a fraction.
-    stepped = F.col("low") + F.floor(F.least("avail", "high") - F.col("low"))
-    fraction = (F.col("high") != F.floor("high")) & (F.least("avail", "high") > stepped) & (F.floor(F.least("avail", "high")) >= F.floor("low"))
-    granted = F.when(F.col("avail") < F.col("low"), None).when(fraction, F.least("avail", "high")).otherwise(stepped)
-    return cases.select("id", granted.alias("granted"))
-
-
 @query("SELECT o_orderkey FROM orders WHERE md5(o_orderkey::VARCHAR) < '40'")
 def ds_md5(spark, sf_dir):
     return table(spark, sf_dir, "orders").where(F.md5(F.col("o_orderkey").cast("string")) < "40").select("o_orderkey")
 
 
-@query()
+@query("""WITH n AS (SELECT DISTINCT p_brand || p_type || 'Of' || split_part(p_name, ' ', 1) || 'XML' || p_size AS name FROM part),
+c AS (SELECT name, i, substr(name, i - 1, 1) AS a, substr(name, i, 1) AS b, substr(name, i + 1, 1) AS d FROM (SELECT name, unnest(generate_series(1, length(name))) AS i FROM n))
+SELECT name, string_agg(CASE WHEN i > 1 AND ((b BETWEEN 'A' AND 'Z' AND (NOT a BETWEEN 'A' AND 'Z' OR d BETWEEN 'a' AND 'z')) OR (regexp_matches(a, '[A-Za-z]') AND NOT regexp_matches(b, '[A-Za-z]'))) THEN ' ' ELSE '' END || b, '' ORDER BY i) AS label FROM c GROUP BY name""")
 def fn_human(spark, sf_dir):
-    return spark.createDataFrame([(c,) for c in ("statusOrd", "numReads", "totalHTTPCount")], "field string").select("field", fn.human_name(F.col("field")).alias("label"))
+    first = F.split("p_name", " ")[0]
+    names = table(spark, sf_dir, "part").select(F.concat("p_brand", "p_type", F.lit("Of"), first, F.lit("XML"), F.col("p_size").cast("string")).alias("name")).distinct()
+    return names.select("name", fn.human_name(F.col("name")).alias("label"))

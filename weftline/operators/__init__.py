@@ -59,36 +59,43 @@ def merge_intervals(df: DataFrame, lo: str, hi: str, contig: list[str] | None =
 def pack(sizes: DataFrame, order: str, size: str, most: int, group: list[str] | None = None) -> DataFrame:
     """Greedy bins of a group's rows in order: a bin closes when the next row would exceed ``most``; a larger row sits alone.
 
-    A group is folded by one task, as the order makes it sequential.
+    The order makes a group sequential: it is folded as one sorted array of (order, size), to running (bin, total) pairs.
     """
-    import pandas as pd
+    group = group or []
+    listed = sizes.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(order, size))).alias("_rows"))
 
-    schema = ", ".join(f"{n} {t}" for n, t in sizes.dtypes) + ", bin long"
+    def place(acc: Column, row: Column) -> Column:
+        closes = (acc["n"] > 0) & (acc["total"] + row[size] > most)
+        bin_ = F.when(closes, acc["bin"] + 1).otherwise(acc["bin"])
+        return F.struct(bin_.alias("bin"), F.when(closes, row[size]).otherwise(acc["total"] + row[size]).cast("double").alias("total"), (acc["n"] + 1).alias("n"), F.when(closes | (acc["n"] == 0), F.concat(acc["starts"], F.array(acc["n"]))).otherwise(acc["starts"]).alias("starts"))
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        bins, total, number = [], 0, 0
-        rows = rows.sort_values(order)
-        for x in rows[size]:
-            if total and total + x > most:
-                number, total = number + 1, 0
-            total += x
-            bins.append(number)
-        return rows.assign(bin=bins)
-
-    return sizes.groupBy(*(group or [])).applyInPandas(fold, schema)
+    start = F.struct(F.lit(0).cast("long").alias("bin"), F.lit(0.0).alias("total"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("starts"))
+    starts = F.aggregate("_rows", start, place)["starts"]
+    # Only the places where bins start are kept by the fold; each bin is then a slice.
+    bins = F.transform(starts, lambda s, k: F.struct(k.cast("long").alias("bin"), F.slice(F.col("_rows"), s + 1, F.coalesce(F.get(starts, k + 1), F.size("_rows")) - s).alias("rows")))
+    out = listed.select(*group, F.explode(bins).alias("_bin")).select(*group, "_bin.bin", F.explode("_bin.rows").alias("_row"))
+    numbered = out.select(*group, F.col(f"_row.{order}").alias(order), F.col(f"_row.{size}").alias(size), "bin")
+    rest = [c for c in sizes.columns if c not in (*group, order, size)]
+    return sizes.join(numbered.drop(size), [*group, order]) if rest else numbered
 
 
 def nearest(observed: DataFrame, known: DataFrame, value: str, target: str, most: int, margin: int) -> DataFrame:
     """(value, best, dist) of the closest known string within ``most`` edits, if the runner-up is ``margin`` further.
 
-    Within one edit, strings share the text without one letter, so candidates meet by an equi-join on those; ``most`` is 1 at most.
+    Strings within k edits share a text that each becomes without k letters at most, so candidates, runners-up
+    too, meet by an equi-join on those texts.
     """
-    if most > 1:
-        raise ValueError("at most one edit")
+    reach = most + max(0, margin - 1)
 
     def keys(df: DataFrame, c: str) -> DataFrame:
-        without = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
-        return df.select(c, F.explode(F.array_distinct(F.concat(F.array(c), without))).alias("_key"))
+        def shorter(text: Column) -> Column:
+            each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))))
+            return F.array_append(each, text)
+
+        rows = df.select(c, F.array(c).alias("_keys"))
+        for _ in range(reach):
+            rows = rows.withColumn("_keys", F.array_distinct(F.flatten(F.transform("_keys", shorter))))
+        return rows.select(c, F.explode("_keys").alias("_key"))
 
     pairs = keys(observed.select(value).distinct(), value).join(keys(known.select(target).distinct(), target), "_key").select(value, target).distinct()
     pairs = pairs.withColumn("dist", F.levenshtein(value, target))
@@ -97,6 +104,28 @@ def nearest(observed: DataFrame, known: DataFrame, value: str, target: str, most
     return ranked.where((first["dist"] <= most) & (second.isNull() | (second["dist"] - first["dist"] >= margin))).select(value, first[target].alias("best"), first["dist"].alias("dist"))
 
 
+def zipped(*lists: Column) -> Column:
+    """Lists side by side, as an array of structs; unequal lengths fail the query."""
+    same = F.size(lists[0]) == F.size(lists[-1])
+    for one in lists[1:-1]:
+        same = same & (F.size(lists[0]) == F.size(one))
+    return F.when(same, F.arrays_zip(*lists)).otherwise(F.raise_error(F.lit("the lists have different lengths")))
+
+
+def without_tags(tags: Column, names: list[str]) -> Column:
+    """A map without the named keys."""
+    return F.map_filter(tags, lambda k, _: ~k.isin(names))
+
+
+def consensus(df: DataFrame, group: list[str], text: str, min_reads: int = 1, max_error: float = 1.0) -> DataFrame:
+    """(group, pos, ch, depth, errors): the most frequent letter at each place of a group's texts (ties: the least), N where fewer than ``min_reads`` texts reach or more than ``max_error`` of them disagree."""
+    letters = df.select(*group, F.posexplode(F.regexp_extract_all(F.col(text), F.lit("(?s)."), F.lit(0))).alias("pos", "ch"))
+    counts = letters.groupBy(*group, "pos", "ch").agg(F.count(F.lit(1)).alias("n"))
+    called = counts.groupBy(*group, "pos").agg(F.min_by("ch", F.struct(-F.col("n"), "ch")).alias("ch"), F.sum("n").alias("depth"), (F.sum("n") - F.max("n")).alias("errors"))
+    sure = (F.col("depth") >= min_reads) & (F.col("errors") <= max_error * F.col("depth"))
+    return called.withColumn("ch", F.when(sure, F.col("ch")).otherwise("N"))
+
+
 def majority(df: DataFrame, group: list[str], value: str, out: str) -> DataFrame:
     """The most frequent value of a group; the least among equals."""
     counts = df.groupBy(*group, value).count()

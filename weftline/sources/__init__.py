@@ -11,6 +11,38 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", header=True, comment="#", inferSchema=True)
 
 
+def metric_of(spark: SparkSession, path: str, column: str, value: str):
+    """The first row of a metrics file whose ``column`` is ``value``; it must exist."""
+    found = read_metrics(spark, path).where(F.col(column) == value).head()
+    if found is None:
+        raise LookupError(f"no row of {path} has {column} {value}")
+    return found
+
+
+def read_groups(spark: SparkSession, path: str) -> DataFrame:
+    """(sample): one row for each read group of a header; null where it names none."""
+    lines = spark.read.text(path).where(F.col("value").startswith("@RG"))
+    return lines.select(F.nullif(F.regexp_extract("value", r"\tSM:([^\t]*)", 1), F.lit("")).alias("sample"))
+
+
+def read_group_samples(spark: SparkSession, path: str) -> DataFrame:
+    """(sample): the distinct samples that a header's read groups name."""
+    return read_groups(spark, path).where("sample is not null").distinct()
+
+
+def first_sample(spark: SparkSession, path: str) -> str:
+    """The sample of a header's first read group; both must exist."""
+    group = read_groups(spark, path).head()
+    if group is None or group["sample"] is None:
+        raise LookupError(f"{path} has no read group with a sample")
+    return group["sample"]
+
+
+def write_lines(df: DataFrame, path: str, append: bool = False, compressed: bool = False) -> None:
+    """The one column as text, in place of what is there or after it. Compressed text reads back by its extension."""
+    df.write.mode("append" if append else "overwrite").option("compression", "gzip" if compressed else "none").text(path)
+
+
 def read_intervals(spark: SparkSession, path: str) -> DataFrame:
     """(contig, start, end): an interval list; lines that begin with ``@`` are its header."""
     parts = F.split("value", "\t")
