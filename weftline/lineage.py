@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +28,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder, so that a lost executor costs no recomputation."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it again.
+
+    For loops: a checkpoint keeps the estimated size of its plan, which joins multiply round by round without end; a file has its own.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

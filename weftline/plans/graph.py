@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.lineage import cut
+from weftline.lineage import written
 
 
 class Dependable:
@@ -89,11 +89,11 @@ def edges(spark: SparkSession, graph: Dependable) -> DataFrame:
 
 def closure(edges: DataFrame) -> DataFrame:
     """All (src, dst) with a path: paths are doubled until no pair is new, so cycles end too."""
-    pairs = cut(edges.select("src", "dst").distinct())
+    pairs = written(edges.select("src", "dst").distinct())
     count = pairs.count()
     while True:
         longer = pairs.alias("a").join(pairs.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-        pairs = cut(pairs.union(longer).distinct())
+        pairs = written(pairs.union(longer).distinct())
         now = pairs.count()
         if now == count:
             return pairs
@@ -102,11 +102,11 @@ def closure(edges: DataFrame) -> DataFrame:
 
 def spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """(node, label): the least label that reaches each node along the edges; nodes without a label take none on."""
-    edges, labels = cut(edges.select("src", "dst").distinct()), cut(labels.select("node", "label"))
+    edges, labels = written(edges.select("src", "dst").distinct()), written(labels.select("node", "label"))
     while True:
         near = edges.join(labels, edges["src"] == labels["node"]).groupBy("dst").agg(F.min("label").alias("near"))
         step = labels.join(near, labels["node"] == near["dst"], "left").select("node", "label", F.least("label", "near").alias("now"))
-        step = cut(step)
+        step = written(step)
         labels = step.select("node", F.col("now").alias("label"))
         if step.where("now <> label").isEmpty():
             return labels
@@ -123,23 +123,23 @@ def components(edges: DataFrame) -> DataFrame:
     label that reaches it, and what reaches the label's own node back within its label is that node's
     component. Labels are exchanged, never pairs of nodes.
     """
-    edges = cut(edges.where("src <> dst").select("src", "dst").distinct())
-    left, done = cut(nodes_of(edges)), []
+    edges = written(edges.where("src <> dst").select("src", "dst").distinct())
+    left, done = written(nodes_of(edges)), []
     while not left.isEmpty():
-        inner = cut(left.join(edges.select(F.col("dst").alias("node")), "node", "left_semi").join(edges.select(F.col("src").alias("node")), "node", "left_semi"))
+        inner = written(left.join(edges.select(F.col("dst").alias("node")), "node", "left_semi").join(edges.select(F.col("src").alias("node")), "node", "left_semi"))
         done.append(left.join(inner, "node", "left_anti").select("node", F.col("node").alias("component")))
         if inner.count() == left.count():
-            colour = cut(spread(edges, inner.select("node", F.col("node").alias("label"))))
+            colour = written(spread(edges, inner.select("node", F.col("node").alias("label"))))
             of = colour.select(F.col("node").alias("src"), F.col("label").alias("a"))
             to = colour.select(F.col("node").alias("dst"), F.col("label").alias("b"))
             back = edges.join(of, "src").join(to, "dst").where("a = b").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
             # Backwards from the labels' own nodes: 0 reaches, 1 doesn't.
             reached = spread(back, colour.select("node", F.when(F.col("node") == F.col("label"), 0).otherwise(1).alias("label"))).where("label = 0").select("node")
-            found = cut(colour.join(reached, "node").select("node", F.col("label").alias("component")))
+            found = written(colour.join(reached, "node").select("node", F.col("label").alias("component")))
             done.append(found)
             inner = inner.join(found, "node", "left_anti")
-        left = cut(inner)
-        edges = cut(edges.join(left.select(F.col("node").alias("src")), "src", "left_semi").join(left.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"))
+        left = written(inner)
+        edges = written(edges.join(left.select(F.col("node").alias("src")), "src", "left_semi").join(left.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"))
     out = left.select("node", F.col("node").alias("component"))
     for part in done:
         out = out.unionByName(part)
@@ -155,10 +155,10 @@ def cyclic(edges: DataFrame) -> DataFrame:
 
 def levels(edges: DataFrame) -> DataFrame:
     """Longest-path level of each node of an acyclic graph."""
-    level = cut(nodes_of(edges).select("node", F.lit(0).alias("level")))
+    level = written(nodes_of(edges).select("node", F.lit(0).alias("level")))
     for _ in range(level.count()):
         above = edges.join(level, edges["src"] == level["node"]).groupBy("dst").agg((F.max("level") + 1).alias("up"))
-        raised = cut(level.join(above, level["node"] == above["dst"], "left").select("node", F.col("level").alias("old"), F.greatest("level", F.coalesce("up", "level")).alias("level")))
+        raised = written(level.join(above, level["node"] == above["dst"], "left").select("node", F.col("level").alias("old"), F.greatest("level", F.coalesce("up", "level")).alias("level")))
         if raised.where("old <> level").isEmpty():
             return raised.select("node", "level")
         level = raised.drop("old")
