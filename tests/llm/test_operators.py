@@ -455,6 +455,23 @@ def test_jaccard(spark, docs, empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_of_large_groups(spark, monkeypatch):
+    """Groups of many blocks, with a pivot that doesn't reach all of them, and classes of many equal rows."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(70):  # a chain: each links with its neighbours, few with the pivot
+        rows.append((i, " ".join(words[i % 30 : i % 30 + 28] + [f"end{i // 30}"])))
+    for i in range(60):  # a star: near copies of one text
+        rows.append((200 + i, " ".join(w if k != i else f"x{i}" for k, w in enumerate(f"s{i}" for i in range(80)))))
+    rows += [(400 + i, "one and the same text of several words") for i in range(50)] + [(None, "one and the same text of several words"), (None, "no id and by itself here"), (500, "")]
+    joined = common.keyed_join
+    for most in (20_000, 3):
+        monkeypatch.setattr(common, "keyed_join", lambda big, small, key, rows, most=most: joined(big, small, key, rows, most, 10))
+        got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+        assert rows_of(got, "doc_id", "n_shingles", "component_id") == brute_components(rows)
+
+
 def test_pipeline_stages(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")

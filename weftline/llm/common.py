@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.lineage import cut, shared_folder
+from weftline.lineage import cut, written
 
 #: Separators of words: space and the ASCII controls from tab to carriage return.
 SPACE = r"[ \t-\r]+"
@@ -19,13 +17,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def small_join(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = 50_000) -> DataFrame:
     """Join with a materialised lookup table: broadcast when it has at most ``max_rows`` rows, else by shuffle."""
     if small.limit(max_rows + 1).count() <= max_rows:
@@ -92,13 +83,13 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     and the rounds end when no label changes. Nulls are not nodes.
     """
     pairs = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")
-    both = cut(pairs.union(pairs.select("y", "x")).distinct())
-    labels = cut(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("component")))
+    both = written(pairs.union(pairs.select("y", "x")).distinct())
+    labels = written(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("component")))
     while True:
         near = both.join(labels, both.y == labels.node).groupBy("x").agg(F.min("component").alias("near"))
         step = labels.join(near, labels.node == near.x).select("node", F.col("component").alias("old"), F.least("component", "near").alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("component").alias("far"))
-        moved = cut(step.join(jump, "mid").select("node", "old", F.least("mid", "far").alias("component")))
+        moved = written(step.join(jump, "mid").select("node", "old", F.least("mid", "far").alias("component")))
         labels = moved.drop("old")
         if moved.where("old <> component").isEmpty():
             return labels

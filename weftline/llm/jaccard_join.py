@@ -15,7 +15,10 @@ shingle and 64 a set, and compared with each other by 48 bits a shingle:
   histogram of set sizes.
 * Classes that share a list make up candidate groups. Each group is verified in
   blocks of bounded size, over the whole group or list by list, whichever needs
-  fewer comparisons; blocks return only the links that join something.
+  fewer comparisons; blocks return only the links that join something. A group of
+  several blocks is first verified block by block, each beside the group's pivot, the
+  class that most others share lists with. Only classes that this doesn't join with the
+  pivot are then compared with all others, so a cluster of near copies costs a copy of each, and no link is missed.
 
 Defined results: a null, empty or wordless text has no set, links with nothing
 and is its own component. Repeated rows come back as often as they came. Equal
@@ -246,22 +249,48 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     placed = groups.join(choice, "component")
     whole = placed.where("whole").select(F.lit(0).alias("kind"), F.col("component").alias("unit"), F.col("node").alias("set_id"), "members")
     single = lists.join(placed.where("not whole").select(F.col("node").alias("set_id")), "set_id").select(F.lit(1).alias("kind"), F.col("key").alias("unit"), "set_id", "members")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    dealt = (
-        whole.union(single)
-        .withColumn("blocks", blocks)
-        .withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("kind", "unit", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set_id")
-    )
-    verified = dealt.join(heavy.where(F.col("n") > boundary).select("set_id", "n", "shared"), "set_id")
-    verified = verified.union(dealt.join(light.select("set_id", F.size("light").cast("long").alias("n"), F.col("light").alias("shared")), "set_id"))
-    links = verified.groupBy("kind", "unit", "i", "j").applyInPandas(linked, "a long, b long")
-    parts = common.connected_components(common.cut(links), "a", "b")
-
-    labelled = rows.join(parts, rows["set_id"] == parts["node"], "left").select("doc_id", "set_id", "n", F.coalesce("component", "set_id").alias("part"))
-    least = labelled.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("least"))
-    return labelled.join(least, "part", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("part").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    dealt = whole.union(single).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    dealt = common.cut(dealt.withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")).drop("members"))
+    arrays = heavy.where(F.col("n") > boundary).select("set_id", "n", "shared").union(light.select("set_id", F.size("light").cast("long").alias("n"), F.col("light").alias("shared")))
+    parts = joined_classes(dealt, arrays, lists)
+
+    # What a class's rows are called is found class by class; then only a key lookup meets the rows.
+    least = rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("times"))
+    least = common.cut(least.join(parts, least["set_id"] == parts["node"], "left").select("set_id", "least", "times", F.col("component").alias("part")))
+    of_part = common.cut(least.where("part is not null").groupBy("part").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("classes")))
+    named = common.keyed_join(least.where("part is not null"), of_part, "part", "classes").select("set_id", "times", "component_id")
+    named = common.cut(named.union(least.where("part is null").select("set_id", "times", "least")))
+    linked_rows = common.keyed_join(rows.where("set_id is not null"), named, "set_id", "times").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return linked_rows.union(rows.where("set_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def joined_classes(dealt: DataFrame, arrays: DataFrame, lists: DataFrame) -> DataFrame:
+    """(node, component) of the classes that verified links join: ``dealt`` (kind, unit, set_id, blocks, own) names the candidates."""
+
+    def verified(rows: DataFrame) -> DataFrame:
+        return common.cut(rows.join(arrays, "set_id").groupBy("kind", "unit", "i", "j").applyInPandas(linked, "a long, b long"))
+
+    own = dealt.select("kind", "unit", F.col("own").alias("i"), F.col("own").alias("j"), "set_id")
+    large = common.cut(dealt.where("blocks > 1"))
+    if large.isEmpty():
+        return common.connected_components(verified(own), "a", "b")
+    shared = lists.join(large.select("set_id").distinct(), "set_id").groupBy("set_id").agg(F.sum("members").alias("shared"))
+    pivots = common.cut(large.join(shared, "set_id").groupBy("kind", "unit", "blocks").agg(F.max(F.struct("shared", "set_id", "own")).alias("pivot")).select("kind", "unit", "blocks", "pivot.set_id", "pivot.own"))
+    beside = pivots.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("i <> own").select("kind", "unit", "i", F.col("i").alias("j"), "set_id")
+    links = verified(own.union(beside))
+    parts = common.connected_components(links, "a", "b")
+
+    # (kind, unit) of the rest: the classes of another part than their unit's pivot.
+    of = lambda rows: rows.join(parts, rows["set_id"] == parts["node"], "left").drop("node").withColumn("part", F.coalesce("component", "set_id")).drop("component")
+    main = of(pivots.select("kind", "unit", "set_id")).select("kind", "unit", F.col("part").alias("main"))
+    rest = common.cut(common.small_join(of(large), common.cut(main), ["kind", "unit"]).where("part <> main").select("kind", "unit", "set_id", "blocks"))
+    if rest.isEmpty():
+        return parts
+    groups = common.cut(rest.groupBy("kind", "unit").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("sides")))
+    side = common.small_join(rest, groups, ["kind", "unit"]).withColumn("i", F.pmod(F.xxhash64("set_id", F.lit("rest")), F.col("sides")).cast("int"))
+    side = side.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("kind", "unit", "i", "j", "set_id")
+    others = common.small_join(large, groups, ["kind", "unit"]).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).select("kind", "unit", "i", F.col("own").alias("j"), "set_id")
+    return common.connected_components(links.union(verified(side.union(others).distinct())), "a", "b")
 
 
 def op10_jaccard_components(spark, sf_dir: str) -> DataFrame:
