@@ -546,3 +546,24 @@ def test_chat_of_many_turns(spark):
     spans = [r["formatted"][s["start"] : s["start"] + s["length"]] for s in r["loss_spans"]]
     assert spans == [s["text"] for s in r["segments"] if s["loss"]] and len(spans) == 1_500
     assert not by[2]["valid"] and by[2]["invalid_at"] == 0
+
+
+def test_language_learning(spark):
+    """The model's counts and blended logs, by brute force: nulls, wordless texts, shared and rare words."""
+    said = [("en", "The cat and the dog"), ("en", "the bird"), ("de", "der Hund und die Katze der"), ("fr", "le chat, le chien"), ("fr", None), ("xx", "123 ..."), ("de", "Über über"), ("en", "The cat and the dog")]
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(said)], "doc_id long, lang string, text string")
+    langs, prior, tables = language.learn(rows.select("lang", "text", "doc_id"))
+    assert langs == ["de", "en", "fr"] and np.allclose(prior, np.log(np.array([2, 3, 2]) / 7))
+    counts = {x: [Counter() for _ in range(language.GRAMS + 1)] for x in langs}
+    for lang, text in said:
+        for word in regex.findall(r"\p{L}+", (text or "").lower()):
+            counts[lang][0][word] += 1
+            for n in range(1, language.GRAMS + 1):
+                framed = word if n == 1 else f"<{word}>"
+                counts[lang][n].update(framed[i : i + n] for i in range(len(framed) - n + 1))
+    for n in range(language.GRAMS + 1):
+        every = sum((counts[x][n] for x in langs), Counter())
+        assert set(tables[n]) == {f for f, c in every.items() if c >= 2}
+        for f, got in tables[n].items():
+            share = language.BLEND * every[f] / sum(every.values())
+            assert np.allclose(got, [math.log((1 - language.BLEND) * counts[x][n][f] / sum(counts[x][n].values()) + share) for x in langs])

@@ -35,3 +35,30 @@ def test_near_duplicates_by_row(spark):
         stays = [row for row in got if row in group]
         ids = [row[0] for row in group if row[0] is not None]
         assert len(stays) == 1 and stays[0][0] == min(ids, default=None)
+
+
+HOSTILE = [
+    (None, "a text without an id that has quite enough words to be kept by the rules", "a", 1), (1, None, "a", 2), (1, "", None, 3), (2, "   \n ", "b", 4),
+    (3, "the same id twice, with one text of words that are all its own here", "b", 5), (3, "the same id twice, and another text that nobody else has said before", "b", 6),
+    (4, " ".join(f"long{i}" for i in range(20_000)), "c", 7), (4, " ".join(f"long{i}" for i in range(20_000)), "c", 7), (5, "short", "c", None),
+]
+CLASHING = "doc_id long, text string, source string, n_chars long, row string, words string, size string, key string, grp string, kept boolean, _row long"
+
+
+def test_stages_on_hostile_rows_and_names(spark):
+    """Nulls, repeated ids and rows, very long texts, columns with the operators' own names, and empty tables."""
+    rows = [(*r, "a", "b", "c", "d", "e", False, 9) for r in HOSTILE]
+    for name, stage in corpus_pipeline.STAGES:
+        docs = spark.createDataFrame(rows, CLASHING).repartition(2)
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        got = out.collect()
+        if name == "shard":
+            assert len(got) == len(rows) and {r["shard"] for r in got} <= set(range(24))
+        elif name == "mix":
+            assert out.columns == docs.columns and {r["doc_id"] for r in got} <= {r[0] for r in rows}
+        else:
+            left = [tuple(r) for r in docs.collect()]
+            assert out.columns == docs.columns
+            for r in got:
+                left.remove(tuple(r))
+        assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
