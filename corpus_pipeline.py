@@ -7,9 +7,12 @@
 4. mix: documents are taken as often as their source's target says; one taken twice is two rows.
 5. shard: the mix is dealt to shards, repeats of a text together where they fit.
 
-Stages but the last return the columns of ``documents``. No SQL expresses the
+Stages but the last return the columns of their input, whatever their names. Null ids and sources, null,
+empty and wordless texts stay or go by their stage's operator (a text without words fails the quality
+rules, is no duplicate, isn't contaminated, and isn't taken by the mix); repeated rows are judged alike, and one stays among near
+duplicates. Empty tables give empty results. No SQL expresses the
 stages; ``tests/llm/test_pipeline.py`` holds near_duplicates against a brute-force version,
-also on null and repeated ids, and ``tests/llm/test_operators.py`` checks all stages on sf0.001.
+also on null and repeated ids, and all stages on hostile rows, and ``tests/llm/test_operators.py`` checks all stages on sf0.001.
 """
 
 from __future__ import annotations
@@ -33,18 +36,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # Rows are told apart by a digest of all their columns, so a null or repeated id stands for no other row.
-    docs = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    found = jaccard_components(docs, doc_id="_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_component")).distinct()
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("text"), "_row")
-    placed = common.cut(docs.select("_row", order.alias("_order")).groupBy("_row").agg(F.min("_order").alias("_order"), F.count(F.lit(1)).alias("_times")).join(found, "_row"))
-    best = placed.groupBy("_component").agg(F.min("_order").alias("_best"))
-    placed = common.cut(placed.join(best, "_component").select("_row", "_times", (F.col("_order") == F.col("_best")).alias("_stays")))
-    kept = common.small_join(docs, placed.where("not _stays").select("_row"), "_row", "left_anti", max_rows=1_000_000)
-    repeated = placed.where("_stays and _times > 1").select("_row")
+    mark = "_row"
+    while mark in docs.columns:
+        mark = f"_{mark}"
+    docs = docs.withColumn(mark, F.xxhash64(*docs.columns))
+    found = jaccard_components(docs, doc_id=mark).select(F.col("doc_id").alias(mark), F.col("component_id").alias("_component")).distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("text"), mark)
+    placed = common.cut(docs.select(mark, order.alias("_order")).groupBy(mark).agg(F.min("_order").alias("_order"), F.count(F.lit(1)).alias("_times")).join(found, mark))
+    best = common.cut(placed.groupBy("_component").agg(F.min("_order").alias("_best"), F.count(F.lit(1)).alias("_rows")))
+    placed = common.cut(common.keyed_join(placed, best, "_component", "_rows").select(mark, "_times", (F.col("_order") == F.col("_best")).alias("_stays")))
+    kept = common.small_join(docs, placed.where("not _stays").select(mark), mark, "left_anti", max_rows=1_000_000)
+    repeated = placed.where("_stays and _times > 1").select(mark)
     if not repeated.isEmpty():
-        once = common.small_join(kept, repeated, "_row", "left_semi").dropDuplicates(["_row"])
-        kept = common.small_join(kept, repeated, "_row", "left_anti").unionByName(once)
-    return kept.drop("_row")
+        once = common.small_join(kept, repeated, mark, "left_semi").dropDuplicates([mark])
+        kept = common.small_join(kept, repeated, mark, "left_anti").unionByName(once)
+    return kept.drop(mark)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
