@@ -111,6 +111,24 @@ def test_decontamination(spark, docs, empty):
     assert not any(r["contaminated"] for r in decontaminate.contamination(docs, bench.limit(0)).collect())
 
 
+@pytest.mark.parametrize("block", [1, 7])
+def test_decontamination_beyond_a_broadcast(spark, docs, monkeypatch, block):
+    items = [("i1", " ".join(BASE.split()[3:20])), ("i2", "one two"), ("i3", "e"), ("i4", "w12 x12 w13 x13"), ("i5", "words here to be counted and kept in the end")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    want = sorted(((t[0], *brute_contamination(t[1], items)) for t in table()), key=repr)
+    monkeypatch.setattr(decontaminate, "BLOCK", block)
+    monkeypatch.setattr(common, "fits", lambda small, max_rows: False)
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    assert rows_of(decontaminate.contamination(docs, bench), *columns) == want
+
+
+def test_fits_counts_rows_and_bytes(spark, monkeypatch):
+    small = spark.createDataFrame([(1, "x" * 100), (2, None)], "k long, v string")
+    assert common.fits(small, 2) and not common.fits(small, 1) and not common.fits(small, -1) and common.fits(small.limit(0), 0)
+    monkeypatch.setattr(common, "MAX_BYTES", 50)
+    assert not common.fits(small, 2)
+
+
 def test_decontamination_null_item(spark):
     """An item without an id gives hits, but no name."""
     docs = spark.createDataFrame([(1, "say quietly mix potions now"), (2, "one two three"), (3, "quietly mix potions one two three"), (4, "clean")], "doc_id long, text string")

@@ -17,11 +17,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Bytes (as JSON text) of a table that may be broadcast, at most.
+MAX_BYTES = 64 << 20
+
+
+def fits(small: DataFrame, max_rows: int) -> bool:
+    """Whether a materialised table is small enough to be broadcast, by its rows and bytes."""
+    if small.limit(max(0, max_rows + 1)).count() > max_rows:
+        return False
+    return (small.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0) <= MAX_BYTES
+
+
 def small_join(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = 50_000) -> DataFrame:
-    """Join with a materialised lookup table: broadcast when it has at most ``max_rows`` rows, else by shuffle."""
-    if small.limit(max_rows + 1).count() <= max_rows:
-        small = F.broadcast(small)
-    return big.join(small, on, how)
+    """Join with a materialised lookup table: broadcast when it has at most ``max_rows`` rows and ``MAX_BYTES``, else by shuffle."""
+    return big.join(F.broadcast(small) if fits(small, max_rows) else small, on, how)
 
 
 def keyed_join(big: DataFrame, small: DataFrame, key: str, rows: str, max_rows: int = 20_000, heavy: int = 50_000) -> DataFrame:
@@ -30,7 +39,7 @@ def keyed_join(big: DataFrame, small: DataFrame, key: str, rows: str, max_rows:
     A large table is joined by shuffle but for keys of over ``heavy`` rows, of which there are at most
     a ``heavy``-th as many as rows: these are broadcast, so no key brings more than that to one task.
     """
-    if small.limit(max_rows + 1).count() <= max_rows:
+    if fits(small, max_rows):
         return big.join(F.broadcast(small.drop(rows)), key)
     often = small.where(F.col(rows) > heavy).drop(rows)
     rare = big.join(F.broadcast(often.select(key)), key, "left_anti").join(small.where(F.col(rows) <= heavy).drop(rows), key)
@@ -39,7 +48,7 @@ def keyed_join(big: DataFrame, small: DataFrame, key: str, rows: str, max_rows:
 
 def keyed_rest(big: DataFrame, small: DataFrame, key: str, rows: str, max_rows: int = 20_000, heavy: int = 50_000) -> DataFrame:
     """What ``keyed_join`` leaves: the rows of ``big`` whose key ``small`` hasn't; rows without a key aren't exchanged."""
-    if small.limit(max_rows + 1).count() <= max_rows:
+    if fits(small, max_rows):
         return big.join(F.broadcast(small.select(key)), key, "left_anti")
     named = big.where(F.col(key).isNotNull()).join(F.broadcast(small.where(F.col(rows) > heavy).select(key)), key, "left_anti")
     return big.where(F.col(key).isNull()).unionByName(named.join(small.where(F.col(rows) <= heavy).select(key), key, "left_anti"))

@@ -6,7 +6,8 @@ by rarity, by their counts over all documents. As a window must be contained
 whole, its rarest shingle alone is a necessary prefix, so only that is joined
 with the documents' shingles; the place of the shingle in the window then bounds
 where the window would start and end in the document, and exact comparison of
-the words verifies it. DataFrame functions only.
+the words verifies it. DataFrame functions only. All texts are read three times:
+for the counts, for the hits and for the documents' rows.
 
 Defined results: null and wordless texts have no words and aren't contaminated;
 null and wordless items have no windows. Items with the same id count once. An
@@ -24,6 +25,10 @@ from pyspark.sql import functions as F
 from weftline.llm import common
 
 WINDOW, SHINGLE = 10, 3
+#: Places of a text that are searched as one row.
+BLOCK = 128
+#: Tasks that copies of one text go to where hits are too many to broadcast.
+SPREAD = 64
 #: What is not a digit, a letter or beyond ASCII; A-Z are letters, and lower-cased after.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -36,12 +41,20 @@ def words(text: Column) -> Column:
     return F.transform(plain_words(text), common.ascii_lower)
 
 
-def shingles(column: str, width: int) -> Column:
-    """Hashes of all runs of ``width`` words of an array column."""
+def shingles(column: str, widths: list[int], low, positions) -> Column:
+    """Hashes of the runs of words of an array column that start at ``low`` and the ``positions`` - 1 next places, width after width.
+
+    A run that passes the array's end has a hash too, which no whole run shares.
+    """
+    places = F.sequence(low, low + positions - 1)
+
+    def of(w: Column, n: int) -> Column:
+        return F.transform(places, lambda i: F.xxhash64(F.lit(n), *[F.get(w, i + k) for k in range(n)]))
+
     def runs(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: F.xxhash64(F.lit(width), *[F.get(w, i + k) for k in range(width)]))
+        return F.concat(*[of(w, n) for n in widths]) if len(widths) > 1 else of(w, widths[0])
 
-    return F.when(F.size(column) >= width, common.let(F.col(column), runs)).otherwise(F.array().cast("array<long>"))
+    return common.let(F.col(column), runs)
 
 
 def windows(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -53,29 +66,61 @@ def windows(items: DataFrame, item_id: str = "item_id", text: str = "text") -> D
     return rows.groupBy("words").agg(F.collect_set("item").alias("items")).select(F.xxhash64("words").alias("window"), "words", F.size("words").alias("length"), "items")
 
 
-def occurrences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(text_key, window, start, length) of every occurrence of the ``wanted`` windows in (text_key, words)."""
-    widths = [r["width"] for r in wanted.select(F.least("length", F.lit(SHINGLE)).alias("width")).distinct().collect()]
+def blocks(docs: DataFrame) -> DataFrame:
+    """(text_key, words, low, lead, positions): texts in blocks of ``BLOCK`` places, each with the words around that a window over them reaches.
+
+    ``low`` is the place of the first word, the block's own places start ``lead`` words after. So what a
+    shingle carries doesn't grow with its text.
+    """
+    size = F.size("words")
+
+    def block(first: Column) -> Column:
+        low = F.greatest(first - (WINDOW - 1), F.lit(0))
+        near = F.slice("words", low + 1, F.least(size, first + BLOCK + WINDOW - 1) - low)
+        return F.struct(near.alias("words"), low.alias("low"), (first - low).alias("lead"), F.least(F.lit(BLOCK), size - first).alias("positions"))
+
+    found = docs.where(size > 0).select("text_key", F.explode(F.transform(F.sequence(F.lit(0), size - 1, F.lit(BLOCK)), block)).alias("block"))
+    return found.select("text_key", "block.*")
+
+
+def occurrences(docs: DataFrame, wanted: DataFrame, most_tokens: int = 1_000_000, most_windows: int = 200_000) -> DataFrame:
+    """(text_key, window, start, length) of every occurrence of the ``wanted`` windows in (text_key, words).
+
+    Beyond ``most_tokens`` shingles or ``most_windows`` windows (or ``common.MAX_BYTES``) nothing is
+    broadcast but shingles of very many occurrences, and shingles are exchanged with the words around them only.
+    """
+    width = F.least("length", F.lit(SHINGLE))
+    widths = sorted(r["width"] for r in wanted.select(width.alias("width")).distinct().collect())
     if not widths:
         return docs.where(F.lit(False)).select("text_key", F.lit(0).cast("long").alias("window"), F.lit(0).alias("start"), F.lit(0).alias("length"))
-    found = None
-    for width in sorted(widths):
-        tokens = wanted.where(F.least("length", F.lit(SHINGLE)) == width).select("window", F.posexplode(shingles("words", width)).alias("offset", "token"))
-        tokens = common.cut(tokens)
-        runs = docs.select("text_key", "words", F.posexplode(shingles("words", width)).alias("at", "token"))
-        distinct = common.cut(tokens.select("token").distinct())
-        counts = common.small_join(runs.select("token"), distinct, "token", max_rows=1_000_000).groupBy("token").count()
-        rarest = tokens.join(counts, "token", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "token", "offset")).alias("rarest"))
-        prefix = common.cut(rarest.where("rarest.count > 0").select("window", "rarest.token", "rarest.offset").join(wanted.select("window", F.col("words").alias("sought"), "length"), "window"))
-        start = F.col("at") - F.col("offset")
-        hits = common.small_join(runs, prefix, "token", max_rows=200_000).where(
-            (start >= 0) & (start + F.col("length") <= F.size("words")) & (F.slice("words", start + 1, F.col("length")) == F.col("sought"))
-        ).select("text_key", "window", start.alias("start"), "length")
-        found = hits if found is None else found.union(hits)
-    return found
-
-
-def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
+    tokens = None
+    for n in widths:
+        some = wanted.where(width == n).select("window", F.posexplode(shingles("words", [n], F.lit(0), F.size("words") - n + 1)).alias("offset", "token"))
+        tokens = some if tokens is None else tokens.union(some)
+    tokens = common.cut(tokens)
+    runs = blocks(docs).select("text_key", "words", "low", "lead", "positions", F.posexplode(shingles("words", widths, F.col("lead"), F.col("positions"))).alias("at", "token"))
+    runs = runs.select("text_key", "words", "low", (F.col("lead") + F.col("at") % F.col("positions")).alias("place"), "token")
+    every = docs.where(F.size("words") > 0).select(F.explode(shingles("words", widths, F.lit(0), F.size("words"))).alias("token"))
+    distinct = common.cut(tokens.select("token").distinct())
+    if common.fits(distinct, most_tokens):
+        counts = every.join(F.broadcast(distinct), "token").groupBy("token").count()
+    else:
+        counts = every.groupBy("token").count().join(distinct, "token")
+    rarest = tokens.join(counts, "token", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "token", "offset")).alias("rarest"))
+    prefix = common.cut(rarest.where("rarest.count > 0").select("window", "rarest.*").join(wanted.select("window", F.col("words").alias("sought"), "length"), "window"))
+    if common.fits(prefix, most_windows):
+        met = runs.join(F.broadcast(prefix), "token")
+    else:
+        before = F.greatest(F.col("place") - (WINDOW - 1), F.lit(0))
+        near = runs.select("text_key", F.slice("words", before + 1, F.lit(2 * WINDOW - 1)).alias("words"), (F.col("low") + before).alias("low"), (F.col("place") - before).alias("place"), "token")
+        met = common.keyed_join(near, prefix, "token", "count", max_rows=-1)
+    start = F.col("place") - F.col("offset")
+    return met.where(
+        (start >= 0) & (start + F.col("length") <= F.size("words")) & (F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("length")) == F.col("sought"))
+    ).select("text_key", "window", (F.col("low") + start).alias("start"), "length")
+
+
+def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: bool = False, most_hits: int = 20_000) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) per document; with ``keep`` also ``row``, the input row."""
     key = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))
     wanted = common.cut(windows(items))
@@ -92,7 +137,13 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     hits = common.cut(hits.select("text_key", n_hit.cast("long").alias("n_hit")).join(named, "text_key", "left"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), key.alias("text_key"), F.size(plain_words(F.col(text))).cast("long").alias("n_words"), *([F.struct("*").alias("row")] if keep else []))
     ids = F.coalesce("ids", F.array().cast("array<string>"))
-    return common.small_join(rows, hits, "text_key", "left", max_rows=20_000).select(
+    if common.fits(hits, most_hits):
+        found = rows.join(F.broadcast(hits), "text_key", "left")
+    else:
+        salt = F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).cast("int")
+        each = hits.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+        found = rows.withColumn("_salt", salt).join(each, ["text_key", "_salt"], "left")
+    return found.select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), *(["row"] if keep else []),
     )
