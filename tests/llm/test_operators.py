@@ -111,17 +111,23 @@ def test_decontamination(spark, docs, empty):
     assert not any(r["contaminated"] for r in decontaminate.contamination(docs, bench.limit(0)).collect())
 
 
-@pytest.mark.parametrize("block", [1, 7])
-def test_decontamination_beyond_a_broadcast(spark, docs, monkeypatch, block):
+def test_decontamination_beyond_a_broadcast(spark, docs, monkeypatch):
     items = [("i1", " ".join(BASE.split()[3:20])), ("i2", "one two"), ("i3", "e"), ("i4", "w12 x12 w13 x13"), ("i5", "words here to be counted and kept in the end")]
     bench = spark.createDataFrame(items, "item_id string, text string")
     want = sorted(((t[0], *brute_contamination(t[1], items)) for t in table()), key=repr)
-    monkeypatch.setattr(decontaminate, "BLOCK", block)
     monkeypatch.setattr(common, "fits", lambda small, max_rows: False)
     columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     assert rows_of(decontaminate.contamination(docs, bench), *columns) == want
 
 
+def test_ascii_lower_text(spark):
+    """A-Z only: capitals beyond ASCII, and letters whose lower case has another length, stay."""
+    texts = ["", "ABC xyZ", "É und A", "über A", "İSTANBUL", "ΑΣ Σ A", "ß ẞ Q", "\u212aELVIN K", "ǅ Z", "I\u0307 I", "😀 A", "日本 T\x00A"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", common.ascii_lower_text(F.col("t")).alias("l")).collect()
+    assert all(r["l"] == low(r["t"]) for r in got) and len(got) == len(texts)
+    assert spark.range(1).select(common.ascii_lower_text(F.lit(None).cast("string")).alias("l")).first()["l"] is None
+
+
 def test_fits_counts_rows_and_bytes(spark, monkeypatch):
     small = spark.createDataFrame([(1, "x" * 100), (2, None)], "k long, v string")
     assert common.fits(small, 2) and not common.fits(small, 1) and not common.fits(small, -1) and common.fits(small.limit(0), 0)

@@ -59,6 +59,13 @@ def ascii_lower(word: Column) -> Column:
     return F.when(F.lower(word) == word, word).otherwise(F.translate(word, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
+def ascii_lower_text(text: Column) -> Column:
+    """Lower-case A-Z only, for whole texts: ``lower`` serves where it changes nothing beyond ASCII."""
+    other = F.regexp_replace(text, r"[\x00-\x7F]+", "")
+    plain = (F.octet_length(text) == F.char_length(text)) | (F.lower(other) == other)
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
 def space_words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 from weftline.llm import common
 
 WINDOW, SHINGLE = 10, 3
-#: Places of a text that are searched as one row.
-BLOCK = 128
 #: Tasks that copies of one text go to where hits are too many to broadcast.
 SPREAD = 64
 #: What is not a digit, a letter or beyond ASCII; A-Z are letters, and lower-cased after.
@@ -38,23 +36,27 @@ def plain_words(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.transform(plain_words(text), common.ascii_lower)
+    return plain_words(common.ascii_lower_text(text.cast("string")))
 
 
-def shingles(column: str, widths: list[int], low, positions) -> Column:
-    """Hashes of the runs of words of an array column that start at ``low`` and the ``positions`` - 1 next places, width after width.
+def with_runs(df: DataFrame, widths: list[int], place: str | None = None) -> DataFrame:
+    """``df`` with a row per run of words of its column ``words`` and width: ``token``, a hash of the run, and its ``place``.
 
-    A run that passes the array's end has a hash too, which no whole run shares.
+    Neighbours are zipped and exploded, so that no lambda keeps a text's words out of generated code:
+    they aren't copied for each run. A run that passes the end is null behind it and is left out.
     """
-    places = F.sequence(low, low + positions - 1)
+    widest = max(widths)
+    zipped = F.arrays_zip(F.col("words").alias("w0"), *[F.slice("words", k + 1, F.size("words")).alias(f"w{k}") for k in range(1, widest)])
+    found = df.select("*", F.posexplode(zipped).alias(place, "_run") if place else F.explode(zipped).alias("_run"))
 
-    def of(w: Column, n: int) -> Column:
-        return F.transform(places, lambda i: F.xxhash64(F.lit(n), *[F.get(w, i + k) for k in range(n)]))
+    def token(n: int) -> Column:
+        return F.when(F.col(f"_run.w{n - 1}").isNotNull(), F.xxhash64(F.lit(n), *[F.col(f"_run.w{k}") for k in range(n)]))
 
-    def runs(w: Column) -> Column:
-        return F.concat(*[of(w, n) for n in widths]) if len(widths) > 1 else of(w, widths[0])
-
-    return common.let(F.col(column), runs)
+    if len(widths) == 1:
+        found = found.withColumn("token", token(widths[0]))
+    else:
+        found = found.withColumn("token", F.explode(F.array(*[token(n) for n in widths])))
+    return found.drop("_run").where("token is not null")
 
 
 def windows(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -66,23 +68,6 @@ def windows(items: DataFrame, item_id: str = "item_id", text: str = "text") -> D
     return rows.groupBy("words").agg(F.collect_set("item").alias("items")).select(F.xxhash64("words").alias("window"), "words", F.size("words").alias("length"), "items")
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """(text_key, words, low, lead, positions): texts in blocks of ``BLOCK`` places, each with the words around that a window over them reaches.
-
-    ``low`` is the place of the first word, the block's own places start ``lead`` words after. So what a
-    shingle carries doesn't grow with its text.
-    """
-    size = F.size("words")
-
-    def block(first: Column) -> Column:
-        low = F.greatest(first - (WINDOW - 1), F.lit(0))
-        near = F.slice("words", low + 1, F.least(size, first + BLOCK + WINDOW - 1) - low)
-        return F.struct(near.alias("words"), low.alias("low"), (first - low).alias("lead"), F.least(F.lit(BLOCK), size - first).alias("positions"))
-
-    found = docs.where(size > 0).select("text_key", F.explode(F.transform(F.sequence(F.lit(0), size - 1, F.lit(BLOCK)), block)).alias("block"))
-    return found.select("text_key", "block.*")
-
-
 def occurrences(docs: DataFrame, wanted: DataFrame, most_tokens: int = 1_000_000, most_windows: int = 200_000) -> DataFrame:
     """(text_key, window, start, length) of every occurrence of the ``wanted`` windows in (text_key, words).
 
@@ -95,12 +80,11 @@ def occurrences(docs: DataFrame, wanted: DataFrame, most_tokens: int = 1_000_000
         return docs.where(F.lit(False)).select("text_key", F.lit(0).cast("long").alias("window"), F.lit(0).alias("start"), F.lit(0).alias("length"))
     tokens = None
     for n in widths:
-        some = wanted.where(width == n).select("window", F.posexplode(shingles("words", [n], F.lit(0), F.size("words") - n + 1)).alias("offset", "token"))
+        some = with_runs(wanted.where(width == n).select("window", "words"), [n], "offset").drop("words")
         tokens = some if tokens is None else tokens.union(some)
     tokens = common.cut(tokens)
-    runs = blocks(docs).select("text_key", "words", "low", "lead", "positions", F.posexplode(shingles("words", widths, F.col("lead"), F.col("positions"))).alias("at", "token"))
-    runs = runs.select("text_key", "words", "low", (F.col("lead") + F.col("at") % F.col("positions")).alias("place"), "token")
-    every = docs.where(F.size("words") > 0).select(F.explode(shingles("words", widths, F.lit(0), F.size("words"))).alias("token"))
+    runs = with_runs(docs.select("text_key", "words"), widths, "place")
+    every = with_runs(docs.select("words"), widths).select("token")
     distinct = common.cut(tokens.select("token").distinct())
     if common.fits(distinct, most_tokens):
         counts = every.join(F.broadcast(distinct), "token").groupBy("token").count()
@@ -109,10 +93,10 @@ def occurrences(docs: DataFrame, wanted: DataFrame, most_tokens: int = 1_000_000
     rarest = tokens.join(counts, "token", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "token", "offset")).alias("rarest"))
     prefix = common.cut(rarest.where("rarest.count > 0").select("window", "rarest.*").join(wanted.select("window", F.col("words").alias("sought"), "length"), "window"))
     if common.fits(prefix, most_windows):
-        met = runs.join(F.broadcast(prefix), "token")
+        met = runs.withColumn("low", F.lit(0)).join(F.broadcast(prefix), "token")
     else:
         before = F.greatest(F.col("place") - (WINDOW - 1), F.lit(0))
-        near = runs.select("text_key", F.slice("words", before + 1, F.lit(2 * WINDOW - 1)).alias("words"), (F.col("low") + before).alias("low"), (F.col("place") - before).alias("place"), "token")
+        near = runs.select("text_key", F.slice("words", before + 1, F.lit(2 * WINDOW - 1)).alias("words"), before.alias("low"), (F.col("place") - before).alias("place"), "token")
         met = common.keyed_join(near, prefix, "token", "count", max_rows=-1)
     start = F.col("place") - F.col("offset")
     return met.where(
