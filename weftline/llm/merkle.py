@@ -311,3 +311,30 @@ def op13_merkle_manifest(spark, sf_dir: str) -> DataFrame:
     siblings = F.array_join(F.transform("path", lambda s: F.concat(s["before"], s["after"])), "")
     out = proofs.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), fold(F.col("tampered"), F.col("path")).alias("folded_root"))
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+ORACLE = r"""
+WITH RECURSIVE
+d AS (SELECT doc_id, source, lang, n_chars, text, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+  lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))) AS crc FROM documents),
+x AS (SELECT *, xor(crc, 4294967295) % 2 = 0 AS even,
+  coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-') AS head,
+  replace(text, chr(10), '') AS flat FROM d),
+l AS (SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, CASE WHEN even THEN sha256(head || coalesce(strlen(flat) || ':' || flat, '-')) END AS changed FROM x),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s FROM l),
+tree AS (SELECT s, 0 AS level, i AS idx, n, leaf AS digest FROM r
+  UNION ALL SELECT s, level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx)) FROM tree WHERE n > 1 GROUP BY s, level, idx // 3, n),
+sub AS (SELECT s, digest, (SELECT count(DISTINCT s) FROM tree) AS n FROM tree WHERE n = 1),
+up AS (SELECT 0 AS level, s AS idx, n, digest FROM sub
+  UNION ALL SELECT level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx)) FROM up WHERE n > 1 GROUP BY level, idx // 3, n),
+steps AS (SELECT r.s, r.i, t.level AS pos, string_agg(t.digest, '' ORDER BY t.idx) FILTER (t.idx < r.i // (3 ** t.level)::BIGINT) AS before, string_agg(t.digest, '' ORDER BY t.idx) FILTER (t.idx > r.i // (3 ** t.level)::BIGINT) AS after
+  FROM r JOIN tree t ON t.s = r.s AND t.n > 1 AND t.idx // 3 = r.i // (3 ** (t.level + 1))::BIGINT GROUP BY ALL),
+ups AS (SELECT sub.s, t.level + 1000 AS pos, string_agg(t.digest, '' ORDER BY t.idx) FILTER (t.idx < sub.s // (3 ** t.level)::BIGINT) AS before, string_agg(t.digest, '' ORDER BY t.idx) FILTER (t.idx > sub.s // (3 ** t.level)::BIGINT) AS after
+  FROM sub JOIN up t ON t.n > 1 AND t.idx // 3 = sub.s // (3 ** (t.level + 1))::BIGINT GROUP BY ALL),
+every AS (SELECT s, i, pos, coalesce(before, '') AS before, coalesce(after, '') AS after FROM steps UNION ALL SELECT r.s, r.i, pos, coalesce(before, ''), coalesce(after, '') FROM r JOIN ups USING (s)),
+paths AS (SELECT s, i, list({'b': before, 'a': after} ORDER BY pos) AS path, string_agg(before || after, '' ORDER BY pos) AS siblings FROM every GROUP BY ALL),
+folds AS (SELECT s, i, coalesce(changed, leaf) AS value, coalesce(path, []) AS path, 1 AS k FROM r LEFT JOIN paths USING (s, i)
+  UNION ALL SELECT s, i, sha256(path[k].b || value || path[k].a), path, k + 1 FROM folds WHERE k <= len(path))
+SELECT doc_id, leaf, sub.digest AS subroot, top.digest AS root, sha256(coalesce(siblings, '')) AS proof_sha256, f.value AS folded_root, f.value = top.digest AS verified
+FROM r JOIN sub USING (s) JOIN (SELECT digest FROM up WHERE n = 1) top ON true LEFT JOIN paths USING (s, i) JOIN folds f ON f.s = r.s AND f.i = r.i AND f.k = len(f.path) + 1
+"""

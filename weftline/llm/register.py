@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import chat_format, decontaminate, filter_audit, source_mix
+from weftline.llm import chat_format, decontaminate, filter_audit, merkle, source_mix
 from weftline.llm.chat_format import op9_chat_format
 from weftline.llm.decontaminate import op2_decontamination
 from weftline.llm.filter_audit import op11_filter_audit
@@ -31,5 +31,5 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op1_source_mix": source_mix.ORACLE, "op2_decontamination": decontaminate.ORACLE, "op9_chat_format": chat_format.ORACLE, "op11_filter_audit": filter_audit.ORACLE,
+        "op1_source_mix": source_mix.ORACLE, "op2_decontamination": decontaminate.ORACLE, "op9_chat_format": chat_format.ORACLE, "op11_filter_audit": filter_audit.ORACLE, "op13_merkle_manifest": merkle.ORACLE,
     }
