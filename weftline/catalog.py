@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline import functions as fn
 from weftline import operators as op
-from weftline import alignments, records  # noqa: F401  (their queries register themselves)
+from weftline import alignments, records, samples  # noqa: F401  (their queries register themselves)
 from weftline.plans import graph
 from weftline.plans.scatter import Scatter
 from weftline.registry import oracle_sql, queries, query, table  # noqa: F401

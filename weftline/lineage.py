@@ -38,3 +38,13 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def removed(df: DataFrame) -> None:
+    """Delete the files that a table made by ``written`` is read from; nothing may read it any more."""
+    folder = shared_folder(df.sparkSession).rstrip("/")
+    hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs
+    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = hadoop.Path(file)
+        if path.getParent().toUri().getPath().rstrip("/") == hadoop.Path(folder).toUri().getPath().rstrip("/"):
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.lineage import written
+from weftline.lineage import removed, written
 
 
 class Dependable:
@@ -112,6 +112,27 @@ def spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
             return labels
 
 
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, component): the least node that undirected edges connect each node of ``edges`` to.
+
+    A round takes the least label of a node's neighbours, and then that label's own label, so a chain of n nodes takes about log n rounds. The
+    table of a round is removed as the next one is written.
+    """
+    pairs = edges.select(F.col("src").alias("x"), F.col("dst").alias("y")).where("x is not null and y is not null and x <> y")
+    both = written(pairs.union(pairs.select("y", "x")).distinct())
+    labels = written(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("component")))
+    while True:
+        near = both.join(labels, both["y"] == labels["node"]).groupBy("x").agg(F.min("component").alias("near"))
+        step = labels.join(near, labels["node"] == near["x"]).select("node", F.col("component").alias("old"), F.least("component", "near").alias("mid"))
+        moved = written(step.join(labels.select(F.col("node").alias("mid"), F.col("component").alias("far")), "mid").select("node", "old", F.least("mid", "far").alias("component")))
+        done = moved.where("old <> component").isEmpty()
+        removed(labels)
+        labels = moved.drop("old")
+        if done:
+            removed(both)
+            return labels
+
+
 def nodes_of(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
 
