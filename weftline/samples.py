@@ -1,12 +1,16 @@
-"""Queries of exact samples, clusters of near points, mixtures of samples and joint sites."""
+"""Queries of exact samples, clusters of near points, mixtures of samples, joint sites and files of records."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline import lineage
 from weftline.operators import mixture, proximity, sampling, sites
 from weftline.registry import query, table
+from weftline.sources import reads
 
 NEAR = 20
 
@@ -89,3 +93,31 @@ def event_records(spark, sf_dir: str) -> DataFrame:
 SELECT pos, count(*) AS n_called, count(*) FILTER (varies) AS n_variant, count(*) FILTER (NOT varies) AS n_block FROM m GROUP BY 1""")
 def j_sites(spark, sf_dir):
     return sites.site_summary(sites.site_matrix(event_records(spark, sf_dir), [], "user_id", "varies", ["value"]), [], "user_id", "varies")
+
+
+# Files of records
+
+
+@query("SELECT c_name AS name, c_mktsegment AS comment, translate(md5(c_custkey::VARCHAR), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq, '@' || left(md5(c_name), 31) AS qual FROM customer")
+def src_reads(spark, sf_dir):
+    """Written in compressed blocks and read back, many tasks a file; qualities begin as a record does."""
+    qual = F.concat(F.lit("@"), F.left(F.md5("c_name"), F.lit(31)))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("comment"), F.translate(F.md5(F.col("c_custkey").cast("string")), "0123456789abcdef", "ACGTACGTACGTACGT").alias("seq"), qual.alias("qual"))
+    path = f"{lineage.shared_folder(spark)}/{uuid.uuid4().hex}.reads"
+    reads.write_reads(rows, path)
+    return reads.read_reads(spark, path, split=1 << 15).select("name", "comment", "seq", "qual")
+
+
+@query("""SELECT o_orderkey AS name, mate, translate(md5(mate || '-' || o_orderkey), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq, list_sum(list_transform(string_split(md5(o_orderkey::VARCHAR), ''), lambda c: ord(c) - 33))::BIGINT AS total FROM orders, (SELECT unnest([1, 2]) AS mate)""")
+def src_pairs(spark, sf_dir):
+    """Two plain files of mates, read and joined by name."""
+    orders, folder = table(spark, sf_dir, "orders"), f"{lineage.shared_folder(spark)}/{uuid.uuid4().hex}"
+
+    def file(mate: int) -> DataFrame:
+        key = F.col("o_orderkey").cast("string")
+        rows = orders.select(F.concat(key, F.lit(f"/{mate}")).alias("name"), F.lit("").alias("comment"), F.translate(F.md5(F.concat(F.lit(f"{mate}-"), key)), "0123456789abcdef", "ACGTACGTACGTACGT").alias("seq"), F.md5(key).alias("qual"))
+        reads.write_reads(rows, f"{folder}-{mate}.reads", blocks=False)
+        return reads.read_reads(spark, f"{folder}-{mate}.reads", split=1 << 16)
+
+    out = reads.unaligned(file(1), file(2), "s")
+    return out.select(F.col("name").cast("long").alias("name"), "mate", "seq", F.aggregate("quals", F.lit(0).cast("long"), lambda a, q: a + q).alias("total"))
