@@ -11,6 +11,7 @@ from weftline import lineage
 from weftline.operators import mixture, proximity, sampling, sites
 from weftline.registry import query, table
 from weftline.sources import reads
+from weftline.streaming import ordering
 
 NEAR = 20
 
@@ -121,3 +122,24 @@ def src_pairs(spark, sf_dir):
 
     out = reads.unaligned(file(1), file(2), "s")
     return out.select(F.col("name").cast("long").alias("name"), "mate", "seq", F.aggregate("quals", F.lit(0).cast("long"), lambda a, q: a + q).alias("total"))
+
+
+# A stream in order
+
+
+@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) - 1 AS number FROM events")
+def w_stream_sort(spark, sf_dir):
+    """Events that arrive up to six hours late, in two runs of one stream that goes on from its checkpoint."""
+    folder = f"{lineage.shared_folder(spark)}/{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp_ltz").alias("ts"))
+    delay = F.conv(F.left(F.md5(F.col("event_id").cast("string")), F.lit(6)), 16, 10).cast("long") % (6 * 3600)
+    arrives = F.unix_seconds("ts") + delay
+    ends = events.agg(F.min(arrives).alias("lo"), F.max(arrives).alias("hi")).first()
+    last = events.select("user_id").distinct().select(F.lit(-1).cast("long").alias("event_id"), "user_id", F.timestamp_seconds(F.lit((ends["hi"] or 0) + 365 * 86400)).alias("ts"))  # moves the watermark past all others
+    for k in range(2):
+        part = events.where(F.floor((arrives - (ends["lo"] or 0)) * 2 / ((ends["hi"] or 0) - (ends["lo"] or 0) + 1)) == k)
+        (part if k < 1 else part.unionByName(last)).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
+        run = ordering.reordered(stream, ["user_id"], "ts", "6 hours", ["event_id"]).writeStream.format("parquet")
+        run.option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("user_id", "event_id", "number")
