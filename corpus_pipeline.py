@@ -35,11 +35,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # Rows are told apart by a digest of all their columns, so a null or repeated id stands for no other row.
+    # Rows are told apart by a digest of all their columns and of which are null, so a null or repeated id stands for no other row.
     mark = "_row"
     while mark in docs.columns:
         mark = f"_{mark}"
-    docs = docs.withColumn(mark, F.xxhash64(*docs.columns))
+    docs = docs.withColumn(mark, F.xxhash64(*[F.col(c).isNull() for c in docs.columns], *docs.columns))
     found = jaccard_components(docs, doc_id=mark).select(F.col("doc_id").alias(mark), F.col("component_id").alias("_component")).distinct()
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("text"), mark)
     placed = common.cut(docs.select(mark, order.alias("_order")).groupBy(mark).agg(F.min("_order").alias("_order"), F.count(F.lit(1)).alias("_times")).join(found, mark))
