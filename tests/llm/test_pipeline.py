@@ -37,6 +37,14 @@ def test_near_duplicates_by_row(spark):
         assert len(stays) == 1 and stays[0][0] == min(ids, default=None)
 
 
+def test_near_duplicates_tells_nulls_apart(spark):
+    rows = [(None, None, "g", 5), (None, "g", None, 5), (5, None, None, None), (None, None, None, 5), (None, "g", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    got = sorted(map(tuple, corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=repr)
+    # Rows without a text stay each; of the two with the same one, one does.
+    assert [r for r in got if r[1] is None] == sorted([r for r in rows if r[1] is None], key=repr) and sum(r[1] == "g" for r in got) == 1
+
+
 HOSTILE = [
     (None, "a text without an id that has quite enough words to be kept by the rules", "a", 1), (1, None, "a", 2), (1, "", None, 3), (2, "   \n ", "b", 4),
     (3, "the same id twice, with one text of words that are all its own here", "b", 5), (3, "the same id twice, and another text that nobody else has said before", "b", 6),
