@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.packing import pack  # noqa: F401
+
 
 def failed_filters(limits: dict[str, Column]) -> Column:
     """Comma-joined names of the conditions that don't hold; empty if all do. A null condition fails."""
@@ -56,29 +58,6 @@ def merge_intervals(df: DataFrame, lo: str, hi: str, contig: list[str] | None =
     return numbered.groupBy(*contig, "_island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).drop("_island")
 
 
-def pack(sizes: DataFrame, order: str, size: str, most: int, group: list[str] | None = None) -> DataFrame:
-    """Greedy bins of a group's rows in order: a bin closes when the next row would exceed ``most``; a larger row sits alone.
-
-    The order makes a group sequential: it is folded as one sorted array of (order, size), to running (bin, total) pairs.
-    """
-    group = group or []
-    listed = sizes.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(order, size))).alias("_rows"))
-
-    def place(acc: Column, row: Column) -> Column:
-        closes = (acc["n"] > 0) & (acc["total"] + row[size] > most)
-        bin_ = F.when(closes, acc["bin"] + 1).otherwise(acc["bin"])
-        return F.struct(bin_.alias("bin"), F.when(closes, row[size]).otherwise(acc["total"] + row[size]).cast("double").alias("total"), (acc["n"] + 1).alias("n"), F.when(closes | (acc["n"] == 0), F.concat(acc["starts"], F.array(acc["n"]))).otherwise(acc["starts"]).alias("starts"))
-
-    start = F.struct(F.lit(0).cast("long").alias("bin"), F.lit(0.0).alias("total"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("starts"))
-    starts = F.aggregate("_rows", start, place)["starts"]
-    # Only the places where bins start are kept by the fold; each bin is then a slice.
-    bins = F.transform(starts, lambda s, k: F.struct(k.cast("long").alias("bin"), F.slice(F.col("_rows"), s + 1, F.coalesce(F.get(starts, k + 1), F.size("_rows")) - s).alias("rows")))
-    out = listed.select(*group, F.explode(bins).alias("_bin")).select(*group, "_bin.bin", F.explode("_bin.rows").alias("_row"))
-    numbered = out.select(*group, F.col(f"_row.{order}").alias(order), F.col(f"_row.{size}").alias(size), "bin")
-    rest = [c for c in sizes.columns if c not in (*group, order, size)]
-    return sizes.join(numbered.drop(size), [*group, order]) if rest else numbered
-
-
 def nearest(observed: DataFrame, known: DataFrame, value: str, target: str, most: int, margin: int) -> DataFrame:
     """(value, best, dist) of the closest known string within ``most`` edits, if the runner-up is ``margin`` further.
 

@@ -20,6 +20,24 @@ def ranked(df: DataFrame, order: list, rank: str = "rank") -> DataFrame:
     return rows.withColumn("_part", part).join(starts, "_part").withColumn(rank, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_part", "_at", "_before")
 
 
+def running(df: DataFrame, group: list[str], order: list[str], value: str, rank: str = "rank", total: str = "total") -> DataFrame:
+    """``df`` with each row's place (from 1) in its group's order and the sum of ``value`` up to it, whatever a group's size: sums of range partitions run over a small table. Equal rows of the order come in any order."""
+    at = F.monotonically_increasing_id()
+    sorted_rows = df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
+    rows = cut(sorted_rows.withColumn("_part", F.shiftright(at, 33)).withColumn("_row", at))
+    sums = rows.groupBy("_part", *group).agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_s"))
+    along = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_part", *group, F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_s").over(along), F.lit(0)).alias("_s0"))
+    own = Window.partitionBy("_part", *group).orderBy("_row")
+    placed = rows.withColumn(rank, F.row_number().over(own)).withColumn(total, F.sum(value).over(own))
+    before = sums.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_g_{c}") for c in group], "_n0", "_s0")
+    same = F.col("_part") == F.col("_p")
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    out = placed.join(before, same)
+    return out.withColumn(rank, F.col(rank) + F.col("_n0")).withColumn(total, F.col(total) + F.col("_s0")).select(*df.columns, rank, total)
+
+
 def merged(tables: list[DataFrame], order: list, rank: str = "rank") -> DataFrame:
     """All rows of tables with the same columns, in one order; tables that don't fit fail before anything runs."""
     if any(t.dtypes != tables[0].dtypes for t in tables):
