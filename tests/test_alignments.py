@@ -203,6 +203,24 @@ def test_depth(spark):
     assert coverage.depth_runs(df.limit(0), ["contig"]).count() == 0
 
 
+@pytest.mark.parametrize("size", [3, 50, 1 << 16])
+def test_islands(spark, size):
+    dice = random.Random(size)
+    spans = [(dice.choice(["a", "b", None]), lo, lo + dice.randrange(-1, 9)) for lo in (dice.randrange(-50, 300) for _ in range(60))] + [("c", 1, 10**11), ("c", 10**11 + 1, 10**11 + 2)]
+    df = spark.createDataFrame(spans, "contig string, lo long, hi long")
+    for gap in (0, 1, 4):
+        want = []
+        for c in ("a", "b", None, "c"):
+            for lo, hi in sorted((lo, hi) for k, lo, hi in spans if k == c and lo <= hi):
+                if want and want[-1][0] == c and lo <= want[-1][2] + gap:
+                    want[-1] = (c, want[-1][1], max(hi, want[-1][2]))
+                else:
+                    want.append((c, lo, hi))
+        assert sorted(map(tuple, coverage.islands(df, ["contig"], gap=gap, bin_size=size).collect()), key=repr) == sorted(want, key=repr)
+    assert coverage.islands(df.limit(0), []).count() == 0
+    assert [tuple(r) for r in coverage.islands(df.where("contig = 'c'").drop("contig"), [], gap=1).collect()] == [(1, 10**11 + 2)]
+
+
 def brute_align(text, pos, ref, alt):
     while len(ref) > 1 and len(alt) > 1 and ref[-1] == alt[-1]:
         ref, alt = ref[:-1], alt[:-1]

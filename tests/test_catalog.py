@@ -8,7 +8,7 @@ import pytest
 from weftline import catalog
 
 DIR = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents labels".split()
+TABLES = "region nation customer supplier part orders lineitem events documents labels conversations".split()
 
 
 def plain(v):

@@ -12,20 +12,10 @@ from weftline.plans import graph
 from weftline.plans.scatter import Scatter
 from weftline.registry import oracle_sql, queries, query, table  # noqa: F401
 
-#: Edges of the dependency queries: a chain with two fans, and a ring of three.
-CHAIN = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "f"), ("e", "g"), ("e", "h"), ("f", "i"), ("g", "i"), ("h", "i"), ("i", "j"), ("i", "k")]
-RING = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")]
-LINES = ["one", "one two", "one two three", "one two three four", "one two three four five"]
-
-
 def lines(spark: SparkSession, sf_dir: str) -> Scatter:
     return Scatter(table(spark, sf_dir, "documents")).flat_map(lambda df: df.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")))
 
 
-def _values(rows: list[tuple]) -> str:
-    return "VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
-
-
 _LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)"
 _COUNT = "CASE WHEN line = '' THEN 1 WHEN rtrim(line, ' ') = '' THEN 0 ELSE len(string_split(rtrim(line, ' '), ' ')) END"
 _PARTS = "parts AS (SELECT p_partkey, p_partkey * 5 AS lo, p_partkey * 5 + p_size AS hi FROM part)"
@@ -72,9 +62,9 @@ def t_merge_libs(spark, sf_dir):
     return merged.gather(n_pairs=F.count(F.lit(1)), n_users=F.countDistinct("user_id"))
 
 
-@query(f"WITH l AS (SELECT unnest(string_split(c, ' ')) AS w FROM ({_values([(x,) for x in LINES])}) v(c)) SELECT length(w)::INT AS word_len, count(*) AS n FROM l GROUP BY 1")
+@query("WITH l AS (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) SELECT length(w)::INT AS word_len, count(*) AS n FROM l GROUP BY 1")
 def t_iter(spark, sf_dir):
-    words = Scatter.of(spark, LINES, "line string").flat_map(lambda df: df.select(F.explode(F.split("line", " ")).alias("w")))
+    words = Scatter(table(spark, sf_dir, "part")).flat_map(lambda df: df.select(F.explode(F.split("p_name", " ")).alias("w")))
     return words.map(word_len=F.length("w")).group_by("word_len", n=F.count(F.lit(1))).rows
 
 
@@ -104,38 +94,65 @@ def g_either(spark, sf_dir):
     return items.where(F.col("l_returnflag") == branch).groupBy(F.col("l_returnflag").alias("branch")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH RECURSIVE e(src, dst) AS ({_values(CHAIN)}), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT src, dst FROM r")
+# Dependencies among the tables' own rows
+
+_TURNS = "e AS (SELECT DISTINCT conv_id || '/' || role AS src, conv_id || '/' || next AS dst FROM (SELECT conv_id, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn, role) AS next FROM conversations) WHERE next IS NOT NULL)"
+_DAYS = "e AS (SELECT DISTINCT 'n' || c_nationkey AS src, 's' || o_orderstatus || c_nationkey AS dst FROM customer JOIN orders ON c_custkey = o_custkey UNION SELECT DISTINCT 's' || o_orderstatus || c_nationkey, 'p' || o_orderpriority || c_nationkey % 5 FROM customer JOIN orders ON c_custkey = o_custkey UNION SELECT DISTINCT 'p' || o_orderpriority || c_nationkey % 5, 'm' || c_mktsegment FROM customer JOIN orders ON c_custkey = o_custkey)"
+_REACH = "r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src)"
+
+
+def turn_edges(spark, sf_dir) -> DataFrame:
+    """Within a conversation, a role is followed by the next turn's."""
+    following = F.lead("role").over(Window.partitionBy("conv_id").orderBy("turn", "role"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "role", following.alias("next")).where("next is not null")
+    node = lambda c: F.concat_ws("/", F.col("conv_id").cast("string"), c)
+    return turns.select(node("role").alias("src"), node("next").alias("dst")).distinct()
+
+
+def nation_edges(spark, sf_dir) -> DataFrame:
+    """Nations to the states of their orders, these to priorities, and these to market segments: four levels."""
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"))
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    nation = F.col("c_nationkey")
+    state, priority = text("s", F.col("o_orderstatus"), nation), text("p", F.col("o_orderpriority"), nation % 5)
+    pairs = F.array(*[F.struct(a.alias("src"), b.alias("dst")) for a, b in ((text("n", nation), state), (state, priority), (priority, text("m", F.col("c_mktsegment"))))])
+    return rows.select(F.explode(pairs).alias("e")).select("e.src", "e.dst").distinct()
+
+
+@query(f"WITH RECURSIVE {_DAYS}, {_REACH} SELECT src, dst FROM r")
 def g_closure(spark, sf_dir):
-    return graph.closure(spark.createDataFrame(CHAIN, "src string, dst string"))
+    return graph.closure(nation_edges(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE e(src, dst) AS ({_values(CHAIN)}), r AS (SELECT 'a' AS node, 0 AS level UNION SELECT e.dst, level + 1 FROM r JOIN e ON r.node = e.src) SELECT node, max(level) AS level FROM r GROUP BY 1")
+@query(f"WITH RECURSIVE {_DAYS}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), l AS (SELECT node, 0 AS level FROM n WHERE node NOT IN (SELECT dst FROM e) UNION SELECT e.dst, level + 1 FROM l JOIN e ON l.node = e.src) SELECT node, max(level)::INT AS level FROM l GROUP BY 1")
 def g_levels(spark, sf_dir):
-    return graph.levels(spark.createDataFrame(CHAIN, "src string, dst string"))
+    return graph.levels(nation_edges(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE e(src, dst) AS ({_values(RING)}), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT DISTINCT src AS node FROM r WHERE src = dst")
+@query(f"WITH RECURSIVE {_TURNS}, {_REACH} SELECT DISTINCT src AS node FROM r WHERE src = dst")
 def g_cycle(spark, sf_dir):
-    return graph.cyclic(spark.createDataFrame(RING, "src string, dst string"))
+    return graph.cyclic(turn_edges(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE e(src, dst) AS ({_values(RING)}), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e) SELECT node, least(node, coalesce((SELECT min(a.dst) FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src WHERE a.src = node), node)) AS component FROM n")
+@query(f"WITH RECURSIVE {_TURNS}, {_REACH}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), m AS (SELECT a.src, min(a.dst) AS least FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY 1) SELECT node, least(node, coalesce(least, node)) AS component FROM n LEFT JOIN m ON node = src")
 def g_scc(spark, sf_dir):
-    return graph.components(spark.createDataFrame(RING, "src string, dst string"))
+    return graph.components(turn_edges(spark, sf_dir))
 
 
-@query(f"SELECT DISTINCT dst AS node FROM ({_values(CHAIN)}) e(src, dst) WHERE src NOT IN ('a', 'c', 'd', 'e')")
+@query(f"WITH {_DAYS} SELECT DISTINCT dst AS node FROM e WHERE src NOT IN (SELECT 's' || o_orderstatus || c_nationkey FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_totalprice > 480000)")
 def g_orphan(spark, sf_dir):
-    return graph.orphans(spark.createDataFrame(CHAIN, "src string, dst string"), spark.createDataFrame([(x,) for x in "acde"], "node string"))
+    """Whose predecessors have no order above 480,000."""
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").where("o_totalprice > 480000"), F.col("c_custkey") == F.col("o_custkey"))
+    kept = rows.select(F.concat(F.lit("s"), "o_orderstatus", F.col("c_nationkey").cast("string")).alias("node")).distinct()
+    return graph.orphans(nation_edges(spark, sf_dir), kept)
 
 
-@query(f"SELECT src, dst FROM ({_values(CHAIN)}) e(src, dst) WHERE NOT (src = 'e' AND dst IN ('f', 'g'))")
+@query(f"WITH {_DAYS}, b AS (SELECT DISTINCT 's' || o_orderstatus || c_nationkey AS src FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_orderstatus = 'P') SELECT src, dst FROM e WHERE NOT (src IN (SELECT src FROM b) AND dst LIKE 'p1%')")
 def g_break(spark, sf_dir):
-    step = {x: graph.Step(x) for x in "abcdefghijk"}
-    a, b, c, d, e, f, g, h, i, j, k = step.values()
-    whole = a >> b >> c >> d >> e >> (f + g + h) >> i >> (j + k)
-    e.cut_from(f + g)
-    return graph.edges(spark, whole)
+    """The edges from pending states to urgent priorities are cut."""
+    edges = nation_edges(spark, sf_dir)
+    cut = edges.where(F.col("src").startswith("sP") & F.col("dst").startswith("p1"))
+    return graph.without(edges, cut)
 
 
 @query("SELECT concat('run.', 'in.', p_type, '.end', '.x') AS name, count(*) AS n FROM part GROUP BY 1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.coverage import islands
 from weftline.operators.packing import pack  # noqa: F401
 
 
@@ -49,8 +50,10 @@ def split_at_bands(df: DataFrame, lo: str, hi: str, band: int) -> DataFrame:
 
 
 def merge_intervals(df: DataFrame, lo: str, hi: str, contig: list[str] | None = None, gap: int = 0) -> DataFrame:
-    """Islands of overlapping intervals, within each contig."""
+    """Islands of overlapping intervals, within each contig: by bins of positions for whole numbers, else by a window over each contig."""
     contig = contig or []
+    if all(df.schema[c].dataType.typeName() in ("integer", "long", "short", "byte") for c in (lo, hi)):
+        return islands(df, contig, lo, hi, gap)
     over = Window.partitionBy(*contig).orderBy(lo, hi)
     before = F.max(hi).over(over.rowsBetween(Window.unboundedPreceding, -1))
     marked = df.withColumn("_new", F.when(F.col(lo) <= before + gap, 0).otherwise(1))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.lineage import cut
 from weftline.operators import merge_intervals
 
 
@@ -25,7 +26,12 @@ def pad(df: DataFrame, by: int, lo: str = "lo", hi: str = "hi", contig: list[str
 def intersect(a: DataFrame, b: DataFrame, lo: str = "lo", hi: str = "hi", contig: list[str] | None = None) -> DataFrame:
     """Points in both lists, as disjoint intervals: an equi-join on bins; a pair counts in the bin where it starts to overlap."""
     contig = contig or []
-    a, b = (merge_intervals(x, lo, hi, contig, 1) for x in (a, b))
+    return _overlaps(merge_intervals(a, lo, hi, contig, 1), merge_intervals(b, lo, hi, contig, 1), lo, hi, contig)
+
+
+def _overlaps(a: DataFrame, b: DataFrame, lo: str, hi: str, contig: list[str]) -> DataFrame:
+    """``intersect`` of lists that are disjoint already."""
+    a, b = cut(a), cut(b)  # each is read twice
     width = bin_width(a, b, lo=lo, hi=hi)
 
     def binned(df: DataFrame, name: str) -> DataFrame:
@@ -40,7 +46,6 @@ def intersect(a: DataFrame, b: DataFrame, lo: str = "lo", hi: str = "hi", contig
 def invert(df: DataFrame, extent: DataFrame, lo: str = "lo", hi: str = "hi", contig: list[str] | None = None) -> DataFrame:
     """The gaps that ``df`` leaves within each contig's ``extent`` (contig, lo, hi: one row each)."""
     contig = contig or []
-    df = merge_intervals(df, lo, hi, contig, 1)
     ends = extent.select(*contig, F.col(lo).alias("_from"), F.col(hi).alias("_to"))
     # An interval that ends before the extent, and one that begins after it, frame the gaps.
     frame = ends.select(*contig, (F.col("_from") - 1).alias(lo), (F.col("_from") - 1).alias(hi)).union(ends.select(*contig, (F.col("_to") + 1).alias(lo), (F.col("_to") + 1).alias(hi)))
@@ -55,4 +60,4 @@ def invert(df: DataFrame, extent: DataFrame, lo: str = "lo", hi: str = "hi", con
 def subtract(a: DataFrame, b: DataFrame, lo: str = "lo", hi: str = "hi", contig: list[str] | None = None) -> DataFrame:
     """Points of ``a`` that aren't in ``b``."""
     extent = a.groupBy(*(contig or [])).agg(F.min(lo).alias(lo), F.max(hi).alias(hi))
-    return intersect(a, invert(b, extent, lo, hi, contig), lo, hi, contig)
+    return _overlaps(merge_intervals(a, lo, hi, contig or [], 1), invert(b, extent, lo, hi, contig), lo, hi, contig or [])

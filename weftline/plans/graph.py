@@ -87,14 +87,21 @@ def edges(spark: SparkSession, graph: Dependable) -> DataFrame:
     return spark.createDataFrame([(a.name, b.name) for a in dict.fromkeys(graph.steps()) for b in a.after], "src string, dst string")
 
 
+def without(edges: DataFrame, cut: DataFrame) -> DataFrame:
+    """The edges that ``cut`` hasn't; each stays once."""
+    return edges.select("src", "dst").distinct().join(cut.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
+
+
 def closure(edges: DataFrame) -> DataFrame:
     """All (src, dst) with a path: paths are doubled until no pair is new, so cycles end too."""
     pairs = written(edges.select("src", "dst").distinct())
     count = pairs.count()
     while True:
         longer = pairs.alias("a").join(pairs.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-        pairs = written(pairs.union(longer).distinct())
-        now = pairs.count()
+        wider = written(pairs.union(longer).distinct())
+        now = wider.count()
+        removed(pairs)
+        pairs = wider
         if now == count:
             return pairs
         count = now
@@ -107,8 +114,10 @@ def spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
         near = edges.join(labels, edges["src"] == labels["node"]).groupBy("dst").agg(F.min("label").alias("near"))
         step = labels.join(near, labels["node"] == near["dst"], "left").select("node", "label", F.least("label", "near").alias("now"))
         step = written(step)
+        removed(labels)
         labels = step.select("node", F.col("now").alias("label"))
         if step.where("now <> label").isEmpty():
+            removed(edges)
             return labels
 
 
@@ -150,7 +159,7 @@ def components(edges: DataFrame) -> DataFrame:
         inner = written(left.join(edges.select(F.col("dst").alias("node")), "node", "left_semi").join(edges.select(F.col("src").alias("node")), "node", "left_semi"))
         done.append(left.join(inner, "node", "left_anti").select("node", F.col("node").alias("component")))
         if inner.count() == left.count():
-            colour = written(spread(edges, inner.select("node", F.col("node").alias("label"))))
+            colour = spread(edges, inner.select("node", F.col("node").alias("label")))
             of = colour.select(F.col("node").alias("src"), F.col("label").alias("a"))
             to = colour.select(F.col("node").alias("dst"), F.col("label").alias("b"))
             back = edges.join(of, "src").join(to, "dst").where("a = b").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
@@ -176,10 +185,12 @@ def cyclic(edges: DataFrame) -> DataFrame:
 
 def levels(edges: DataFrame) -> DataFrame:
     """Longest-path level of each node of an acyclic graph."""
+    edges = written(edges.select("src", "dst"))
     level = written(nodes_of(edges).select("node", F.lit(0).alias("level")))
     for _ in range(level.count()):
         above = edges.join(level, edges["src"] == level["node"]).groupBy("dst").agg((F.max("level") + 1).alias("up"))
         raised = written(level.join(above, level["node"] == above["dst"], "left").select("node", F.col("level").alias("old"), F.greatest("level", F.coalesce("up", "level")).alias("level")))
+        removed(level)
         if raised.where("old <> level").isEmpty():
             return raised.select("node", "level")
         level = raised.drop("old")
