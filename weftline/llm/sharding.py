@@ -93,7 +93,8 @@ def shard_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     alone = common.keyed_rest(rows, groups, "grp", "members")
     rows = linked.select(*rows.columns, F.lit(True).alias("linked")).unionByName(alone.withColumn("linked", F.lit(False)))
     rows = common.cut(even_out(common.cut(rows), shards, total, buckets))
-    spread = F.pmod(F.xxhash64(F.coalesce("grp", F.lit(""))), F.lit(buckets)).cast("int")
+    # By all that tells rows apart, so that neither null texts nor the copies of one text lie in one bucket.
+    spread = F.pmod(F.xxhash64("grp", "doc_id", "size"), F.lit(buckets)).cast("int")
     rows = common.ranked(rows, ["shard"], ["grp", "doc_id"], "slot", buckets, spread)
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
