@@ -374,3 +374,18 @@ def test_verdicts(spark):
     assert [r["status"] for r in variants.somatic_status(df, ("nr", "na"), ("tr", "ta")).collect()] == ["Somatic", "Germline", "Reference", "LOH", "Unknown", "Reference"]
     ends = variants.near_ends(spark.createDataFrame([(9, 1, 20, 180), (1, 9, 20, 180)], "a long, b long, c long, d long"), ("a", "b", "c", "d"), 0.05)
     assert [r["end_artifact"] for r in ends.collect()] == [True, False]
+
+
+def test_cleaned_calls(spark):
+    chunks = alignment.chunked(spark.createDataFrame([("r", "GATTTTACAGACACACG")], "contig string, text string"), "contig", "text", 5)
+    rows = [
+        (6, "T", ["TTT", "C", "G", "."], 9.0, [1, 0, 2, None]),  # only what is chosen; the insertion moves to the front of its run
+        (7, "A", ["C"], 5.0, [1, 1, 1, 1]), (7, "A", ["<*>"], 1.0, [1, 0, 0, 0]),  # too low; open, whatever its quality
+        (1, "GAY", ["GCT"], 20.0, [None, 1, 1, 0]),  # an ambiguous letter, two places
+        (14, "CAC", ["C"], 30.0, [1, 0, 0, 0]), (12, "CAC", ["C"], 30.0, [0, 0, 1, 0]),  # one change stated twice
+        (3, "T", ["T", ""], 50.0, [1, 2, 2, 0]), (5, "T", [], 50.0, [None, None, None, None]), (5, "T", None, None, None),
+    ]
+    df = spark.createDataFrame([("r", *r) for r in rows], "contig string, pos long, ref string, alts array<string>, qual double, chosen array<int>")
+    got = sorted((r["pos"], r["ref"], r["alt"], r["samples"], r["ac"], r["ns"]) for r in variants.cleaned_calls(df, chunks, width=5).collect())
+    assert got == [(2, "A", "ATT", [0], 1, 3), (2, "A", "C", [1, 2], 2, 3), (3, "N", "T", [1, 2], 2, 3), (6, "T", "C", [2], 1, 3), (7, "A", "<*>", [0], 1, 4), (10, "GAC", "G", [0, 2], 2, 4)]
+    assert variants.cleaned_calls(df.limit(0), chunks, width=5).count() == 0

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import exact
-from weftline.operators import alignment, calling, coverage, edits, variants
+from weftline.operators import alignment, calling, coverage, edits, mask_ambiguous, variants
 from weftline.registry import query, table
 
 LETTERS, HEX = "ACGTACGTACGTACGT", "0123456789abcdef"
@@ -194,6 +194,40 @@ def p_left_align(spark, sf_dir):
     return alignment.left_aligned(changes, alignment.chunked(docs, "doc_id", "text"), contig="doc_id").select("doc_id", "origin", "kind", "pos", "ref", "alt")
 
 
+# The filters of calls, one after the other
+
+
+_BIG = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+@query("""WITH RECURSIVE d AS (SELECT doc_id, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS text, length(text) AS n FROM documents), e AS (SELECT doc_id, unnest(generate_series(3, n - 5, 131)) AS spot FROM d WHERE n >= 8),
+c AS (SELECT doc_id, spot, spot % 17 AS qual, [(spot % 4)::INT, (spot // 4 % 4)::INT, CASE WHEN spot % 5 = 0 THEN NULL ELSE (spot // 16 % 4)::INT END] AS chosen, translate(upper(substr(text, spot, 3)), 'KMRYSWBVHDX', 'NNNNNNNNNNN') AS ref,
+  substr(text, spot, 3) AS own, substr(text, spot - 1, 1) AS before FROM e JOIN d USING (doc_id) WHERE regexp_full_match(substr(text, spot - 1, 4), '[A-Za-z]+')),
+a AS (SELECT *, unnest([1, 2, 3]) AS k, unnest([before || substr(ref, 2, 1) || 'q', left(ref, 1), ref || substr(ref, 2, 2)]) AS alt FROM c WHERE qual > 5),
+s AS (SELECT *, list_filter([0, 1, 2], lambda i: chosen[i + 1] = k) AS samples, len(list_filter(chosen, lambda g: g IS NOT NULL)) AS ns FROM a),
+p AS (SELECT doc_id, spot + i - 1 AS pos, substr(ref, i, 1) AS ref, substr(alt, i, 1) AS alt, samples, ns FROM s, (SELECT unnest([1, 2, 3]) AS i) WHERE k = 1 AND len(samples) > 0 AND substr(ref, i, 1) <> substr(alt, i, 1)),
+u AS (SELECT doc_id, spot AS p, k, substr(ref, 2, 2) AS unit, spot AS place, samples, ns, ref FROM s WHERE k > 1 AND len(samples) > 0),
+t AS (SELECT doc_id, k, unit, samples, ns, ref, place, row_number() OVER () AS id FROM u),
+m AS (SELECT id, doc_id, place AS p, unit FROM t UNION ALL SELECT id, doc_id, p - 1, right(unit, 1) || substr(unit, 1, length(unit) - 1) FROM m JOIN d USING (doc_id) WHERE p > 0 AND substr(text, p, 1) = right(unit, 1)),
+f AS (SELECT id, min(p) AS p, arg_min(unit, p) AS unit FROM m GROUP BY id),
+l AS (SELECT t.doc_id, k, samples, ns, f.p, f.unit, CASE WHEN f.p > 0 THEN substr(text, f.p, 1) WHEN k = 2 THEN substr(text, length(f.unit) + 1, 1) ELSE substr(text, 1, 1) END AS letter FROM t JOIN f USING (id) JOIN d ON d.doc_id = t.doc_id),
+w AS (SELECT doc_id, greatest(p, 1) AS pos, CASE WHEN k = 2 THEN CASE WHEN p > 0 THEN letter || unit ELSE unit || letter END ELSE letter END AS ref, CASE WHEN k = 2 THEN letter WHEN p > 0 THEN letter || unit ELSE unit || letter END AS alt, samples, ns FROM l),
+x AS (SELECT doc_id, pos, ref, alt, samples, ns FROM p UNION ALL SELECT doc_id, pos, ref, alt, samples, ns FROM w)
+SELECT doc_id AS contig, pos::BIGINT AS pos, ref, alt, array_to_string(list_sort(list_distinct(flatten(list(samples)))), ',') AS samples, len(list_distinct(flatten(list(samples))))::INT AS ac, max(ns)::INT AS ns FROM x WHERE ref <> alt GROUP BY 1, 2, 3, 4""")
+def f_call_chain(spark, sf_dir):
+    """Calls at every 131st place that lies within a word: another first and last letter, two letters gone, two letters twice."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.translate("text", *_BIG).alias("text"))
+    n = F.length("text")
+    at = docs.where(n >= 8).select("doc_id", "text", F.explode(F.sequence(F.lit(3), n - 5, F.lit(131))).alias("spot")).where(F.substring("text", F.col("spot") - 1, F.lit(4)).rlike("^[A-Za-z]+$"))
+    spot, before = F.col("spot"), F.substring("text", F.col("spot") - 1, F.lit(1))
+    at = at.withColumn("ref", mask_ambiguous(F.substring("text", spot, F.lit(3)))).withColumn("before", before)
+    second, last = F.substring("ref", 2, 1), F.substring("ref", 2, 2)
+    chosen = F.array(spot % 4, F.floor(spot / 4).cast("int") % 4, F.when(spot % 5 != 0, F.floor(spot / 16).cast("int") % 4))
+    calls = at.select(F.col("doc_id").alias("contig"), spot.cast("long").alias("pos"), "ref", F.array(F.concat("before", second, F.lit("q")), F.left("ref", F.lit(1)), F.concat("ref", last)).alias("alts"), (spot % 17).alias("qual"), chosen.alias("chosen"))
+    out = variants.cleaned_calls(calls, alignment.chunked(docs, "doc_id", "text"))
+    return out.withColumn("samples", F.array_join(F.col("samples").cast("array<string>"), ","))
+
+
 # Consensus by likelihood
 
 _MOLECULES = """molecules AS (SELECT l_partkey, name, l_linestatus AS strand, i, (instr('0123456789abcdef', substr(md5('q' || name), i, 1)) - 1) * 3 AS qual,

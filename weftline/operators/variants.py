@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import exact
+from weftline.operators import alignment, mask_ambiguous
+from weftline.operators.alleles import primitives
 
 
 def share(part: Column, rest: Column) -> Column:
@@ -35,3 +37,23 @@ def near_ends(df: DataFrame, counts: tuple[str, str, str, str], p_value: float)
     """Add p_end and end_artifact: whether alternatives lie near the ends of their reads more often than references do. ``counts``: alternative near, far; reference near, far."""
     p = exact.fisher(*[F.col(c).cast("long") for c in counts])["greater"]
     return df.withColumn("p_end", p).withColumn("end_artifact", F.col("p_end") <= p_value)
+
+
+def cleaned_calls(calls: DataFrame, chunks: DataFrame, min_qual: float = 5, width: int = alignment.WIDTH) -> DataFrame:
+    """(contig, pos, ref, alt, samples, ac, ns) from called records, in one plan of the steps in order.
+
+    ``calls`` are (contig, pos, ref, alts, qual, chosen): each sample's chosen alternative (from 1; 0 is the reference, null nothing). Records at or below ``min_qual`` go, but for those
+    with the open alternative ``<*>``; ambiguous letters of the reference become N; alternatives that no sample chose, and missing ones (``.``, empty or null), go; a change of several
+    letters for as many becomes one row a letter; the samples that have it (``samples``, in order) are counted anew (``ac``), with those that chose anything (``ns``); insertions and deletions
+    move to their leftmost place over ``chunks`` of the reference; what states one change twice becomes one row, and what equals the reference goes.
+    """
+    kept = calls.where((F.col("qual") > min_qual) | F.coalesce(F.array_contains("alts", "<*>"), F.lit(False)))
+    kept = kept.select("contig", "pos", mask_ambiguous(F.col("ref")).alias("ref"), "chosen", F.posexplode("alts").alias("_k", "alt"))
+    who = F.filter(F.transform("chosen", lambda g, i: F.when(g.eqNullSafe(F.col("_k") + 1), i)), lambda i: i.isNotNull())
+    kept = kept.withColumn("samples", who).withColumn("ns", F.size(F.filter("chosen", lambda g: g.isNotNull())))
+    kept = kept.where((F.size("samples") > 0) & F.col("alt").isNotNull() & ~F.col("alt").isin("", ".")).drop("chosen", "_k")
+    plain = F.col("alt").rlike("^[A-Za-z]+$")
+    single = primitives(kept.where(plain), "pos", "ref", "alt").unionByName(kept.where(~plain))
+    moved = alignment.left_aligned(single.where(plain), chunks, width=width).unionByName(single.where(~plain))
+    once = moved.where("ref <> alt").groupBy("contig", "pos", "ref", "alt").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("samples")))).alias("samples"), F.max("ns").alias("ns"))
+    return once.select("contig", "pos", "ref", "alt", "samples", F.size("samples").alias("ac"), "ns")
