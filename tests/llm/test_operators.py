@@ -591,3 +591,11 @@ def test_language_learning(spark):
         for f, got in tables[n].items():
             share = language.BLEND * every[f] / sum(every.values())
             assert np.allclose(got, [math.log((1 - language.BLEND) * counts[x][n][f] / sum(counts[x][n].values()) + share) for x in langs])
+
+
+def test_language_sample_of_rows_without_ids(spark, monkeypatch):
+    monkeypatch.setattr(language, "FIT", 10)
+    rows = [("en", f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}q word{k}", None) for k in range(3000)]
+    _, _, tables = language.learn(spark.createDataFrame(rows, "lang string, text string, doc_id long"))
+    # About ten texts, not all: the letters of so few meet hardly any three-grams twice but those of the common word.
+    assert 0 < len(tables[3]) < 100

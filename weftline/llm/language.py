@@ -73,7 +73,7 @@ def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray, list[dict[str, np.ndarray]]]:
     """Languages, log priors, and log frequencies by order (0: words) and feature, from (lang, text, doc_id)."""
     totals = common.cut(labelled.groupBy("lang").count())
-    fraction = common.small_join(labelled, totals, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("count").cast("double") ** -1 * FIT * (1 << 30))
+    fraction = common.small_join(labelled, totals, "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.col("count").cast("double") ** -1 * FIT * (1 << 30))
     found = fraction.select("lang", "text").mapInArrow(count_features, "lang string, n int, feature string, count long")
     found = common.cut(found.groupBy("lang", "n", "feature").agg(F.sum("count").alias("count")))
     sums = found.groupBy("lang", "n").agg(F.sum("count").alias("total")).collect()
