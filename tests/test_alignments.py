@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import exact
-from weftline.operators import alignment, barcodes, calling, coverage, edits, variants
+from weftline.operators import alignment, barcodes, calling, coverage, edits, ordering, variants
 
 READ, REFERENCE, ALIGNED = set("M=XIS"), set("M=XDN"), set("M=X")
 
@@ -157,6 +157,21 @@ def test_clip_ends_counts_clips(records):
                 assert got[name] == brute_clip(pos, text, seq, -10**9, 10**9, 0 if reverse else n, n if reverse else 0, False)[1]
 
 
+def test_reverted(spark):
+    rows = [(1, "a", 5, "2M1S", 9, True, "ACg", [1, 2, 3], [7, 8, 9]), (2, "a", 5, "3M", 9, False, "ACN", [1, 2, 3], None)]
+    df = spark.createDataFrame(rows, "id int, contig string, pos long, edits string, mapq int, reverse boolean, seq string, quals array<int>, oq array<int>")
+    assert sorted(map(tuple, edits.reverted(df, {"quals": "oq"}).collect())) == [(1, "cGT", [9, 8, 7]), (2, "ACN", [1, 2, 3])]
+
+
+def test_gathered(spark):
+    part = lambda *keys: spark.createDataFrame([(k, "v") for k in keys], "k int, v string")
+    assert [tuple(r) for r in ordering.gathered([part(3, 1, 3), part(), part(3, 8)], ["k"]).orderBy("rank").select("k", "rank").collect()] == [(1, 1), (3, 2), (3, 3), (3, 4), (8, 5)]
+    with pytest.raises(ValueError, match="part 1 begins before"):
+        ordering.gathered([part(1, 5), part(4, 9)], ["k"])
+    with pytest.raises(ValueError, match="different columns"):
+        ordering.gathered([part(1), part(2).drop("v")], ["k"])
+
+
 def test_trim_primers(spark):
     rows = [(1, "a", 10, False, "30M"), (2, "a", 12, False, "2S30M"), (3, "a", 60, False, "30M"), (4, "a", 21, True, "20M"), (5, "b", 10, False, "30M"), (6, "a", 8, False, "5M2D10M"), (7, "a", 10, False, None), (8, "a", 9, False, "4M")]
     df = spark.createDataFrame(rows, "id int, contig string, pos long, reverse boolean, edits string")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import exact
-from weftline.operators import alignment, calling, coverage, edits, mask_ambiguous, variants
+from weftline.operators import alignment, calling, coverage, edits, mask_ambiguous, ordering, variants
 from weftline.registry import query, table
 
 LETTERS, HEX = "ACGTACGTACGTACGT", "0123456789abcdef"
@@ -66,6 +66,23 @@ def p_join_gaps(spark, sf_dir):
     return edits.join_at_gaps(edits.split_at_gaps(reads(spark, sf_dir)), ["name", "contig", "mapq", "reverse"])
 
 
+@query(f"""WITH {_READS}, o AS (SELECT DISTINCT name, contig, mapq, reverse, seq, quals FROM reads)
+SELECT row_number() OVER (ORDER BY name, contig, mapq, reverse) AS rank, name, CASE WHEN reverse THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END AS seq, (instr('{HEX}', substr(quals, CASE WHEN reverse THEN 32 ELSE 1 END, 1)) - 1) * 3 AS first_qual FROM o""")
+def p_revert_reads(spark, sf_dir):
+    """Reads as they were, in order of their names (and of what told equal names apart)."""
+    ordered = ordering.ranked(reads(spark, sf_dir), ["name", "contig", "mapq", "reverse"])
+    return edits.reverted(ordered).select("rank", "name", "seq", F.get("quals", F.lit(0)).cast("long").alias("first_qual"))
+
+
+@query("SELECT row_number() OVER (ORDER BY l_partkey, l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS rank, l_partkey, l_orderkey, l_linenumber FROM lineitem")
+def u_gather_parts(spark, sf_dir):
+    """Three ranges of parts, gathered in order."""
+    items = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
+    most = (items.agg(F.max("l_partkey")).first()[0] or 0) + 1
+    parts = [items.where((F.col("l_partkey") * 3 >= k * most) & (F.col("l_partkey") * 3 < (k + 1) * most)) for k in range(3)]
+    return ordering.gathered(parts, items.columns).select("rank", "l_partkey", "l_orderkey", "l_linenumber")
+
+
 # Coverage
 
 _SPANS = "spans AS (SELECT p_type AS contig, (p_partkey * 5)::BIGINT AS lo, (p_partkey * 5 + p_size * 3)::BIGINT AS hi FROM part)"

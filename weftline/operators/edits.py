@@ -276,3 +276,12 @@ def clip_overlaps(df: DataFrame, pair: list[str], reverse: str = "reverse", hard
     middle = F.when(overlap, F.floor((F.col("_rs") + F.least("_fe", "_re")) / 2))
     spans = spans.withColumn("_middle", middle)
     return clipped(spans, {"lo": F.when(F.col(reverse), F.col("_middle") + 1), "hi": F.when(~F.col(reverse), F.col("_middle"))}, hard).drop("_end", "_fs", "_fe", "_rs", "_re", "_middle")
+
+
+def reverted(df: DataFrame, originals: dict[str, str] | None = None, placed: tuple[str, ...] = ("contig", "pos", "edits", "mapq"), reverse: str = "reverse", seq: str = "seq", quals: str = "quals") -> DataFrame:
+    """Records as they were read: without their place, letters and qualities of reverse ones turned round again, and columns put back from where
+    ``originals`` (column: the one that keeps what it was) isn't null. A hard-clipped letter is lost and doesn't come back."""
+    back = {c: F.coalesce(F.col(kept), F.col(c)) for c, kept in (originals or {}).items()}
+    rows = df.withColumns(back).drop(*(originals or {}).values(), *placed)
+    turned = {seq: F.when(F.col(reverse), F.translate(F.reverse(seq), "ACGTacgt", "TGCAtgca")).otherwise(F.col(seq)), quals: F.when(F.col(reverse), F.reverse(quals)).otherwise(F.col(quals))}
+    return rows.withColumns({c: e for c, e in turned.items() if c in df.columns}).drop(reverse)

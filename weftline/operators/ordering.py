@@ -43,3 +43,16 @@ def merged(tables: list[DataFrame], order: list, rank: str = "rank") -> DataFram
     if any(t.dtypes != tables[0].dtypes for t in tables):
         raise ValueError("the tables have different columns")
     return ranked(reduce(DataFrame.union, tables), order, rank)
+
+
+def gathered(tables: list[DataFrame], order: list[str], rank: str = "rank") -> DataFrame:
+    """The rows of parts that follow one another, with their place over all parts. A part that doesn't begin where the one before ends, or has other columns, fails before anything is returned."""
+    if any(t.dtypes != tables[0].dtypes for t in tables):
+        raise ValueError("the parts have different columns")
+    parts = reduce(DataFrame.union, [t.withColumn("_src", F.lit(k)) for k, t in enumerate(tables)])
+    ends = parts.groupBy("_src").agg(F.min(F.struct(*order)).alias("lo"), F.max(F.struct(*order)).alias("hi"))  # one row a part
+    before = Window.orderBy("_src").rowsBetween(Window.unboundedPreceding, -1)
+    wrong = ends.withColumn("_before", F.max("hi").over(before)).where("lo < _before").first()
+    if wrong is not None:
+        raise ValueError(f"part {wrong['_src']} begins before an earlier one ends")
+    return ranked(parts, ["_src", *order], rank).drop("_src")
