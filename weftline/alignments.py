@@ -6,7 +6,7 @@ from its columns by rules that the SQL states as well.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import exact
@@ -26,18 +26,32 @@ _OPS = """ops AS (SELECT name, contig, pos, mapq, reverse, edits, seq, quals, k,
   WINDOW before AS (PARTITION BY name, contig, mapq, reverse ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
 
 
+def _lines(spark, sf_dir: str, *columns: str) -> DataFrame:
+    """The columns of ``lineitem`` that reads are made of, equal rows once: what is derived from them isn't exchanged."""
+    items = table(spark, sf_dir, "lineitem").withColumns({"l_quantity": F.col("l_quantity").cast("int"), "l_tax": (F.col("l_tax") * 100).cast("int"), "l_linestatus": F.col("l_linestatus") == "O"})
+    return items.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", *columns).distinct()
+
+
+def _name() -> Column:
+    return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+
+
+def _digits(of: Column) -> Column:
+    """The sixteen values of each of the 32 digits of a hash, from 0."""
+    return F.transform(F.split(F.md5(of), ""), lambda c: F.instr(F.lit(HEX), c) - 1)
+
+
 def reads(spark, sf_dir: str) -> DataFrame:
     """(name, contig, pos, mapq, reverse, edits, seq, quals), equal ones once."""
-    s, m, kind = F.col("l_linenumber") % 3, 5 + F.col("l_quantity").cast("int") % 7, F.col("l_suppkey") % 4
-    name = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"))
+    s, m, kind = F.col("l_linenumber") % 3, 5 + F.col("l_quantity") % 7, F.col("l_suppkey") % 4
     middle = F.when(kind == 0, "1X").when(kind == 1, "2I").when(kind == 2, "3D").otherwise("50N")
     rest = 32 - s - m - F.when(kind == 0, 1).when(kind == 1, 2).otherwise(0)
-    quals = F.transform(F.slice(F.split(F.md5(F.concat(F.lit("q"), name)), ""), 1, 32), lambda c: F.conv(c, 16, 10).cast("int") * 3)
-    return table(spark, sf_dir, "lineitem").select(
-        name.alias("name"), F.col("l_returnflag").alias("contig"), (F.col("l_partkey") * 3 + 1).alias("pos"), (F.col("l_tax") * 100).cast("int").alias("mapq"), (F.col("l_linestatus") == "O").alias("reverse"),
+    quals = F.transform(F.slice(_digits(F.concat(F.lit("q"), _name())), 1, 32), lambda d: d * 3)
+    return _lines(spark, sf_dir, "l_returnflag", "l_tax", "l_linestatus").select(
+        _name().alias("name"), F.col("l_returnflag").alias("contig"), (F.col("l_partkey") * 3 + 1).alias("pos"), F.col("l_tax").alias("mapq"), F.col("l_linestatus").alias("reverse"),
         F.concat(F.when(s > 0, F.concat(s.cast("string"), F.lit("S"))).otherwise(""), m.cast("string"), F.lit("M"), middle, rest.cast("string"), F.lit("M")).alias("edits"),
-        F.translate(F.md5(name), HEX, LETTERS).alias("seq"), quals.alias("quals"),
-    ).distinct()
+        F.translate(F.md5(_name()), HEX, LETTERS).alias("seq"), quals.alias("quals"),
+    )
 
 
 # Records on their reference

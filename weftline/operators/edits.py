@@ -8,6 +8,11 @@ pileups, clips) is read off the placed array. ``M``, ``=`` and ``X`` align lette
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,16 +123,21 @@ def join_at_gaps(pieces: DataFrame, key: list[str], pos: str = "pos") -> DataFra
     return listed.select(*key, F.col("_pieces")[0][pos].alias(pos), F.nullif(F.array_join(each, ""), F.lit("")).alias("edits"))
 
 
+def _aligned(df: DataFrame, keep: list[str], pos: str, edits: str, seq: str, quals: str) -> DataFrame:
+    """(keep, seq, quals, _op): one row for each placed op that aligns or deletes."""
+    ops = parse(F.col(edits))
+    fits = (F.length(seq) == read_length(ops)) & (F.size(quals) == F.length(seq))
+    sure = F.when((F.size(ops) == 0) | fits, placed(F.col(pos), ops)).otherwise(F.raise_error(F.lit("letters, qualities and edit string have different lengths")))
+    on = F.filter(sure, lambda o: o["op"].isin([*ALIGNED, "D"]) & (o["n"] > 0))
+    return df.select(*keep, seq, quals, F.explode(on).alias("_op"))
+
+
 def letters(df: DataFrame, keep: list[str], pos: str = "pos", edits: str = "edits", seq: str = "seq", quals: str = "quals") -> DataFrame:
     """(keep, pos, letter, qual): one row for each reference position that a record covers; a deleted one has the letter ``*`` and no quality.
 
     Letters and qualities must be as many as the edit string uses, else the query fails.
     """
-    ops = parse(F.col(edits))
-    fits = (F.length(seq) == read_length(ops)) & (F.size(quals) == F.length(seq))
-    sure = F.when((F.size(ops) == 0) | fits, placed(F.col(pos), ops)).otherwise(F.raise_error(F.lit("letters, qualities and edit string have different lengths")))
-    on = F.filter(sure, lambda o: o["op"].isin([*ALIGNED, "D"]) & (o["n"] > 0))
-    rows = df.select(*keep, seq, quals, F.explode(on).alias("_op"))
+    rows = _aligned(df, keep, pos, edits, seq, quals)
     deleted = F.col("_op.op") == "D"
     start, n = F.col("_op.read") + 1, F.col("_op.n")
     texts = F.when(deleted, F.array_repeat(F.lit("*"), n)).otherwise(F.slice(F.split(F.substring(seq, start, n), ""), F.lit(1), n))
@@ -136,28 +146,107 @@ def letters(df: DataFrame, keep: list[str], pos: str = "pos", edits: str = "edit
     return each.select(*keep, (F.col("_at") + F.col("_k")).alias(pos), F.col("_v.letter").alias("letter"), F.col("_v.qual").cast("int").alias("qual"))
 
 
-def pileup(df: DataFrame, name: list[str], contig: list[str] | None = None, max_depth: int = 5000, min_mapq: int = 1, min_qual: int = 13, mapq: str = "mapq", **columns: str) -> DataFrame:
+#: Positions of a bin of a pileup, and the letter that doesn't count.
+BIN, UNCOUNTED = 256, "\0"
+
+
+def _changes(columns: list) -> np.ndarray:
+    """The rows, but for the first, that differ from the one before; nulls are equal."""
+    out = np.zeros(max(0, len(columns[0]) - 1), bool)
+    for c in columns:
+        c = c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+        at = pc.dictionary_encode(c, null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        out |= at[1:] != at[:-1]
+    return np.flatnonzero(out) + 1
+
+
+def whole_names(batches: Iterator[pa.RecordBatch], n_key: int) -> Iterator[pa.Table]:
+    """Batches cut anew so that none ends within the rows of one key."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+        if len(rows):
+            ends = _changes(rows.columns[:n_key])
+            stop = int(ends[-1]) if len(ends) else 0
+            held = rows.slice(stop)
+            if stop:
+                yield rows.slice(0, stop)
+    if held is not None:
+        yield held
+
+
+def add_letters(counts: np.ndarray, place: np.ndarray, name: np.ndarray, letter: np.ndarray, most: int) -> None:
+    """Add letters, in order of their names, to the counts of a bin: (A, C, G, T, other, deleted, all met) by place. Beyond ``most`` a letter is only met."""
+    order = np.argsort(place, kind="stable")
+    if ((place[order][1:] == place[order][:-1]) & (name[order][1:] == name[order][:-1])).any():
+        order = np.lexsort((letter, name, place))  # several records of one name
+    place, letter = place[order], letter[order]
+    begin = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+    rank = np.arange(len(place)) - np.repeat(begin, np.diff(np.r_[begin, len(place)])) + counts[place, 6]
+    upper = np.where((letter >= 97) & (letter <= 122), letter - 32, letter)
+    kind = np.select([upper == ord(c) for c in "ACGT*"], [0, 1, 2, 3, 5], 4)
+    counts[:, 6] += np.bincount(place, minlength=BIN)
+    np.add.at(counts, (place[rank < most], kind[rank < most]), 1)
+
+
+def piled(n_contig: int, n_key: int, most: int):
+    """A function from sorted batches of (contig, bin, name, at, letters) to the counts of each position. Held are one bin's counts and the pieces of one name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, counts = None, np.zeros((BIN, 7), np.int64)
+
+        def counted() -> pa.RecordBatch:
+            place = np.flatnonzero(counts[:, 6])
+            table = counts[place]
+            contig = [c.combine_chunks().take(pa.array(np.zeros(len(place), np.int64))) for c in key.columns[:n_contig]]
+            columns = [*contig, pa.array(key.column(n_contig)[0].as_py() * BIN + place), *[pa.array(table[:, i]) for i in range(6)], pa.array(np.minimum(table[:, 6], most)), pa.array(table[:, 6] > most)]
+            return pa.record_batch(columns, [*key.column_names[:n_contig], "_pos", "n_a", "n_c", "n_g", "n_t", "n_other", "n_del", "depth", "capped"])
+
+        for rows in whole_names(batches, n_key):
+            names = np.zeros(len(rows), np.int64)
+            names[_changes(rows.columns[:n_key])] = 1
+            names = np.cumsum(names)
+            texts, at = rows.column("_text").to_pylist(), rows.column("_at").to_numpy() % BIN
+            cuts = [0, *_changes(rows.columns[: n_contig + 1]).tolist(), len(rows)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                own = rows.slice(lo, 1).select(range(n_contig + 1))
+                if key is None or own.to_pylist() != key.to_pylist():
+                    if key is not None:
+                        yield counted()
+                    key, counts = own, np.zeros((BIN, 7), np.int64)
+                n = np.array([len(t) for t in texts[lo:hi]])
+                letter = np.frombuffer("".join(texts[lo:hi]).encode("utf-32-le"), np.uint32).astype(np.int64)
+                place = np.arange(len(letter)) - np.repeat(np.cumsum(n) - n - at[lo:hi], n)
+                some = letter != ord(UNCOUNTED)
+                add_letters(counts, place[some], np.repeat(names[lo:hi], n)[some], letter[some], most)
+        if key is not None:
+            yield counted()
+
+    return run
+
+
+def pileup(df: DataFrame, name: list[str], contig: list[str] | None = None, max_depth: int = 5000, min_mapq: int = 1, min_qual: int = 13, mapq: str = "mapq", pos: str = "pos", edits: str = "edits", seq: str = "seq", quals: str = "quals") -> DataFrame:
     """(contig, pos, n_a, n_c, n_g, n_t, n_other, n_del, depth, capped): what the records say of each position.
 
     Records below ``min_mapq`` and letters below ``min_qual`` don't count. Where more than ``max_depth`` records cover a position, those
-    of least ``name`` count. Counts are combined before they are exchanged; single letters are ranked only at positions above the cap.
+    of least ``name`` count. Stretches of letters are exchanged once, cut by bins of positions, and each bin reads them in order of their names, so that a letter's rank
+    is the number of letters met before.
     """
-    key = [*(contig or ["contig"]), columns.get("pos", "pos")]
-    each = letters(df.where(F.col(mapq) >= min_mapq), [*key[:-1], *[c for c in name if c not in key]], **columns).where((F.col("qual") >= min_qual) | (F.col("letter") == "*"))
-
-    def counted(rows: DataFrame) -> DataFrame:
-        upper = F.upper("letter")
-        counts = [F.count_if(upper == letter).alias(f"n_{letter.lower()}") for letter in "ACGT"]
-        return rows.groupBy(*key).agg(*counts, F.count_if(~upper.isin(*"ACGT*")).alias("n_other"), F.count_if(upper == "*").alias("n_del"), F.count(F.lit(1)).alias("depth"))
-
-    whole = cut(counted(each))
-    deep = whole.where(F.col("depth") > max_depth).select(*key)
-    out = whole.where(F.col("depth") <= max_depth).withColumn("capped", F.lit(False))
-    if deep.isEmpty():
-        return out
-    order = Window.partitionBy(*key).orderBy(*[F.col(c) for c in name], "letter", "qual")
-    first = each.join(deep, key, "left_semi").withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= max_depth)
-    return out.unionByName(counted(first).withColumn("capped", F.lit(True)))
+    contig = contig or ["contig"]
+    key = [*contig, "_bin", *[c for c in name if c not in (*contig, pos)]]
+    counting = F.zip_with(F.slice(F.split(seq, ""), F.lit(1), F.length(seq)), F.col(quals), lambda c, q: F.when((c == "*") | (q >= min_qual), c).otherwise(F.lit(UNCOUNTED)))
+    records = df.where(F.col(mapq) >= min_mapq).withColumn("_counting", F.array_join(counting, ""))
+    ops = _aligned(records, [*[c for c in key if c != "_bin"], "_counting"], pos, edits, seq, quals).drop(seq, quals)
+    at, n = F.col("_op.at"), F.col("_op.n")
+    ops = ops.withColumn("_bin", F.explode(F.sequence(F.floor(at / BIN), F.floor((at + n - 1) / BIN))))
+    lo, hi = F.greatest(at, F.col("_bin") * BIN), F.least(at + n, (F.col("_bin") + 1) * BIN)
+    long = (hi - lo).cast("int")
+    text = F.when(F.col("_op.op") == "D", F.repeat(F.lit("*"), long)).otherwise(F.substring("_counting", (F.col("_op.read") + 1 + lo - at).cast("int"), long))
+    pieces = ops.select(*key, lo.alias("_at"), text.alias("_text")).repartition(*contig, "_bin").sortWithinPartitions(*key)
+    types = [f"`{c}` {pieces.schema[c].dataType.simpleString()}" for c in contig]
+    counts = ", ".join([*types, "_pos long", *[f"n_{c} long" for c in ("a", "c", "g", "t", "other", "del")], "depth long, capped boolean"])
+    found = pieces.mapInArrow(piled(len(contig), len(key), max_depth), counts)
+    return found.withColumn("_pos", F.col("_pos").cast(pieces.schema["_at"].dataType)).withColumnRenamed("_pos", pos)
 
 
 def _soft(order: Column) -> Column:
