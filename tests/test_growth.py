@@ -35,7 +35,25 @@ def test_pileup_exchanges_stretches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
         out = edits.pileup(df, ["name"], max_depth=20)
+        assert plan(out).count("Exchange hashpartitioning") == 1 and "Window" not in plan(out)
         assert {(r[0], r[1]): tuple(r[2:]) for r in out.collect()} == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert plan(out).count("Exchange hashpartitioning") == 1 and "Window" not in plan(out)
+
+
+def test_line_breaks_are_no_letters(spark, tmp_path):
+    """A place whose last letter is a line break isn't within a word; an edit string with one is none; as the SQL says."""
+    import duckdb
+
+    from weftline import catalog
+
+    text = "ab\ncd " + "xyzzy " * 30
+    df = spark.createDataFrame([(k, "q" * (k % 7) + text[k:] + text) for k in range(40)] + [(99, "Abc\n" + "d" * 9), (98, "Abcd\n" + "d" * 9)], "doc_id long, text string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    out = catalog.queries()["f_call_chain"](spark, str(tmp_path))
+    want = db.sql(catalog.oracle_sql()["f_call_chain"])
+    assert sorted(map(tuple, out.select(*want.columns).collect())) == sorted(want.fetchall())
+    with pytest.raises(Exception, match="no edit string"):
+        spark.createDataFrame([("8M\n",)], "e string").select(edits.parse(F.col("e"))).collect()

@@ -249,7 +249,7 @@ def f_call_chain(spark, sf_dir):
     """Calls at every 131st place that lies within a word: another first and last letter, two letters gone, two letters twice."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.translate("text", *_BIG).alias("text"))
     n = F.length("text")
-    at = docs.where(n >= 8).select("doc_id", "text", F.explode(F.sequence(F.lit(3), n - 5, F.lit(131))).alias("spot")).where(F.substring("text", F.col("spot") - 1, F.lit(4)).rlike("^[A-Za-z]+$"))
+    at = docs.where(n >= 8).select("doc_id", "text", F.explode(F.sequence(F.lit(3), n - 5, F.lit(131))).alias("spot")).where(F.substring("text", F.col("spot") - 1, F.lit(4)).rlike(r"^[A-Za-z]+\z"))
     spot, before = F.col("spot"), F.substring("text", F.col("spot") - 1, F.lit(1))
     at = at.withColumn("ref", mask_ambiguous(F.substring("text", spot, F.lit(3)))).withColumn("before", before)
     second, last = F.substring("ref", 2, 1), F.substring("ref", 2, 2)

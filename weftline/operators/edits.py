@@ -33,7 +33,7 @@ def parse(edits: Column) -> Column:
     items = F.regexp_extract_all(edits, F.lit("[0-9]+[MIDNSHP=X]"), F.lit(0))
     ops = F.transform(items, lambda t: F.struct(F.regexp_extract(t, "[0-9]+", 0).cast("int").alias("n"), F.right(t, F.lit(1)).alias("op")))
     none = F.array().cast(OPS)
-    return F.when(edits.isNull() | (edits == "*"), none).when(edits.rlike("^([0-9]+[MIDNSHP=X])+$"), ops).otherwise(F.raise_error(F.concat(F.lit("no edit string: "), edits)))
+    return F.when(edits.isNull() | (edits == "*"), none).when(edits.rlike(r"^([0-9]+[MIDNSHP=X])+\z"), ops).otherwise(F.raise_error(F.concat(F.lit("no edit string: "), edits)))
 
 
 def text(ops: Column) -> Column:

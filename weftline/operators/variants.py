@@ -52,7 +52,7 @@ def cleaned_calls(calls: DataFrame, chunks: DataFrame, min_qual: float = 5, widt
     who = F.filter(F.transform("chosen", lambda g, i: F.when(g.eqNullSafe(F.col("_k") + 1), i)), lambda i: i.isNotNull())
     kept = kept.withColumn("samples", who).withColumn("ns", F.size(F.filter("chosen", lambda g: g.isNotNull())))
     kept = kept.where((F.size("samples") > 0) & F.col("alt").isNotNull() & ~F.col("alt").isin("", ".")).drop("chosen", "_k")
-    plain = F.col("alt").rlike("^[A-Za-z]+$")
+    plain = F.col("alt").rlike(r"^[A-Za-z]+\z")  # $ would let a last line break pass
     single = primitives(kept.where(plain), "pos", "ref", "alt").unionByName(kept.where(~plain))
     moved = alignment.left_aligned(single.where(plain), chunks, width=width).unionByName(single.where(~plain))
     once = moved.where("ref <> alt").groupBy("contig", "pos", "ref", "alt").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("samples")))).alias("samples"), F.max("ns").alias("ns"))
