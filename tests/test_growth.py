@@ -48,7 +48,7 @@ def test_line_breaks_are_no_letters(spark, tmp_path):
     from weftline import catalog
 
     text = "ab\ncd " + "xyzzy " * 30
-    df = spark.createDataFrame([(k, "q" * (k % 7) + text[k:] + text) for k in range(40)] + [(99, "Abc\n" + "d" * 9), (98, "Abcd\n" + "d" * 9)], "doc_id long, text string")
+    df = spark.createDataFrame([(k, "q" * (k % 7) + text[k:] + text) for k in range(40)] + [(99, "Abc\n" + "d" * 9), (98, "q" * 135 + "\n" + "d" * 20)], "doc_id long, text string")
     df.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     db = duckdb.connect()
     db.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
