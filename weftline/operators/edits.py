@@ -336,21 +336,17 @@ def trim_primers(df: DataFrame, primers: DataFrame, key: list[str], slop: int =
     """Records without the primer that they begin with.
 
     ``primers`` are (contig, lo, hi, reverse). A record belongs to the primer of its contig and strand whose outer end is nearest to where the record begins,
-    within ``slop`` positions (ties: the least lo, then the longest), and is cut up to the primer's inner end. ``key`` identifies a record. Starts meet
-    primers by bins of ``slop + 1`` positions, so each looks into three.
+    within ``slop`` positions (ties: the least lo, then the longest), and is cut up to the primer's inner end. ``key`` identifies a record. Each primer is listed at
+    the 2 ``slop`` + 1 positions that a record of it may begin at, of which the nearest primer stays, so records meet one row at most and are exchanged once.
     """
     ops = parse(F.col("edits"))
-    begins = F.when(F.col(reverse), F.col("pos") + reference_length(ops) - 1).otherwise(F.col("pos"))
-    width = slop + 1
-    starts = df.where(F.size(ops) > 0).select(*key, "contig", F.col(reverse).alias("_reverse"), begins.alias("_begins"))
-    near = starts.withColumn("_bin", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col("_begins") / width) + k)))
+    begins = F.when(F.size(ops) > 0, F.when(F.col(reverse), F.col("pos") + reference_length(ops) - 1).otherwise(F.col("pos"))).cast("long")
     outer = F.when(F.col("reverse"), F.col("hi")).otherwise(F.col("lo"))
-    known = primers.select("contig", F.col("reverse").alias("_reverse"), outer.alias("_outer"), F.when(F.col("reverse"), F.col("lo")).otherwise(F.col("hi")).alias("_inner"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-    known = known.withColumn("_bin", F.floor(F.col("_outer") / width))
+    known = primers.select("contig", F.col("reverse").alias("_reverse"), outer.cast("long").alias("_outer"), F.when(F.col("reverse"), F.col("lo")).otherwise(F.col("hi")).alias("_inner"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+    known = known.withColumn("_begins", F.explode(F.sequence(F.col("_outer") - slop, F.col("_outer") + slop)))
     away = F.abs(F.col("_outer") - F.col("_begins"))
-    found = near.join(known, ["contig", "_reverse", "_bin"]).where(away <= slop)
-    best = found.groupBy(*key).agg(F.min_by("_inner", F.struct(away, "_lo", -F.col("_hi"))).alias("_inner"))
-    rows = df.join(best, key, "left")
+    best = known.groupBy("contig", "_reverse", "_begins").agg(F.min_by("_inner", F.struct(away, "_lo", -F.col("_hi"))).alias("_inner"))
+    rows = df.withColumns({"_reverse": F.col(reverse), "_begins": begins}).join(best, ["contig", "_reverse", "_begins"], "left").select(*df.columns, "_inner")
     return clipped(rows, {"lo": F.when(~F.col(reverse), F.col("_inner") + 1), "hi": F.when(F.col(reverse), F.col("_inner") - 1)}, hard).drop("_inner")
 
 
