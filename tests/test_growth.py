@@ -57,3 +57,29 @@ def test_line_breaks_are_no_letters(spark, tmp_path):
     assert sorted(map(tuple, out.select(*want.columns).collect())) == sorted(want.fetchall())
     with pytest.raises(Exception, match="no edit string"):
         spark.createDataFrame([("8M\n",)], "e string").select(edits.parse(F.col("e"))).collect()
+
+
+def test_letters_are_not_exchanged(spark):
+    """Reads of a group meet once; two strands, both calls and the filter of groups need no exchange of letters."""
+    rows = spark.createDataFrame([(k % 5, "AB"[k % 2], "ACGTA", [30, 20, 40, 11, 5]) for k in range(60)], "g int, strand string, seq string, quals array<int>")
+    calls = calling.likely_letters(calling.placed_letters(rows, ["g", "strand"], meet=["g"]), ["g", "strand"])
+    whole = calling.filtered(calling.likely_letters(calling.placed_letters(rows, ["g"]), ["g"]), ["g"], 1, 0.9, 0.9, 1, 0.9, 1)
+    for out in (calling.duplex(calls, ["g"]), whole):
+        assert plan(out).count("Exchange hashpartitioning") == 1
+        assert out.count() == 5 * 4
+
+
+def test_primers_meet_positions(spark):
+    """Records are matched by where they begin, not listed by bins and then joined by name; the nearest primer as by hand."""
+    dice = random.Random(4)
+    rows = [(k, dice.choice("ab"), dice.randrange(1, 200), dice.random() < 0.5, "9M") for k in range(300)]
+    primers = [(dice.choice("ab"), lo, lo + dice.randrange(1, 5), dice.random() < 0.5) for lo in (dice.randrange(1, 200) for _ in range(60))]
+    df = spark.createDataFrame(rows, "id int, contig string, pos long, reverse boolean, edits string")
+    out = edits.trim_primers(df, spark.createDataFrame(primers, "contig string, lo long, hi long, reverse boolean"), ["id"], slop=3)
+    assert "hashpartitioning(id" not in plan(out)
+    got = {r["id"]: r["n_clipped"] for r in out.collect()}
+    for k, contig, pos, back, _ in rows:
+        begins = pos + 8 if back else pos
+        near = sorted((abs((hi if b else lo) - begins), lo, -hi) for c, lo, hi, b in primers if c == contig and b == back and abs((hi if b else lo) - begins) <= 3)
+        inner = (near[0][1] if back else -near[0][2]) if near else None
+        assert got[k] == (0 if inner is None else min(9, max(0, pos + 8 - inner + 1) if back else max(0, inner - pos + 1))), k

@@ -26,10 +26,10 @@ _OPS = """ops AS (SELECT name, contig, pos, mapq, reverse, edits, seq, quals, k,
   WINDOW before AS (PARTITION BY name, contig, mapq, reverse ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
 
 
-def _lines(spark, sf_dir: str, *columns: str) -> DataFrame:
+def _lines(spark, sf_dir: str, *columns: Column) -> DataFrame:
     """The columns of ``lineitem`` that reads are made of, equal rows once: what is derived from them isn't exchanged."""
-    items = table(spark, sf_dir, "lineitem").withColumns({"l_quantity": F.col("l_quantity").cast("int"), "l_tax": (F.col("l_tax") * 100).cast("int"), "l_linestatus": F.col("l_linestatus") == "O"})
-    return items.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", *columns).distinct()
+    quantity = F.col("l_quantity").cast("int").alias("l_quantity")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", quantity, *columns).distinct()
 
 
 def _name() -> Column:
@@ -47,8 +47,9 @@ def reads(spark, sf_dir: str) -> DataFrame:
     middle = F.when(kind == 0, "1X").when(kind == 1, "2I").when(kind == 2, "3D").otherwise("50N")
     rest = 32 - s - m - F.when(kind == 0, 1).when(kind == 1, 2).otherwise(0)
     quals = F.transform(F.slice(_digits(F.concat(F.lit("q"), _name())), 1, 32), lambda d: d * 3)
-    return _lines(spark, sf_dir, "l_returnflag", "l_tax", "l_linestatus").select(
-        _name().alias("name"), F.col("l_returnflag").alias("contig"), (F.col("l_partkey") * 3 + 1).alias("pos"), F.col("l_tax").alias("mapq"), F.col("l_linestatus").alias("reverse"),
+    own = F.col("l_returnflag").alias("contig"), (F.col("l_tax") * 100).cast("int").alias("mapq"), (F.col("l_linestatus") == "O").alias("reverse")
+    return _lines(spark, sf_dir, *own).select(
+        _name().alias("name"), "contig", (F.col("l_partkey") * 3 + 1).alias("pos"), "mapq", "reverse",
         F.concat(F.when(s > 0, F.concat(s.cast("string"), F.lit("S"))).otherwise(""), m.cast("string"), F.lit("M"), middle, rest.cast("string"), F.lit("M")).alias("edits"),
         F.translate(F.md5(_name()), HEX, LETTERS).alias("seq"), quals.alias("quals"),
     )
@@ -277,13 +278,11 @@ likely AS (SELECT {group}, (i - 1)::INT AS pos, CASE WHEN sure THEN cand ELSE 'N
 
 def molecules(spark, sf_dir) -> DataFrame:
     """(l_partkey, strand, seq, quals): reads of a part's own letters, one in 16 of them drawn anew."""
-    name = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"))
-    names = table(spark, sf_dir, "lineitem").select("l_partkey", name.alias("name"), F.col("l_linestatus").alias("strand")).distinct()
-    digits = lambda c: F.slice(F.split(F.md5(c), ""), 1, 32)
-    own, other, drawn = digits(F.col("name")), digits(F.concat(F.lit("e"), F.col("name"))), digits(F.col("l_partkey").cast("string"))
-    letters = F.transform(F.arrays_zip(own.alias("a"), other.alias("b"), drawn.alias("c")), lambda x: F.when(x["a"] == "0", x["b"]).otherwise(x["c"]))
-    quals = F.transform(digits(F.concat(F.lit("q"), F.col("name"))), lambda c: F.conv(c, 16, 10).cast("int") * 3)
-    return names.select("l_partkey", "strand", F.translate(F.array_join(letters, ""), HEX, LETTERS).alias("seq"), quals.alias("quals"))
+    digits = lambda c: F.split(F.md5(c), "")
+    own, other, drawn = digits(_name()), digits(F.concat(F.lit("e"), _name())), digits(F.col("l_partkey").cast("string"))
+    letters = F.transform(F.slice(F.arrays_zip(own.alias("a"), other.alias("b"), drawn.alias("c")), 1, 32), lambda x: F.when(x["a"] == "0", x["b"]).otherwise(x["c"]))
+    quals = F.transform(F.slice(_digits(F.concat(F.lit("q"), _name())), 1, 32), lambda d: d * 3)
+    return _lines(spark, sf_dir, F.col("l_linestatus").alias("strand")).select("l_partkey", "strand", F.translate(F.array_join(letters, ""), HEX, LETTERS).alias("seq"), quals.alias("quals"))
 
 
 @query(f"WITH {_READS}, {_MOLECULES}, {_likely_sql('l_partkey')} SELECT l_partkey, pos, letter, round(qual, 6) AS qual, round(posterior, 9) AS posterior, depth, errors FROM likely")
@@ -299,7 +298,7 @@ l AS (SELECT *, CASE WHEN da + db < 4 OR greatest(da, db) < 3 OR least(da, db) <
 SELECT l_partkey, pos, letter, round(CASE WHEN letter = 'N' THEN 2.0 WHEN a IS NULL THEN qb WHEN b IS NULL THEN qa WHEN a = b THEN least(qa + qb, 90.0) ELSE greatest(abs(qa - qb), 2.0) END, 6) AS qual, da + db AS depth,
   ea + eb + CASE WHEN letter = 'N' THEN 0 WHEN a <> b AND letter = a THEN db - eb WHEN a <> b AND letter = b THEN da - ea ELSE 0 END AS errors, ((a IS NOT NULL)::INT + (b IS NOT NULL)::INT)::INT AS strands FROM l""")
 def a_duplex(spark, sf_dir):
-    letters = calling.placed_letters(molecules(spark, sf_dir), ["l_partkey", "strand"])
+    letters = calling.placed_letters(molecules(spark, sf_dir), ["l_partkey", "strand"], meet=["l_partkey"])
     calls = calling.likely_letters(letters, ["l_partkey", "strand"], min_reads=2).withColumn("strand", F.when(F.col("strand") == "O", "A").otherwise("B"))
     return calling.duplex(calls, ["l_partkey"], min_reads=(4, 3, 1)).withColumn("qual", F.round("qual", 6))
 

@@ -31,8 +31,12 @@ def called_quality(wrong: Column) -> Column:
     return F.greatest(F.lit(LEAST_QUAL), F.least(F.lit(MOST_QUAL), -10 * F.log10(F.greatest(wrong, F.lit(1e-300)))))
 
 
-def placed_letters(df: DataFrame, group: list[str], seq: str = "seq", quals: str = "quals") -> DataFrame:
-    """(group, pos, letter, qual): the letters of reads, from 0."""
+def placed_letters(df: DataFrame, group: list[str], seq: str = "seq", quals: str = "quals", meet: list[str] | None = None) -> DataFrame:
+    """(group, pos, letter, qual): the letters of reads, from 0.
+
+    Reads of a group (or of its columns ``meet``) meet before their letters are listed, so that what is counted by group and place isn't exchanged again; a task reads its groups' reads one after the other.
+    """
+    df = df.repartition(*(meet or group))
     each = F.arrays_zip(F.slice(F.split(seq, ""), F.lit(1), F.length(seq)).alias("letter"), F.col(quals).alias("qual"))
     return df.select(*group, F.posexplode(each).alias("pos", "_v")).select(*group, "pos", F.upper("_v.letter").alias("letter"), F.col("_v.qual").cast("double").alias("qual"))
 
