@@ -83,3 +83,45 @@ def test_primers_meet_positions(spark):
         near = sorted((abs((hi if b else lo) - begins), lo, -hi) for c, lo, hi, b in primers if c == contig and b == back and abs((hi if b else lo) - begins) <= 3)
         inner = (near[0][1] if back else -near[0][2]) if near else None
         assert got[k] == (0 if inner is None else min(9, max(0, pos + 8 - inner + 1) if back else max(0, inner - pos + 1))), k
+
+
+@pytest.mark.parametrize("contig", [["contig"], []])
+def test_site_counts_equal_the_matrix(spark, contig):
+    """Overlapping blocks of one sample, blocks over own variants, null samples: as by the matrix, without its rows."""
+    dice, rows = random.Random(5), []
+    for _ in range(300):
+        lo, varies = dice.randrange(1, 150), dice.random() < 0.3
+        rows.append((dice.choice(["a", "b", "c", None]), dice.choice("xy"), lo, lo if varies else lo + dice.choice([-2, 0, 5, 60]), varies, 1))
+    df = spark.createDataFrame(rows, "sample string, contig string, lo long, hi long, varies boolean, v int")
+    want = sites.site_summary(sites.site_matrix(df, contig, "sample", "varies", ["v"]), contig, "sample", "varies")
+    got = sites.site_counts(df, contig, "sample", "varies").select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert sites.site_counts(df.where("not varies"), contig, "sample", "varies").count() == 0
+
+
+def test_mixture_likelihoods_by_hand(spark):
+    """Many qualities, sites of certain frequency: each grid point as by the formula, from letters' chances taken once for each quality."""
+    import math
+
+    dice, rows = random.Random(7), []
+    for site in range(60):
+        f = dice.choice([0.0, 0.3, 0.8, 1.0])
+        rows += [(site, f, dice.random() < 0.4, dice.randrange(3, 60)) for _ in range(dice.randrange(1, 9))]
+    grid, by_site = [0.0, 0.125, 0.5], defaultdict(list)
+    for site, f, alt, q in rows:
+        by_site[site, f].append((alt, min(0.75, 10 ** (-q / 10))))
+    want = {}
+    for alpha in grid:
+        want[alpha] = 0.0
+        for (_, f), reads in by_site.items():
+            prior, chance = [(1 - f) ** 2, 2 * f * (1 - f), f * f], 0.0
+            for a in range(3):
+                for b in range(3):
+                    s = (1 - alpha) * a / 2 + alpha * b / 2
+                    chance += prior[a] * prior[b] * math.prod((s if alt else 1 - s) * (1 - e) + (1 - s if alt else s) * e / 3 for alt, e in reads)
+            want[alpha] += math.log(chance)
+    counted = mixture.site_counts(spark.createDataFrame(rows, "site int, f double, alt boolean, q int"), ["site"], "f", "alt", "q")
+    out = mixture.likelihoods(counted.repartition(3), grid)
+    assert "aggregate(" not in plan(out)
+    got = {r["alpha"]: r["log_likelihood"] for r in out.collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[a], want[a], rel_tol=1e-9) for a in grid)

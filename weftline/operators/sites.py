@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from weftline import operators as op
 from weftline.lineage import cut
+from weftline.operators import coverage
 
 BIN = 1 << 12
 
@@ -31,3 +32,23 @@ def site_matrix(records: DataFrame, contig: list[str], sample: str, variant: str
 def site_summary(matrix: DataFrame, contig: list[str], sample: str, variant: str) -> DataFrame:
     """(contig, pos, n_called, n_variant, n_block) of each site."""
     return matrix.groupBy(*contig, "pos").agg(F.count(F.lit(1)).alias("n_called"), F.count_if(F.col(variant)).alias("n_variant"), F.count_if(~F.col(variant)).alias("n_block"))
+
+
+def site_counts(records: DataFrame, contig: list[str], sample: str, variant: str, lo: str = "lo", hi: str = "hi") -> DataFrame:
+    """``site_summary`` of ``site_matrix`` without its rows, which are sites times samples: (contig, pos, n_called, n_variant, n_block).
+
+    A sample's blocks are made disjoint and cut out at its own variants; how many lie over a site is then told by a sweep over their ends. Records whose ``variant`` is null don't count.
+    """
+    own = [*contig, sample]
+    sites = cut(records.where(F.col(variant)).select(*contig, F.col(lo).cast("long").alias("pos"), F.col(lo) <= F.col(hi), sample).toDF(*contig, "pos", "_valid", sample).distinct())
+    variants = sites.where("_valid").select(*own, F.col("pos").alias(lo), F.col("pos").alias(hi))
+    runs = coverage.depth_runs(records.where(~F.col(variant)), own, lo, hi, borders=variants).where("depth > 0").select(*own, lo, hi)
+    marked = variants.select(*[F.col(c).alias(f"_v_{c}") for c in own], F.col(lo).alias("_at"))
+    same = F.col(lo) == F.col("_at")
+    for c in own:
+        same = same & F.col(c).eqNullSafe(F.col(f"_v_{c}"))
+    blocks = runs.join(marked, same, "left_anti")
+    counts = sites.groupBy(*contig, "pos").agg(F.count_if("_valid").alias("n_variant"))
+    depth = coverage.depth_runs(blocks, contig, lo, hi, borders=counts.select(*contig, F.col("pos").alias(lo), F.col("pos").alias(hi)))
+    found = coverage.joined(counts, depth.select(*contig, F.col(lo).alias("pos"), "depth"), [*contig, "pos"])
+    return found.select(*contig, "pos", (F.col("n_variant") + F.col("depth")).alias("n_called"), "n_variant", F.col("depth").cast("long").alias("n_block")).where("n_called > 0")

@@ -93,7 +93,7 @@ def event_records(spark, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_RECORDS}, s AS (SELECT DISTINCT lo AS pos FROM records WHERE varies), m AS (SELECT pos, user_id, r.varies, value FROM s JOIN records r ON pos BETWEEN r.lo AND r.hi)
 SELECT pos, count(*) AS n_called, count(*) FILTER (varies) AS n_variant, count(*) FILTER (NOT varies) AS n_block FROM m GROUP BY 1""")
 def j_sites(spark, sf_dir):
-    return sites.site_summary(sites.site_matrix(event_records(spark, sf_dir), [], "user_id", "varies", ["value"]), [], "user_id", "varies")
+    return sites.site_counts(event_records(spark, sf_dir), [], "user_id", "varies")
 
 
 # Files of records
