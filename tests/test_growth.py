@@ -125,3 +125,18 @@ def test_mixture_likelihoods_by_hand(spark):
     assert "aggregate(" not in plan(out)
     got = {r["alpha"]: r["log_likelihood"] for r in out.collect()}
     assert got.keys() == want.keys() and all(math.isclose(got[a], want[a], rel_tol=1e-9) for a in grid)
+
+
+@pytest.mark.parametrize("most", [1 << 18, 2])
+def test_shapes_are_worked_out_once(spark, monkeypatch, most):
+    """Records of one shape are cut and split alike wherever they lie, with shapes looked up or not; no place, no edits."""
+    monkeypatch.setattr(edits, "MOST_SHAPES", most)
+    rows = [(k, 10 * k, ["9M", "4M2I5M", "3S4M50N6M", "5M3D5M", None, "*"][k % 6], k % 4 == 0, "ACGTACGTACGTA") for k in range(60)] + [(99, None, "9M", False, "ACGTACGTA")]
+    df = spark.createDataFrame(rows, "id int, pos long, edits string, reverse boolean, seq string")
+    bounds = {"lo": F.col("pos") + F.col("id") % 3, "hi": F.lit(400).cast("long"), "skip": F.when(F.col("reverse"), 1)}
+    one = df.withColumn("c", edits.clip(F.col("pos"), edits.parse(F.col("edits")), hard=True, **bounds)).select("id", "c.pos", "c.edits", "c.n_clipped", F.substring("seq", F.col("c.start") + 1, F.col("c.letters")))
+    out = edits.clipped(df, bounds, hard=True).select("id", "pos", "edits", "n_clipped", "seq")
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, one.collect()))
+    assert ("aggregate(" in plan(out).split("BroadcastExchange")[0]) == (most == 2)
+    pieces = {(r["id"], r["segment"]): (r["pos"], r["core"]) for r in edits.split_at_gaps(df).collect()}
+    assert pieces[2, 0] == (20, "3S4M") and pieces[2, 1] == (74, "6M") and pieces[0, 0] == (0, "9M") and pieces[4, 0] == (40, None)

@@ -8,7 +8,7 @@ pileups, clips) is read off the placed array. ``M``, ``=`` and ``X`` align lette
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -84,14 +84,30 @@ def _bare(ops: Column) -> Column:
     return F.transform(ops, lambda o: F.struct(o["n"].alias("n"), o["op"].alias("op")))
 
 
+#: Shapes of records (edit string and what is done to it) that are worked out once each, at most; beyond that each record is.
+MOST_SHAPES = 1 << 18
+
+
+def once_each(df: DataFrame, shape: dict[str, Column], compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``compute(df with shape)``, worked out once for each distinct shape, as many records share one, and looked up; with too many shapes for a lookup, for each record."""
+    rows = df.withColumns(shape)
+    shapes = cut(rows.select(*shape).distinct().limit(MOST_SHAPES + 1))
+    if shapes.count() > MOST_SHAPES:
+        return compute(rows).drop(*shape)
+    same = F.lit(True)
+    for c in shape:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of{c}"))
+    found = compute(shapes).withColumnsRenamed({c: f"_of{c}" for c in shape})
+    return rows.join(F.broadcast(found), same).drop(*shape, *[f"_of{c}" for c in shape])
+
+
 def split_at_gaps(df: DataFrame, pos: str = "pos", edits: str = "edits") -> DataFrame:
     """One row for each stretch between gaps (``N``): its ``segment``, own ``pos`` and ``edits``, the letters of other stretches soft-clipped.
 
     ``core`` is the stretch's own edit string and ``gap`` the length of the gap behind it (null at the end), by which
     ``join_at_gaps`` makes the record whole. Records that aren't aligned (null or ``*``) stay as they are, as segment 0.
     """
-    ops = parse(F.col(edits))
-    rows = df.withColumn("_placed", placed(F.col(pos), ops)).withColumn("_letters", read_length(ops))
+    ops = parse(F.col("_shape"))
 
     def stretch(k: Column) -> Column:
         own = F.filter("_placed", lambda o: (o["segment"] == k) & (o["op"] != "N"))
@@ -107,11 +123,12 @@ def split_at_gaps(df: DataFrame, pos: str = "pos", edits: str = "edits") -> Data
 
     gaps = F.size(F.filter("_placed", lambda o: o["op"] == "N"))
     pieces = F.transform(F.sequence(F.lit(0), gaps), stretch)
-    out = rows.withColumn("_piece", F.explode(pieces)).where((F.size("_placed") == 0) | F.col("_piece.core").isNotNull() | F.col("_piece.gap").isNotNull())
-    alone = F.size("_placed") == 0
+    known = lambda shapes: shapes.withColumn("_placed", placed(F.lit(0), ops)).withColumn("_letters", read_length(ops)).withColumn("_pieces", pieces).withColumn("_alone", F.size("_placed") == 0).drop("_placed", "_letters")
+    alone = F.col("_alone")
+    out = once_each(df, {"_shape": F.col(edits)}, known).withColumn("_piece", F.explode("_pieces")).where(alone | F.col("_piece.core").isNotNull() | F.col("_piece.gap").isNotNull())
     kept = [c for c in df.columns if c not in (pos, edits)]
     return out.select(
-        *kept, F.when(alone, F.col(pos)).otherwise(F.col("_piece.pos")).alias(pos), F.when(alone, F.col(edits)).otherwise(F.col("_piece.edits")).alias(edits),
+        *kept, F.when(alone, F.col(pos)).otherwise(F.col(pos) + F.col("_piece.pos")).alias(pos), F.when(alone, F.col(edits)).otherwise(F.col("_piece.edits")).alias(edits),
         F.col("_piece.segment").alias("segment"), F.col("_piece.core").alias("core"), F.col("_piece.gap").alias("gap"),
     ).where(F.col("core").isNotNull() | F.col(edits).isNull() | (F.col(edits) == "*"))
 
@@ -311,8 +328,12 @@ def clip(pos: Column, ops: Column, lo: Column | None = None, hi: Column | None =
 
 def clipped(df: DataFrame, bounds: dict[str, Column], hard: bool = False, pos: str = "pos", edits: str = "edits", seq: str = "seq", quals: str = "quals") -> DataFrame:
     """Records with ``clip`` applied to all their columns; ``n_clipped`` counts the aligned letters lost."""
-    out = df.withColumn("_clip", clip(F.col(pos), parse(F.col(edits)), hard=hard, **bounds))
-    columns = {pos: F.col("_clip.pos"), edits: F.col("_clip.edits"), "n_clipped": F.col("_clip.n_clipped")}
+    # Bounds count from the record's own place, so that records of one shape are cut alike.
+    shape = {"_zero": F.when(F.col(pos).isNotNull(), F.lit(0).cast("long")), "_shape": F.col(edits)}
+    shape.update({f"_{c}": b - F.col(pos) if c in ("lo", "hi") else b for c, b in bounds.items()})
+    own = {c: F.col(f"_{c}") for c in bounds}
+    out = once_each(df, shape, lambda shapes: shapes.withColumn("_clip", clip(F.col("_zero"), parse(F.col("_shape")), hard=hard, **own)))
+    columns = {pos: F.col(pos) + F.col("_clip.pos"), edits: F.col("_clip.edits"), "n_clipped": F.col("_clip.n_clipped")}
     if seq in df.columns:
         columns[seq] = F.substring(seq, F.col("_clip.start") + 1, F.col("_clip.letters"))
     if quals in df.columns:

@@ -8,8 +8,11 @@ alpha of a grid. The grid of sums over all sites is all that is brought together
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.lineage import cut
@@ -22,31 +25,39 @@ def site_counts(reads: DataFrame, site: list[str], freq: str, is_alt: str, qual:
     return counted.groupBy(*site, "freq").agg(F.collect_list(F.struct("alt", wrong.alias("wrong"), "n")).alias("seen"))
 
 
-def _site_likelihood(alpha: Column) -> Column:
-    prior = lambda g: (1 - F.col("freq")) * (1 - F.col("freq")) if g == 0 else 2 * F.col("freq") * (1 - F.col("freq")) if g == 1 else F.col("freq") * F.col("freq")
-
-    def of(own: int, other: int) -> Column:
-        def add(acc: Column, r: Column) -> Column:
-            share = (1 - alpha) * (own / 2) + alpha * (other / 2)
-            shown = share * (1 - r["wrong"]) + (1 - share) * r["wrong"] / 3
-            hidden = (1 - share) * (1 - r["wrong"]) + share * r["wrong"] / 3
-            return acc + r["n"] * F.log(F.greatest(F.when(r["alt"], shown).otherwise(hidden), F.lit(1e-300)))
-
-        return F.struct(F.aggregate("seen", F.lit(0.0), add).alias("l"), (prior(own) * prior(other)).alias("p"))
-
-    pairs = F.array(*[of(a, b) for a in range(3) for b in range(3)])
-
-    def summed(p: Column) -> Column:
-        top = F.array_max(F.transform(p, lambda x: x["l"]))
-        return F.get(F.transform(F.array(top), lambda t: t + F.log(F.aggregate(p, F.lit(0.0), lambda acc, x: acc + x["p"] * F.exp(x["l"] - t)))), F.lit(0))
-
-    return F.get(F.transform(F.array(pairs), summed), F.lit(0))
+PAIRS = [(own, other) for own in range(3) for other in range(3)]
+
+
+def _log_likelihoods(batches: Iterator[pa.RecordBatch], grid: list[float]) -> Iterator[pa.RecordBatch]:
+    """(freq, seen) to (alpha, l), summed over a task's sites. A letter's chance depends on its quality, the genotypes and alpha only, so it is taken once for each."""
+    total, any_site = np.zeros(len(grid)), False
+    for batch in batches:
+        freq, lists = batch.column(0).to_numpy(), batch.column(1)
+        if not len(freq):
+            continue
+        any_site, seen, size = True, lists.flatten(), lists.value_lengths().to_numpy()
+        alt, wrong, n = (seen.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+        kinds, kind = np.unique(np.where(alt, -1.0 - wrong, wrong), return_inverse=True)
+        is_alt, error = kinds < 0, np.where(kinds < 0, -1.0 - kinds, kinds)
+        genotype = np.stack([(1 - freq) ** 2, 2 * freq * (1 - freq), freq**2])
+        prior = np.stack([genotype[a] * genotype[b] for a, b in PAIRS], axis=1)
+        start = np.cumsum(size) - size
+        for k, alpha in enumerate(grid):
+            share = np.array([(1 - alpha) * (a / 2) + alpha * (b / 2) for a, b in PAIRS])
+            share, e = np.where(is_alt[:, None], share, 1 - share), error[:, None]
+            chance = np.log(np.maximum(share * (1 - e) + (1 - share) * e / 3, 1e-300))
+            l = np.add.reduceat(n[:, None] * chance[kind], start)  # noqa: E741
+            top = np.where(prior > 0, l, -np.inf).max(axis=1)
+            total[k] += (top + np.log((prior * np.exp(np.minimum(l - top[:, None], 0))).sum(axis=1))).sum()
+    if any_site:
+        yield pa.record_batch([pa.array(grid), pa.array(total)], ["alpha", "l"])
 
 
 def likelihoods(sites: DataFrame, grid: list[float]) -> DataFrame:
     """(alpha, log_likelihood) over all sites, for each alpha of the grid."""
-    each = sites.select("freq", "seen", F.explode(F.array(*[F.lit(float(a)) for a in grid])).alias("alpha"))
-    return each.select("alpha", _site_likelihood(F.col("alpha")).alias("l")).groupBy("alpha").agg(F.sum("l").alias("log_likelihood"))
+    grid = [float(a) for a in grid]
+    sums = sites.select("freq", "seen").mapInArrow(lambda batches: _log_likelihoods(batches, grid), "alpha double, l double")
+    return sums.groupBy("alpha").agg(F.sum("l").alias("log_likelihood"))
 
 
 def estimate(sites: DataFrame, coarse: float = 0.05, fine: float = 0.0025, most: float = 0.5) -> tuple[float, DataFrame]:
