@@ -140,3 +140,12 @@ def test_shapes_are_worked_out_once(spark, monkeypatch, most):
     assert ("aggregate(" in plan(out).split("BroadcastExchange")[0]) == (most == 2)
     pieces = {(r["id"], r["segment"]): (r["pos"], r["core"]) for r in edits.split_at_gaps(df).collect()}
     assert pieces[2, 0] == (20, "3S4M") and pieces[2, 1] == (74, "6M") and pieces[0, 0] == (0, "9M") and pieces[4, 0] == (40, None)
+
+
+def test_letters_are_not_sorted_with_names(spark, monkeypatch):
+    from weftline import alignments
+
+    seen, ranked = [], alignments.ordering.ranked
+    monkeypatch.setattr(alignments.ordering, "ranked", lambda df, order: seen.append(df.columns) or ranked(df, order))
+    out = alignments.p_revert_reads(spark, "/root/testdata/sf0.001")
+    assert seen == [["name", "contig", "mapq", "reverse"]] and out.columns == ["rank", "name", "seq", "first_qual"]

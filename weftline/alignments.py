@@ -41,17 +41,24 @@ def _digits(of: Column) -> Column:
     return F.transform(F.split(F.md5(of), ""), lambda c: F.instr(F.lit(HEX), c) - 1)
 
 
+def _seq(name: Column) -> Column:
+    return F.translate(F.md5(name), HEX, LETTERS)
+
+
+def _quals(name: Column) -> Column:
+    return F.transform(F.slice(_digits(F.concat(F.lit("q"), name)), 1, 32), lambda d: d * 3)
+
+
 def reads(spark, sf_dir: str) -> DataFrame:
     """(name, contig, pos, mapq, reverse, edits, seq, quals), equal ones once."""
     s, m, kind = F.col("l_linenumber") % 3, 5 + F.col("l_quantity") % 7, F.col("l_suppkey") % 4
     middle = F.when(kind == 0, "1X").when(kind == 1, "2I").when(kind == 2, "3D").otherwise("50N")
     rest = 32 - s - m - F.when(kind == 0, 1).when(kind == 1, 2).otherwise(0)
-    quals = F.transform(F.slice(_digits(F.concat(F.lit("q"), _name())), 1, 32), lambda d: d * 3)
     own = F.col("l_returnflag").alias("contig"), (F.col("l_tax") * 100).cast("int").alias("mapq"), (F.col("l_linestatus") == "O").alias("reverse")
     return _lines(spark, sf_dir, *own).select(
         _name().alias("name"), "contig", (F.col("l_partkey") * 3 + 1).alias("pos"), "mapq", "reverse",
         F.concat(F.when(s > 0, F.concat(s.cast("string"), F.lit("S"))).otherwise(""), m.cast("string"), F.lit("M"), middle, rest.cast("string"), F.lit("M")).alias("edits"),
-        F.translate(F.md5(_name()), HEX, LETTERS).alias("seq"), quals.alias("quals"),
+        _seq(_name()).alias("seq"), _quals(_name()).alias("quals"),
     )
 
 
@@ -84,8 +91,9 @@ def p_join_gaps(spark, sf_dir):
 @query(f"""WITH {_READS}, o AS (SELECT DISTINCT name, contig, mapq, reverse, seq, quals FROM reads)
 SELECT row_number() OVER (ORDER BY name, contig, mapq, reverse) AS rank, name, CASE WHEN reverse THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END AS seq, (instr('{HEX}', substr(quals, CASE WHEN reverse THEN 32 ELSE 1 END, 1)) - 1) * 3 AS first_qual FROM o""")
 def p_revert_reads(spark, sf_dir):
-    """Reads as they were, in order of their names (and of what told equal names apart)."""
-    ordered = ordering.ranked(reads(spark, sf_dir), ["name", "contig", "mapq", "reverse"])
+    """Reads as they were, in order of their names (and of what told equal names apart). Letters follow from names, so they aren't sorted with them."""
+    key = ["name", "contig", "mapq", "reverse"]
+    ordered = ordering.ranked(reads(spark, sf_dir).select(*key), key).withColumns({"seq": _seq(F.col("name")), "quals": _quals(F.col("name"))})
     return edits.reverted(ordered).select("rank", "name", "seq", F.get("quals", F.lit(0)).cast("long").alias("first_qual"))
 
 
@@ -281,8 +289,7 @@ def molecules(spark, sf_dir) -> DataFrame:
     digits = lambda c: F.split(F.md5(c), "")
     own, other, drawn = digits(_name()), digits(F.concat(F.lit("e"), _name())), digits(F.col("l_partkey").cast("string"))
     letters = F.transform(F.slice(F.arrays_zip(own.alias("a"), other.alias("b"), drawn.alias("c")), 1, 32), lambda x: F.when(x["a"] == "0", x["b"]).otherwise(x["c"]))
-    quals = F.transform(F.slice(_digits(F.concat(F.lit("q"), _name())), 1, 32), lambda d: d * 3)
-    return _lines(spark, sf_dir, F.col("l_linestatus").alias("strand")).select("l_partkey", "strand", F.translate(F.array_join(letters, ""), HEX, LETTERS).alias("seq"), quals.alias("quals"))
+    return _lines(spark, sf_dir, F.col("l_linestatus").alias("strand")).select("l_partkey", "strand", F.translate(F.array_join(letters, ""), HEX, LETTERS).alias("seq"), _quals(_name()).alias("quals"))
 
 
 @query(f"WITH {_READS}, {_MOLECULES}, {_likely_sql('l_partkey')} SELECT l_partkey, pos, letter, round(qual, 6) AS qual, round(posterior, 9) AS posterior, depth, errors FROM likely")
