@@ -296,6 +296,24 @@ def test_large_leaves(spark, monkeypatch):
     assert all(r["n_dropped"] == 0 for r in line_templates.drop_templates(spark.createDataFrame(apart, "doc_id long, text string")).collect())
 
 
+def test_leaves_of_any_size_as_whole(spark, monkeypatch):
+    """Split leaves give the whole leaf's templates: pairs that share one rare token, fields, one template, wide lines."""
+    rng = np.random.default_rng(9)
+    word = lambda k: "".join(chr(97 + int(x)) for x in str(k))
+    lines = [f"one two three {' '.join(word(w) for w in rng.integers(0, 4, 5))} {word(50 + k // 2)} {word(900 + k // 2)}" for k in range(120)]
+    lines += [f"one two four {' '.join('7' if w == 0 else word(w) for w in rng.integers(0, 30, 6))}" for _ in range(150)]
+    lines += [f"pair of lines {' '.join(word(1000 * p + k // 2) for p in range(1, 7))} {word(k)}" for k in range(80)]
+    lines += [f"User data for {word(k)} was opened in our main office today" for k in range(40)]
+    rows = [(k, line) for k, line in enumerate(lines)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    expected, _ = templates_by_hand(rows, 2, False)
+    for most, places in ((8, 256), (8, 2), (4096, 256), (4096, 2)):
+        monkeypatch.setattr(line_templates, "FORMS", most)
+        monkeypatch.setattr(line_templates, "PLACES", places)
+        assert sorted(map(tuple, line_templates.drop_templates(df).collect())) == sorted(expected), (most, places)
+    assert 80 < sum(r[3] for r in expected) < len(rows)
+
+
 def test_language_model(docs, empty):
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
     flag = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0

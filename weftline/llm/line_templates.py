@@ -11,10 +11,10 @@ templates as they are. A template that recurs in ``least_docs`` documents or mor
 is dropped from all of them; with ``keep_first`` the document of least key (a
 hash of id and text) keeps its lines, so one copy stays.
 
-A leaf of more than ``FORMS`` forms (or ``CELLS`` tokens) goes deeper: it is split
-by the place with the fewest tokens that splits it, up to ``DEEPER`` times; where
-all places are nearly constant or nearly all different, it is dealt by hash into
-parts that grow their templates apart. So a task holds one bounded leaf at a time. Only forms and keys are exchanged; texts are, only
+A leaf of more than ``FORMS`` forms (or ``CELLS`` tokens) is split into parts that can't share a template: two forms of one template's lines
+agree in so many places that they have one of a few disjoint sets of places in common, so forms that no such set connects never meet.
+Where so many places are constant that all forms agree, the leaf is one template. Both give the result of the whole leaf, at any size. A part is
+grown in one task, form by form; the task holds its templates, not its forms. Only forms and keys are exchanged; texts are, only
 when the documents that lose lines are too many for a broadcast.
 
 Defined results: null and empty texts have no lines to drop. Blank lines, and
@@ -26,6 +26,7 @@ named columns are read, so other columns may have any name.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +37,10 @@ from pyspark.sql import functions as F
 from weftline.llm import common
 
 DEPTH, ALIKE, LEAST_DOCS = 3, 0.6, 2
-#: A leaf's most forms and tokens, and how often larger ones are split.
+#: A leaf's forms and tokens beyond which it is split, and how often parts are split again.
 FORMS, CELLS, DEEPER = 4096, 1 << 20, 8
+#: Templates of a leaf are looked up by place and token up to so many places and entries; beyond that each is compared.
+PLACES, ENTRIES = 256, 1 << 21
 _PLACE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -96,64 +99,102 @@ def line_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([_long(key[keep]), lists], ["line", "tokens"])
 
 
-def templates_of(forms: np.ndarray) -> np.ndarray:
-    """For the forms of a leaf, one a row, the row that started each one's template."""
-    known, owner, out = np.empty_like(forms), np.empty(len(forms), np.int64), np.empty(len(forms), np.int64)
-    least, k = ALIKE * (forms.shape[1] - DEPTH), 0
-    for i, form in enumerate(forms):
-        if k:
-            same = (known[:k, DEPTH:] == form[DEPTH:]).sum(axis=1)
-            best = int(same.argmax())
-            if same[best] >= least:
-                known[best][known[best] != form] = 0
-                out[i] = owner[best]
-                continue
-        known[k], owner[k], out[i] = form, i, i
-        k += 1
-    return out
+class Leaf:
+    """The templates of a leaf so far; its forms come in their order."""
+
+    def __init__(self, width: int):
+        self.width, self.least, self.owner, self.entries = width, math.ceil(ALIKE * (width - DEPTH)), [], 0
+        self.known = np.empty((width - DEPTH, 4), np.int32)
+        self.at = [{} for _ in range(width - DEPTH)] if width - DEPTH <= PLACES else None
+
+    def _listed(self, place: int, token: int, template: int) -> None:
+        if self.at is not None:
+            self.at[place].setdefault(token, []).append(template)
+            self.entries += 1
+            if self.entries > ENTRIES:
+                self.at = None
+
+    def best(self, form: np.ndarray) -> int | None:
+        """The first of the templates that agree most with a form, if they do enough."""
+        k, near = len(self.owner), slice(0, len(self.owner))
+        if self.at is not None and k > 16:
+            # A template that agrees in ``least`` places is listed under one of the others and one more.
+            lists = sorted((at.get(t, ()) for at, t in zip(self.at, form.tolist())), key=len)[: len(form) - self.least + 1]
+            if sum(map(len, lists)) < k // 4:
+                near = sorted(set().union(*lists))
+                k = len(near)
+        if not k:
+            return None
+        same = (self.known[:, near] == form[:, None]).sum(axis=0)
+        first = int(same.argmax())
+        return None if same[first] < self.least else first if isinstance(near, slice) else near[first]
+
+    def template(self, line: int, tokens: np.ndarray) -> int:
+        """The line that started the template that a line joins, or itself."""
+        form = tokens[DEPTH:]
+        best, k = self.best(form), len(self.owner)
+        if best is not None:
+            for place in np.flatnonzero((self.known[:, best] != form) & (self.known[:, best] != 0)).tolist():
+                self.known[place, best] = 0
+                self._listed(place, 0, best)
+            return self.owner[best]
+        if k == self.known.shape[1]:
+            self.known = np.concatenate([self.known, np.empty_like(self.known)], axis=1)
+        self.known[:, k] = form
+        self.owner.append(line)
+        for place, token in enumerate(form.tolist() if self.at is not None else []):
+            self._listed(place, token, k)
+        return line
 
 
 def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(leaf, line, tokens), sorted by leaf, to (line, template): the line that started its template."""
-    held: list[tuple[int, int, np.ndarray]] = []
-
-    def grown() -> pa.RecordBatch:
-        lines = np.array([h[1] for h in held], np.int64)
-        template = lines[templates_of(np.stack([h[2] for h in held]))] if held else lines
-        held.clear()
-        return pa.record_batch([pa.array(lines), pa.array(template)], ["line", "template"])
-
+    now, leaf = None, None
     for batch in batches:
         lists = batch.column(2)
         values, bounds = lists.flatten().to_numpy(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
-        for i, (leaf, line) in enumerate(zip(batch.column(0).to_numpy(), batch.column(1).to_numpy())):
+        lines, template = batch.column(1).to_numpy(), np.empty(len(batch), np.int64)
+        for i, (name, line) in enumerate(zip(batch.column(0).to_numpy(), lines)):
             tokens = values[bounds[i] : bounds[i + 1]]
-            if held and (held[-1][0] != leaf or len(held[-1][2]) != len(tokens)):
-                yield grown()
-            held.append((leaf, line, tokens))
-    yield grown()
+            if now != name or leaf.width != len(tokens):
+                now, leaf = name, Leaf(len(tokens))
+            template[i] = leaf.template(line, tokens)
+        yield pa.record_batch([pa.array(lines), pa.array(template)], ["line", "template"])
 
 
-def bounded_leaves(forms: DataFrame) -> DataFrame:
-    """(leaf, line, tokens, ..) with leaves that are too large split by a further place of their tokens, or dealt by hash."""
-    k = 0
-    while True:
+def parted(forms: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(leaf, line, n, tokens, ..) with large leaves split into parts that can't share a template; and the (line, template) of large leaves that are one template."""
+    single = None
+    for _ in range(DEEPER):
         sizes = forms.groupBy("leaf").agg(F.count(F.lit(1)).alias("m"), F.max(F.size("tokens")).alias("width"))
         large = common.cut(sizes.where((F.col("m") > FORMS) | ((F.col("m") > 16) & (F.col("m") * F.col("width") > CELLS))))
         if large.isEmpty():
-            return forms
-        parts = F.ceil(2 * F.greatest(F.col("m") / FORMS, F.col("m") * F.col("width") / CELLS)).cast("long")
-        choice = large.select("leaf", parts.alias("parts"))
-        if k < DEEPER:
-            counts = common.small_join(forms, large, "leaf").select("leaf", "m", F.posexplode("tokens").alias("by", "token")).groupBy("leaf", "m", "by", "token").count()
-            places = counts.groupBy("leaf", "m", "by").agg(F.count(F.lit(1)).alias("tokens"), F.max("count").alias("top")).where((F.col("top") <= 0.9 * F.col("m")) & (F.col("tokens") <= F.col("m") / 16))
-            choice = choice.join(places.groupBy("leaf").agg(F.min(F.struct("tokens", "by")).alias("best")).select("leaf", "best.by"), "leaf", "left")
-        else:
-            choice = choice.withColumn("by", F.lit(None).cast("int"))
-        branch = F.coalesce(F.get("tokens", F.col("by")).cast("long"), F.pmod(F.xxhash64("line", F.lit(k)), F.col("parts")))
-        forms = common.small_join(forms, common.cut(choice), "leaf", "left")
-        forms = common.cut(forms.withColumn("leaf", F.when(F.col("parts").isNull(), F.col("leaf")).otherwise(F.xxhash64("leaf", "by", branch))).drop("by", "parts"))
-        k += 1
+            break
+        big = common.small_join(forms.select("leaf", "line", "n", "tokens"), large.select("leaf"), "leaf")
+        counts = big.select("leaf", F.posexplode(F.slice("tokens", DEPTH + 1, F.greatest(F.size("tokens") - DEPTH, F.lit(0)))).alias("by", "token")).groupBy("leaf", "by", "token").agg(F.lit(1).alias("one"))
+        places = counts.groupBy("leaf", "by").agg(F.count("one").alias("tokens"), F.min("token").alias("least"))
+        varying = F.col("tokens") > 1
+        free = F.when(varying & (F.col("least") != 0), F.struct((-F.col("tokens")).alias("rank"), (F.col("by") + DEPTH).alias("by")))  # fields may agree with any token
+        leaves = places.groupBy("leaf").agg(F.count(F.lit(1)).alias("d"), F.count_if(varying).alias("varying"), F.sort_array(F.collect_list(free)).alias("free"))
+        leaves = leaves.withColumn("most", (F.col("d") - F.ceil(F.lit(ALIKE) * F.col("d"))).cast("int"))
+        pieces = F.transform(F.sequence(F.lit(0), F.col("most")), lambda k: F.transform(F.filter("free", lambda _, i: i % (F.col("most") + 1) == k), lambda p: p["by"]))
+        leaves = common.cut(leaves.select("leaf", (F.col("varying") <= F.col("most")).alias("one"), F.when(F.size("free") > F.col("most"), pieces).alias("pieces")))
+        alike = common.small_join(big.select("leaf", "line", "n"), leaves.where("one").select("leaf"), "leaf")
+        first = alike.groupBy("leaf").agg(F.max_by("line", F.struct("n", -F.col("line").cast("decimal(20,0)"))).alias("template"))
+        alike = common.cut(common.small_join(alike.select("leaf", "line"), common.cut(first), "leaf").select("line", "template"))
+        single = alike if single is None else single.unionByName(alike)
+        split = common.cut(leaves.where("not one and pieces is not null").select("leaf", "pieces"))
+        block = F.explode(F.transform("pieces", lambda at: F.xxhash64("leaf", at, F.transform(at, lambda p: F.get("tokens", p))))).alias("block")
+        blocks = common.cut(common.small_join(big.select("leaf", "line", "tokens"), split, "leaf").select("line", block))
+        shared = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("k"), F.min("line").alias("first")).where("k > 1").drop("k")
+        linked = common.connected_components(blocks.join(shared, "block").where("line <> first").select("line", "first"), "line", "first").withColumnRenamed("node", "line")
+        parts = common.small_join(big.select("leaf", "line"), split.select("leaf"), "leaf").join(linked, "line", "left")
+        parts = common.cut(parts.select("line", F.xxhash64("leaf", F.coalesce("component", "line")).alias("part")))
+        rest = common.small_join(forms, leaves.where("one").select("leaf"), "leaf", "left_anti")
+        forms = common.cut(rest.join(parts, "line", "left").withColumn("leaf", F.coalesce("part", "leaf")).drop("part"))
+        if parts.select("part").distinct().count() <= split.count():
+            break
+    return forms, single
 
 
 def recurring_lines(rows: DataFrame, lines: DataFrame, least_docs: int) -> DataFrame:
@@ -163,9 +204,11 @@ def recurring_lines(rows: DataFrame, lines: DataFrame, least_docs: int) -> DataF
     forms = common.cut(forms.join(met, "leaf"))
     several = common.cut(forms.where("forms > 1").drop("forms"))
     tokens = common.small_join(rows.select("text").mapInArrow(line_tokens, "line long, tokens array<int>"), several.select("line"), "line", max_rows=20_000)
-    several = bounded_leaves(common.cut(several.join(tokens.dropDuplicates(["line"]), "line")))
-    order = several.repartition("leaf").sortWithinPartitions("leaf", F.desc("n"), "line").select("leaf", "line", "tokens")
-    grown = several.drop("tokens", "leaf").join(order.mapInArrow(grow, "line long, template long"), "line")
+    several = common.cut(several.join(tokens.dropDuplicates(["line"]), "line"))
+    parts, single = parted(several)
+    order = parts.repartition("leaf").sortWithinPartitions("leaf", F.desc("n"), "line").select("leaf", "line", "tokens")
+    found = order.mapInArrow(grow, "line long, template long")
+    grown = several.drop("tokens", "leaf").join(found if single is None else found.unionByName(single), "line")
     forms = common.cut(grown.unionByName(forms.where("forms = 1").select("line", "n", "lo", "hi", F.col("line").alias("template"))))
     if least_docs > 2:
         pairs = common.keyed_join(lines.select("doc", "line"), forms.select("line", "n", "template"), "line", "n").select("template", "doc").distinct()
