@@ -149,3 +149,23 @@ def test_letters_are_not_sorted_with_names(spark, monkeypatch):
     monkeypatch.setattr(alignments.ordering, "ranked", lambda df, order: seen.append(df.columns) or ranked(df, order))
     out = alignments.p_revert_reads(spark, "/root/testdata/sf0.001")
     assert seen == [["name", "contig", "mapq", "reverse"]] and out.columns == ["rank", "name", "seq", "first_qual"]
+
+
+@pytest.mark.parametrize("distance", [0, 1, 7, 40])
+def test_optical_rows_are_exchanged_once(spark, monkeypatch, distance):
+    """Planes of a task's own, with few rows a batch, nulls and copies: as by the graph of cells, with one exchange."""
+    dice = random.Random(distance)
+    span = 90 if distance > 1 else 15
+    place = lambda: dice.choice([None, *range(-span, span)])
+    rows = [(k, dice.choice(["a", "b", "c", None]), dice.choice(["u", "v", None]), place(), place()) for k in range(500)]
+    df = spark.createDataFrame(rows, "id int, key string, tile string, x int, y long").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = proximity.mark_optical(df, ["key"], ["tile"], "x", "y", distance, [F.desc("id")])
+        assert plan(out).count("Exchange hashpartitioning") == 1 and "Join" not in plan(out)
+        got = sorted(map(tuple, out.collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(proximity, "COLUMNS", 0)
+    want = proximity.mark_optical(df, ["key"], ["tile"], "x", "y", distance, [F.desc("id")])
+    assert got == sorted(map(tuple, want.collect())) and {r[-1] for r in got} == {True, False}

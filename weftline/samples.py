@@ -41,7 +41,7 @@ FROM points JOIN c USING (l_suppkey, l_returnflag, x, y)""")
 def w_optical(spark, sf_dir):
     """Lines of one supplier are copies; those that also lie near each other on a plane (a return flag) are optical."""
     x, y = F.expr("CAST(bround(l_extendedprice, 0) AS BIGINT) % 1000"), (F.col("l_partkey") * 7 + F.col("l_linenumber") * 13) % 1000
-    points = table(spark, sf_dir, "lineitem").withColumns({"x": x, "y": y})
+    points = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity", "l_extendedprice", x.alias("x"), y.alias("y"))
     best = [F.desc("l_quantity"), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
     return proximity.mark_optical(points, ["l_suppkey"], ["l_returnflag"], "x", "y", NEAR, best).select("l_orderkey", "l_linenumber", "is_dup", "is_optical")
 
