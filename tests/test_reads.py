@@ -93,3 +93,17 @@ def test_mates(spark):
     assert sorted(map(tuple, reads.unaligned(one, None, "s").collect()))[0] == ("a/1", 0, "AC", [40, 0], "s")
     with pytest.raises(Exception, match="not one pair: a"):
         reads.unaligned(one, two.where("name <> 'a/2'"), "s").collect()
+
+
+def test_ranges_do_not_grow_with_the_files(spark, tmp_path, monkeypatch):
+    """Ranges are as asked for up to a number, and then longer; mates meet without lists of them or of numbers."""
+    rows = random_records(random.Random(2), 300)
+    for k in range(2):
+        (tmp_path / f"{k}.fq").write_bytes(text_of(rows))
+    monkeypatch.setattr(reads, "RANGES", 20)
+    spans = reads.ReadsReader({"path": str(tmp_path), "split": "16"}).partitions()
+    assert 10 < len(spans) <= 22
+    got = [tuple(r) for s in spans for batch in reads.ReadsReader({"path": str(tmp_path)}).read(s) for r in zip(*(c.to_pylist() for c in batch.columns[:4]))]
+    assert sorted(got, key=repr) == sorted(rows * 2, key=repr)
+    df = spark.createDataFrame(rows, "name string, comment string, seq string, qual string")
+    assert "collect_list" not in reads.unaligned(df, df, "s")._jdf.queryExecution().executedPlan().toString()

@@ -15,14 +15,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 NAME, SCHEMA = "reads", "name string, comment string, seq string, qual string, file string, at long"
 SPLIT, CHUNK = 64 << 20, 1 << 20
+#: About so many ranges of one read; beyond that they are longer than asked for, up to ``SPLIT``. Records of a batch.
+RANGES, BATCH = 256, 10_000
 #: Fixed values of the block format: how a block begins, and the empty block that ends a file.
 MAGIC = b"\x1f\x8b\x08\x04"
 LAST_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
@@ -152,13 +156,16 @@ def lines(pieces: Iterator[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
     """(position of its first byte, line without its end) of pieces."""
     held, began = b"", None
     for at, piece in pieces:
-        start = 0
-        while (end := piece.find(b"\n", start)) >= 0:
-            whole = held + piece[start:end]
-            yield (at + start if began is None else began), whole.removesuffix(b"\r")
-            held, began, start = b"", None, end + 1
-        if start < len(piece):
-            held, began = held + piece[start:], at + start if began is None else began
+        if b"\n" not in piece:
+            held, began = held + piece, at if began is None else began
+            continue
+        first, *whole, last = piece.split(b"\n")
+        yield (at if began is None else began), (held + first).removesuffix(b"\r")
+        at += len(first) + 1
+        for line in whole:
+            yield at, line.removesuffix(b"\r")
+            at += len(line) + 1
+        held, began = last, at if last else None
     if began is not None:
         yield began, held.removesuffix(b"\r")
 
@@ -228,14 +235,14 @@ class ReadsReader(DataSourceReader):
         system, inner = located(self.path)
         found = system.get_file_info(inner)
         files = [found] if found.type == pafs.FileType.File else system.get_file_info(pafs.FileSelector(inner, recursive=True))
-        spans = []
-        for f in sorted((f for f in files if f.type == pafs.FileType.File and f.size), key=lambda f: f.path):
-            if any(part.startswith(("_", ".")) for part in f.path.removeprefix(inner).split("/")):
-                continue
+        spans, files = [], sorted((f for f in files if f.type == pafs.FileType.File and f.size), key=lambda f: f.path)
+        files = [f for f in files if not any(part.startswith(("_", ".")) for part in f.path.removeprefix(inner).split("/"))]
+        split = max(self.split, min(SPLIT, -(-sum(f.size for f in files) // RANGES)))
+        for f in files:
             with system.open_input_file(f.path) as opened:
                 head = opened.read(64)
             kind = "blocks" if block_length(head) is not None else "stream" if head[:2] == MAGIC[:2] else "text"
-            step = f.size if kind == "stream" else self.split
+            step = f.size if kind == "stream" else split
             path = f.path if isinstance(system, pafs.LocalFileSystem) else self.path.split(inner)[0] + f.path
             spans += [Span(path, kind, at, min(at + step, f.size)) for at in range(0, f.size, step)]
         return spans
@@ -243,9 +250,11 @@ class ReadsReader(DataSourceReader):
     def read(self, span: Span):
         text = KINDS[span.kind](span.path)
         end = (1 << 62) if span.kind == "stream" else span.end
-        for at, (head, seq, _, qual) in records(text, span.start, end) if span.kind != "stream" else records(_Endless(text), 0, end):
-            name, _, comment = head[1:].decode().partition(" ")
-            yield name, comment or None, seq.decode(), qual.decode(), span.path, at
+        each = records(text, span.start, end) if span.kind != "stream" else records(_Endless(text), 0, end)
+        while found := list(islice(each, BATCH)):
+            heads = [body[0][1:].partition(b" ") for _, body in found]
+            columns = [[name for name, _, _ in heads], [comment or None for _, _, comment in heads], [body[1] for _, body in found], [body[3] for _, body in found]]
+            yield pa.record_batch([*(pa.array(c, pa.binary()).cast(pa.string()) for c in columns), pa.repeat(span.path, len(found)), pa.array([at for at, _ in found], pa.int64())], ["name", "comment", "seq", "qual", "file", "at"])
 
 
 class _Endless:
@@ -255,21 +264,27 @@ class _Endless:
         self.path, self.pieces, self.order = text.path, text.pieces, lambda at: at
 
 
-class ReadsWriter(DataSourceWriter):
+class ReadsWriter(DataSourceArrowWriter):
     def __init__(self, options: dict):
         self.path, self.blocks, self.run = options["path"], options.get("blocks", "true").lower() == "true", uuid.uuid4().hex
 
-    def write(self, rows) -> WriterCommitMessage:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         system, inner = located(self.path)
         folder, task = f"{inner}/_tmp-{self.run}", TaskContext.get()
         system.create_dir(folder, recursive=True)
         name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}.fq{'.gz' if self.blocks else ''}"
 
         def text():
-            for r in rows:
-                if len(r["seq"]) != len(r["qual"]) or "\n" in f"{r['name']}{r['comment']}{r['seq']}{r['qual']}":
-                    raise ValueError(f"{r['name']} is no record of four lines")
-                yield f"@{r['name']}{' ' + r['comment'] if r['comment'] else ''}\n{r['seq']}\n+\n{r['qual']}\n".encode()
+            for batch in batches:
+                name, comment, seq, qual = (batch.column(c).cast(pa.large_string()) for c in ("name", "comment", "seq", "qual"))
+                bad = pc.not_equal(pc.utf8_length(seq), pc.utf8_length(qual))
+                for column in (name, comment, seq, qual):
+                    bad = pc.or_(bad, pc.match_substring(column, "\n"))
+                if pc.any(bad).as_py():
+                    raise ValueError(f"{name.filter(bad)[0]} is no record of four lines")
+                gap, put = pc.if_else(pc.equal(comment, ""), "", " "), lambda *parts: pc.binary_join_element_wise(*(p if isinstance(p, pa.Array) else pa.scalar(p, pa.large_string()) for p in parts), pa.scalar("", pa.large_string()))
+                records = put("@", name, gap.cast(pa.large_string()), comment, "\n", seq, "\n+\n", qual, "\n")
+                yield "".join(records.to_pylist()).encode()
 
         with system.open_output_stream(f"{folder}/{name}", compression=None) as out:
             for piece in compressed_blocks(text()) if self.blocks else text():
@@ -329,14 +344,17 @@ def unaligned(first: DataFrame, second: DataFrame | None, sample: str, offset: i
     A name of one file that the other hasn't fails the query.
     """
 
-    def rows(df: DataFrame, mate: int) -> DataFrame:
-        base = F.regexp_replace("name", f"/{mate}$", "") if second is not None else F.col("name")
-        quals = F.transform(F.filter(F.split("qual", ""), lambda c: c != ""), lambda c: F.ascii(c) - offset)
-        return df.select(base.alias("name"), F.lit(mate).alias("mate"), "seq", quals.alias("quals"), F.lit(sample).alias("sample"))
+    def numbers(qual: str) -> Column:
+        return F.when(F.length(qual) > 0, F.transform(F.split(qual, ""), lambda c: F.ascii(c) - offset)).otherwise(F.array().cast("array<int>"))
 
     if second is None:
-        return rows(first, 0)
-    both = rows(first, 1).unionByName(rows(second, 2))
-    mates = both.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("mate", "seq", "quals"))).alias("_mates"))
-    sure = F.when((F.size("_mates") == 2) & (F.col("_mates")[0]["mate"] != F.col("_mates")[1]["mate"]), F.col("_mates")).otherwise(F.raise_error(F.concat(F.lit("not one pair: "), F.col("name"))))
-    return mates.select("name", F.explode(sure).alias("_m")).select("name", "_m.mate", "_m.seq", "_m.quals", F.lit(sample).alias("sample"))
+        return first.select("name", F.lit(0).alias("mate"), "seq", numbers("qual").alias("quals"), F.lit(sample).alias("sample"))
+
+    def rows(df: DataFrame, mate: int) -> DataFrame:
+        own = df.select(F.regexp_replace("name", f"/{mate}$", "").alias("name"), "seq", "qual")
+        return own.select("name", F.struct("seq", "qual").alias(f"_{mate}"), F.count(F.lit(1)).over(Window.partitionBy("name")).alias(f"_n{mate}"))
+
+    both = rows(first, 1).join(rows(second, 2), "name", "full")
+    sure = F.when((F.col("_n1") == 1) & (F.col("_n2") == 1), F.array(F.struct(F.lit(1).alias("mate"), "_1.seq", "_1.qual"), F.struct(F.lit(2).alias("mate"), "_2.seq", "_2.qual")))
+    mates = both.select("name", F.explode(sure.otherwise(F.raise_error(F.concat(F.lit("not one pair: "), F.col("name"))))).alias("_m"))
+    return mates.select("name", "_m.mate", "_m.seq", numbers("_m.qual").alias("quals"), F.lit(sample).alias("sample"))
