@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import calling, edits, mixture, proximity, sites, variants  # noqa: F401
+from weftline.operators import barcodes, calling, edits, mixture, proximity, sites, variants  # noqa: F401
 
 
 def plan(df):
@@ -169,3 +169,16 @@ def test_optical_rows_are_exchanged_once(spark, monkeypatch, distance):
     monkeypatch.setattr(proximity, "COLUMNS", 0)
     want = proximity.mark_optical(df, ["key"], ["tile"], "x", "y", distance, [F.desc("id")])
     assert got == sorted(map(tuple, want.collect())) and {r[-1] for r in got} == {True, False}
+
+
+def test_changes_meet_their_chunk_once(spark, monkeypatch):
+    """A change that stays within its chunk is written once with all its columns, and isn't joined again by a number of its own."""
+    from weftline.operators import alignment
+
+    seen, written = [], alignment.written
+    monkeypatch.setattr(alignment, "written", lambda df: seen.append(df.columns) or written(df))
+    chunks = alignment.chunked(spark.createDataFrame([("c", "xyaaaabb")], "contig string, text string"), "contig", "text")
+    df = spark.createDataFrame([(1, "c", 5, "aa", "a"), (2, "c", 2, "y", "z"), (3, "d", 4, "aa", "a"), (4, "c", 1, "x", "xx")], "id int, contig string, pos long, ref string, alt string")
+    out = alignment.left_aligned(df, chunks)
+    assert len(seen) == 1 and "id" in seen[0] and "_id#" not in plan(out)
+    assert sorted(map(tuple, out.collect())) == [(1, "c", 2, "ya", "y"), (2, "c", 2, "y", "z"), (3, "d", 4, "aa", "a"), (4, "c", 1, "x", "xx")]

@@ -226,11 +226,15 @@ def p_left_align(spark, sf_dir):
     """Every 97th place of each text: three letters behind it go, and the two up to it come twice."""
     docs = table(spark, sf_dir, "documents")
     n = F.length("text")
-    places = docs.where(n >= 6).select("doc_id", "text", F.explode(F.sequence(F.lit(2), n - 4, F.lit(97))).alias("origin"))
-    letter = F.substring("text", F.col("origin"), F.lit(1))
-    gone = places.select("doc_id", "origin", F.lit("del").alias("kind"), F.substring("text", F.col("origin"), F.lit(4)).alias("ref"), letter.alias("alt"))
-    come = places.select("doc_id", "origin", F.lit("ins").alias("kind"), letter.alias("ref"), F.concat(letter, F.substring("text", F.col("origin") - 1, F.lit(2))).alias("alt"))
-    changes = gone.union(come).withColumn("pos", F.col("origin").cast("long")).withColumn("origin", F.col("origin").cast("long"))
+    # Texts are taken apart at every 32nd place first, so that a place isn't counted from a long text's beginning.
+    parts = docs.where(n >= 6).select("doc_id", "text", n.alias("n"), F.explode(F.sequence(F.lit(2), n - 4, F.lit(32 * 97))).alias("at"))
+    parts = parts.select("doc_id", "n", "at", F.substring("text", F.col("at") - 1, F.lit(32 * 97 + 4)).alias("text"))
+    places = parts.select("doc_id", "at", "text", F.explode(F.sequence(F.col("at"), F.least(F.col("at") + 31 * 97, F.col("n") - 4), F.lit(97))).alias("origin"))
+    around = places.select("doc_id", "origin", F.substring("text", F.col("origin") - F.col("at") + 1, F.lit(5)).alias("around"))
+    letter, ahead = F.substring("around", 2, 1), F.substring("around", 2, 4)
+    gone = F.struct(F.lit("del").alias("kind"), ahead.alias("ref"), letter.alias("alt"))
+    come = F.struct(F.lit("ins").alias("kind"), letter.alias("ref"), F.concat(letter, F.left("around", F.lit(2))).alias("alt"))
+    changes = around.select("doc_id", F.col("origin").cast("long").alias("origin"), F.inline(F.array(gone, come))).withColumn("pos", F.col("origin"))
     return alignment.left_aligned(changes, alignment.chunked(docs, "doc_id", "text"), contig="doc_id").select("doc_id", "origin", "kind", "pos", "ref", "alt")
 
 

@@ -1,8 +1,8 @@
 """Left alignment of insertions and deletions over a reference kept in chunks.
 
 An insertion or deletion of a unit can move left over every letter that ends the unit as it turns: how far is the common
-beginning of the reference read backwards and of the unit read backwards over and over. A record looks that up in the chunk that holds
-its place; only one that matches a chunk's whole beginning goes on to the chunk before, in a further round.
+beginning of the reference read backwards and of the unit read backwards over and over. A record meets the chunk that holds its place once, and mostly
+finds the letter beside its new place there too; only one that matches a chunk's whole beginning goes on to the chunk before, in a further round.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.lineage import cut
+from weftline.lineage import written
 from weftline.operators.alleles import trimmed
 from weftline.operators.edits import let
 
@@ -28,7 +28,7 @@ def chunked(df: DataFrame, contig: str, text: str, width: int = WIDTH) -> DataFr
 def common_start(a: Column, b: Column) -> Column:
     """The length of the longest common beginning of two texts of one length."""
     differs = F.array_position(F.zip_with(F.split(a, ""), F.split(b, ""), lambda p, q: p != q), F.lit(True)).cast("int")
-    return let(differs, lambda k: F.when(k == 0, F.length(a)).otherwise(k - 1))
+    return F.when(F.left(a, F.lit(1)) != F.left(b, F.lit(1)), 0).otherwise(let(differs, lambda k: F.when(k == 0, F.length(a)).otherwise(k - 1)))
 
 
 def turned(unit: Column, shift: Column, n: Column) -> Column:
@@ -55,40 +55,44 @@ def left_aligned(df: DataFrame, chunks: DataFrame, pos: str = "pos", ref: str =
     beginning of a contig the letter behind it follows. Positions count from 1. A record of a contig that ``chunks`` hasn't stays where it is.
     """
     at = trimmed(F.col(pos), F.col(ref), F.col(alt))
-    rows = df.withColumn("_t", at).withColumn("_id", F.monotonically_increasing_id())
+    rows = df.withColumn("_t", at)
     r, a = F.col("_t.ref"), F.col("_t.alt")
     longer, shorter = F.when(F.length(r) > F.length(a), r).otherwise(a), F.when(F.length(r) > F.length(a), a).otherwise(r)
     simple = (F.length(r) != F.length(a)) & (F.length(shorter) == 1)
     behind = simple & (F.left(longer, F.lit(1)) == shorter)
     before = simple & ~behind & (F.right(longer, F.lit(1)) == shorter)
     n = F.length(longer) - 1
-    rows = cut(rows.withColumn("_moves", behind | before).withColumn("_unit", F.when(behind, F.right(longer, n)).when(before, F.left(longer, n))).withColumn("_p", F.when(before, F.col("_t.pos") - 1).otherwise(F.col("_t.pos")).cast("long")))
-    active = rows.where("_moves").select("_id", contig, F.reverse("_unit").alias("_back"), F.col("_p").alias("_p"), F.lit(0).cast("long").alias("_shift"))
-    done = []
-    while not active.isEmpty():
-        here = active.withColumn("_chunk", F.floor((F.col("_p") - 1) / width).cast("int"))
-        known = chunks.select(F.col("contig").alias(contig), F.col("chunk").alias("_chunk"), "letters")
-        looked = here.join(known, [contig, "_chunk"], "left")
-        until = (F.col("_p") - F.col("_chunk").cast("long") * width).cast("int")
-        moved = F.when((F.col("_p") > 0) & (F.length("letters") >= until), matching(F.col("letters"), until, F.col("_back"), F.col("_shift"))).otherwise(0)
-        looked = looked.select("_id", contig, "_back", "_p", "_shift", moved.alias("_moved"), ((F.col("_chunk") > 0) & (F.col("_moved") == until)).alias("_on"))
-        step = cut(looked.select("_id", contig, "_back", (F.col("_p") - F.col("_moved")).alias("_p"), (F.col("_shift") + F.col("_moved")).alias("_shift"), "_on"))
-        done.append(step.where("not _on").select("_id", F.col("_p").alias("_to"), "_shift"))
-        active = step.where("_on").drop("_on")
-    if not done:
-        return _stated(rows, df, pos, ref, alt)
-    out = rows.join(reduce(DataFrame.union, done), "_id", "left")
-    k, turn = F.length("_unit"), (F.col("_shift") % F.length("_unit")).cast("int")
-    unit = F.concat(F.right("_unit", turn), F.left("_unit", k - turn))
-    deletion = F.length("_t.ref") > F.length("_t.alt")
-    beside = F.when(F.col("_to") > 0, F.col("_to")).otherwise(F.when(deletion, k + 1).otherwise(F.lit(1)))
-    out = out.withColumns({"_unit": unit, "_deletion": deletion, "_beside": beside}).withColumn("_chunk", F.floor((F.col("_beside") - 1) / width).cast("int"))
-    out = out.join(chunks.select(F.col("contig").alias(contig), F.col("chunk").alias("_chunk"), "letters"), [contig, "_chunk"], "left")
+    rows = rows.withColumn("_back", F.reverse(F.when(behind, F.right(longer, n)).when(before, F.left(longer, n)))).withColumn("_p", F.when(before, F.col("_t.pos") - 1).otherwise(F.col("_t.pos")).cast("long"))
+    rows = rows.withColumn("_deletion", F.length("_t.ref") > F.length("_t.alt")).withColumn("_shift", F.lit(0).cast("long"))
+    known, own = chunks.select(F.col("contig").alias(contig), F.col("chunk").alias("_chunk"), "letters"), [*df.columns, "_t", "_back", "_deletion"]
+    k, chunk = F.length("_back"), lambda place: F.floor((place - 1) / width).cast("int")
+    until = (F.col("_p") - F.col("_chunk").cast("long") * width).cast("int")
+    held = F.length(F.substring("letters", until, F.lit(1))) == 1  # the chunk has this place
+    moved = F.when((F.col("_p") > 0) & held, matching(F.col("letters"), until, F.col("_back"), F.col("_shift"))).otherwise(0)
+    beside = F.when(F.col("_p") > 0, F.col("_p")).otherwise(F.when(F.col("_deletion"), k + 1).otherwise(F.lit(1)))
     letter = F.substring("letters", (F.col("_beside") - F.col("_chunk").cast("long") * width).cast("int"), F.lit(1))
-    long = F.when(F.col("_to") > 0, F.concat(letter, "_unit")).otherwise(F.concat("_unit", letter))
-    stated = F.struct(F.greatest("_to", F.lit(1)).alias("pos"), F.when(F.col("_deletion"), long).otherwise(letter).alias("ref"), F.when(F.col("_deletion"), letter).otherwise(long).alias("alt"))
-    found = F.col("_moves") & F.col("letters").isNotNull() & (letter != "")
-    return _stated(out.withColumn("_t", F.when(found, stated).otherwise(F.struct(F.col("_t.pos").cast("long").alias("pos"), "_t.ref", "_t.alt"))), df, pos, ref, alt)
+    active, done = rows.where("_back is not null"), [rows.where("_back is null")]
+    while True:
+        looked = active.withColumn("_chunk", chunk(F.col("_p"))).join(known, [contig, "_chunk"], "left").withColumn("_moved", moved)
+        looked = looked.withColumn("_on", F.coalesce((F.col("_chunk") > 0) & (F.col("_moved") == until), F.lit(False)))
+        looked = looked.withColumns({"_p": F.col("_p") - F.col("_moved"), "_shift": F.col("_shift") + F.col("_moved")}).withColumn("_beside", beside)
+        step = written(looked.select(*own, "_p", "_shift", "_on", "_beside", F.when(~F.col("_on"), F.when(chunk(F.col("_beside")) == F.col("_chunk"), letter)).alias("_letter")))
+        done.append(step.where("not _on and _letter is not null"))
+        elsewhere = step.where("not _on and _letter is null").drop("_letter").withColumn("_chunk", chunk(F.col("_beside"))).join(known, [contig, "_chunk"], "left")
+        done.append(elsewhere.withColumn("_letter", letter))
+        going = step.where("_on")
+        if going.isEmpty():
+            break
+        active = going.select(*own, "_p", "_shift")
+    turn = (F.col("_shift") % k).cast("int")
+    ahead = F.reverse("_back")
+    unit = F.concat(F.right(ahead, turn), F.left(ahead, k - turn))
+    out = reduce(DataFrame.unionByName, [part.select(*own, "_p", unit.alias("_unit"), "_letter") for part in done[1:]])
+    long = F.when(F.col("_p") > 0, F.concat("_letter", "_unit")).otherwise(F.concat("_unit", "_letter"))
+    stated = F.struct(F.greatest("_p", F.lit(1)).alias("pos"), F.when(F.col("_deletion"), long).otherwise(F.col("_letter")).alias("ref"), F.when(F.col("_deletion"), F.col("_letter")).otherwise(long).alias("alt"))
+    plain = F.struct(F.col("_t.pos").cast("long").alias("pos"), "_t.ref", "_t.alt")
+    out = out.withColumn("_t", F.when(F.col("_letter") != "", stated).otherwise(plain)).select(*df.columns, "_t")
+    return _stated(out.unionByName(done[0].select(*df.columns, plain.alias("_t"))), df, pos, ref, alt)
 
 
 def _stated(out: DataFrame, df: DataFrame, pos: str, ref: str, alt: str) -> DataFrame:

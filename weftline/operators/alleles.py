@@ -32,6 +32,8 @@ def primitives(df: DataFrame, pos: str, ref: str, alt: str) -> DataFrame:
 
 def trimmed(pos: Column, ref: Column, alt: Column) -> Column:
     """The shortest equal statement, as a struct (pos, ref, alt): the common end goes first, then the common beginning; both keep one letter."""
+    shortest = F.least(F.length(ref), F.length(alt)) <= 1
+    whole = F.struct((pos + F.lit(0)).alias("pos"), ref.alias("ref"), alt.alias("alt"))
 
     def shared(a: Column, b: Column, part) -> Column:
         lengths = F.sequence(F.lit(0), F.greatest(F.least(F.length(a), F.length(b)) - 1, F.lit(0)))
@@ -40,7 +42,8 @@ def trimmed(pos: Column, ref: Column, alt: Column) -> Column:
     tail = shared(ref, alt, lambda s, k: F.substring(s, F.length(s) - k + 1, k))
     ref, alt = F.substring(ref, F.lit(1), F.length(ref) - tail), F.substring(alt, F.lit(1), F.length(alt) - tail)
     head = shared(ref, alt, lambda s, k: F.substring(s, F.lit(1), k))
-    return F.struct((pos + head).alias("pos"), F.substring(ref, head + 1, F.length(ref)).alias("ref"), F.substring(alt, head + 1, F.length(alt)).alias("alt"))
+    cut = F.struct((pos + head).alias("pos"), F.substring(ref, head + 1, F.length(ref)).alias("ref"), F.substring(alt, head + 1, F.length(alt)).alias("alt"))
+    return F.when(shortest, whole).otherwise(cut)
 
 
 def best_per_key(df: DataFrame, key: list[str], order: list, n: int) -> DataFrame:
