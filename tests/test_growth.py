@@ -171,6 +171,23 @@ def test_optical_rows_are_exchanged_once(spark, monkeypatch, distance):
     assert got == sorted(map(tuple, want.collect())) and {r[-1] for r in got} == {True, False}
 
 
+@pytest.mark.parametrize("edits", [1, 2])
+def test_families_link_each_code_to_one(spark, monkeypatch, edits):
+    """Codes of several lengths, nulls, none: families as by all pairs, with no more edges than places of codes for one edit."""
+    dice = random.Random(edits)
+    rows = [(dice.choice("ab"), "".join(dice.choice("ACGT") for _ in range(dice.choice([0, 1, 3, 6])))) for _ in range(160)] + [(None, "AC"), ("a", None)]
+    seen, connected = [], barcodes.graph.connected
+    monkeypatch.setattr(barcodes.graph, "connected", lambda e: seen.append(e.count()) or connected(e))
+    got = {(r["k"], r["u"]): (r["n"], r["family"]) for r in barcodes.families(spark.createDataFrame(rows, "k string, u string"), ["k"], "u", "edit", edits).collect()}
+    codes = Counter(r for r in rows if None not in r)
+    near = lambda a, b: a[0] == b[0] and len(a[1]) == len(b[1]) and sum(p != q for p, q in zip(a[1], b[1])) <= edits
+    family = {c: c[1] for c in codes}
+    while any(family[a] > family[b] for a in codes for b in codes if near(a, b)):
+        family = {a: min(family[b] for b in codes if near(a, b)) for a in codes}
+    assert got == {c: (n, family[c]) for c, n in codes.items()}
+    assert edits > 1 or seen[0] <= sum(len(c[1]) for c in codes)
+
+
 def test_changes_meet_their_chunk_once(spark, monkeypatch):
     """A change that stays within its chunk is written once with all its columns, and isn't joined again by a number of its own."""
     from weftline.operators import alignment

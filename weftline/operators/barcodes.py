@@ -1,7 +1,7 @@
 """Short codes with errors: the nearest known code, and families of codes that differ by errors.
 
 Candidates meet by equi-joins on pieces of the codes, so no pair is formed that has
-nothing in common: codes that differ in at most k places agree in one of k + 1 pieces.
+nothing in common: codes that differ in at most k places agree in one of k + 1 pieces. Codes that differ in one place agree in what is left without it.
 """
 
 from __future__ import annotations
@@ -29,6 +29,12 @@ def pieces(code: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), piece)
 
 
+def without_one(code: Column) -> Column:
+    """(place, text) for each place of a code: the code without it."""
+    each = F.transform(F.sequence(F.lit(1), F.length(code)), lambda i: F.struct(i.alias("place"), F.concat(F.left(code, i - 1), F.substring(code, i + 1, F.length(code))).alias("text")))
+    return F.when(F.length(code) > 0, each)
+
+
 def candidates(a: DataFrame, b: DataFrame, x: str, y: str, most: int, key: list[str] | None = None) -> DataFrame:
     """Pairs (key, x, y) of codes of one length that may differ in at most ``most`` places."""
     key = key or []
@@ -68,17 +74,28 @@ def families(df: DataFrame, key: list[str], code: str, strategy: str = "adjacenc
     counts = df.groupBy(*key, code).agg(F.count(F.lit(1)).alias("n"))
     if strategy == "identity":
         return counts.withColumn("family", F.col(code))
-    node = F.struct(*key, code)
+    if strategy not in ("edit", "adjacency"):
+        raise ValueError(f"no such strategy: {strategy}")
+    node, counts = F.struct(*key, code), counts.dropna(subset=[*key, code])
     other = counts.select(*key, F.col(code).alias("_other"), F.col("n").alias("_m"))
-    near = candidates(counts.select(*key, code), other.select(*key, "_other"), code, "_other", edits, key)
-    near = near.where(F.col(code) != F.col("_other")).where(places_apart(F.col(code), F.col("_other")) <= edits)
-    near = near.join(counts, [*key, code]).join(other, [*key, "_other"])
+    if edits == 1 and strategy == "edit":
+        # All codes of one rest are linked, so each is linked to the least: as many edges as places, however many codes meet.
+        spots = counts.select(*key, code, F.explode(without_one(F.col(code))).alias("_spot"))
+        near = spots.join(spots.groupBy(*key, "_spot").agg(F.min(code).alias("_other")), [*key, "_spot"]).where(F.col(code) != F.col("_other"))
+    elif edits == 1:
+        spots = counts.withColumn("_spot", F.explode(without_one(F.col(code))))
+        near = spots.join(other.withColumn("_spot", F.explode(without_one(F.col("_other")))), [*key, "_spot"]).where(F.col(code) != F.col("_other"))
+    else:
+        near = candidates(counts.select(*key, code), other.select(*key, "_other"), code, "_other", edits, key)
+        near = near.where(F.col(code) != F.col("_other")).where(places_apart(F.col(code), F.col("_other")) <= edits)
+        near = near.join(counts, [*key, code]).join(other, [*key, "_other"])
     if strategy == "adjacency":
         near = near.where("n >= 2 * _m - 1")
-    elif strategy != "edit":
-        raise ValueError(f"no such strategy: {strategy}")
     edges = near.select(node.alias("src"), F.struct(*key, F.col("_other").alias(code)).alias("dst"))
-    order = F.struct((-F.col("n")).alias("rank") if strategy == "adjacency" else F.lit(0).cast("long").alias("rank"), F.col(code).alias("code"))
+    if strategy == "edit":
+        linked = graph.connected(edges).select(*[F.col(f"node.{c}").alias(c) for c in [*key, code]], F.col(f"component.{code}").alias("_family"))
+        return counts.join(linked, [*key, code], "left").withColumn("family", F.coalesce("_family", code)).drop("_family")
+    order = F.struct((-F.col("n")).alias("rank"), F.col(code).alias("code"))
     spread = graph.spread(edges, counts.select(node.alias("node"), order.alias("label")))
     named = spread.select(*[F.col(f"node.{c}").alias(c) for c in [*key, code]], F.col("label.code").alias("family"))
     return counts.join(named, [*key, code])
