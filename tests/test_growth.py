@@ -59,6 +59,52 @@ def test_line_breaks_are_no_letters(spark, tmp_path):
         spark.createDataFrame([("8M\n",)], "e string").select(edits.parse(F.col("e"))).collect()
 
 
+def test_calls_read_texts_once(spark, monkeypatch):
+    """Calls and chunks read each text once, no text lies beside its places, and what moved is read from the file of moves."""
+    import re
+
+    from weftline import catalog
+    from weftline.operators import alignment
+
+    seen, written = [], alignment.written
+    monkeypatch.setattr(alignment, "written", lambda df: seen.append(plan(df)) or written(df))
+    out = plan(catalog.queries()["f_call_chain"](spark, "/root/testdata/sf0.001"))
+    assert len(seen) == 1 and seen[0].count("doc_id:bigint,text:string") == 2 and "FileScan" in out and "doc_id:bigint,text:string" not in out
+    carried = re.findall(r"Generate posexplode\(.*\), \[([^]]*)\], false", seen[0])
+    assert len(carried) >= 3 and not any("text#" in c for c in carried)
+
+
+def test_calls_move_over_chunks(spark, monkeypatch, tmp_path):
+    """Texts of 5 to 16 letters, wide letters, a repeat longer than a chunk, null and empty texts: as the SQL says, with texts read for the first round and once for all others."""
+    import duckdb
+
+    from weftline import catalog
+    from weftline.operators import alignment
+
+    seen, written = [], alignment.written
+    monkeypatch.setattr(alignment, "written", lambda df: seen.append(plan(df)) or written(df))
+    texts = ["ABCDEFGHIJKLMNOP"[:n] for n in range(5, 17)] + ["漢é😀a" * 50 + "acfacfacf" * 60, "x\n" + "ac" * 2200, "Kk" * 80, "abc\r\n" * 90, "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    out, want = catalog.queries()["f_call_chain"](spark, str(tmp_path)), db.sql(catalog.oracle_sql()["f_call_chain"])
+    got = sorted(map(tuple, out.select(*want.columns).collect()))
+    assert got == sorted(want.fetchall()) and any(r[0] == 13 for r in got)
+    assert len(seen) == 4 and [s.count("doc_id:bigint,text:string") for s in seen] == [2, 0, 1, 0]
+
+
+def test_other_alternatives_stay(spark):
+    """Alternatives that aren't letters are neither split, trimmed nor moved, whatever their length, by the one way that all records go."""
+    from weftline.operators import alignment
+
+    chunks = alignment.chunked(spark.createDataFrame([("c", "XYAAAABB")], "contig string, text string"), "contig", "text")
+    rows = [("c", 3, "aaa", ["<*>", "AAB"], 9.0, [1, 2]), ("c", 5, "AA", ["A"], 9.0, [1, None]), ("c", 6, "A", ["*"], 9.0, [1, 1]), (None, 5, "AA", ["A"], 9.0, [0, 1]), ("c", 90, "AA", ["A"], 9.0, [1, 0])]
+    df = spark.createDataFrame(rows, "contig string, pos long, ref string, alts array<string>, qual double, chosen array<int>")
+    want = [("c", 2, "YA", "Y", [0], 1, 1), ("c", 3, "AAA", "<*>", [0], 1, 2), ("c", 5, "A", "B", [1], 1, 2), ("c", 6, "A", "*", [0, 1], 2, 2), ("c", 90, "AA", "A", [0], 1, 2), (None, 5, "AA", "A", [1], 1, 2)]
+    assert sorted(map(tuple, variants.cleaned_calls(df, chunks).collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_letters_are_not_exchanged(spark):
     """Reads of a group meet once; two strands, both calls and the filter of groups need no exchange of letters."""
     rows = spark.createDataFrame([(k % 5, "AB"[k % 2], "ACGTA", [30, 20, 40, 11, 5]) for k in range(60)], "g int, strand string, seq string, quals array<int>")

@@ -260,15 +260,18 @@ x AS (SELECT doc_id, pos, ref, alt, samples, ns FROM p UNION ALL SELECT doc_id,
 SELECT doc_id AS contig, pos::BIGINT AS pos, ref, alt, array_to_string(list_sort(list_distinct(flatten(list(samples)))), ',') AS samples, len(list_distinct(flatten(list(samples))))::INT AS ac, max(ns)::INT AS ns FROM x WHERE ref <> alt GROUP BY 1, 2, 3, 4""")
 def f_call_chain(spark, sf_dir):
     """Calls at every 131st place that lies within a word: another first and last letter, two letters gone, two letters twice."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.translate("text", *_BIG).alias("text"))
-    n = F.length("text")
-    at = docs.where(n >= 8).select("doc_id", "text", F.explode(F.sequence(F.lit(3), n - 5, F.lit(131))).alias("spot")).where(F.substring("text", F.col("spot") - 1, F.lit(4)).rlike(r"^[A-Za-z]+\z"))
-    spot, before = F.col("spot"), F.substring("text", F.col("spot") - 1, F.lit(1))
-    at = at.withColumn("ref", mask_ambiguous(F.substring("text", spot, F.lit(3)))).withColumn("before", before)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n, spot = F.length("text"), F.col("spot")
+    # One pass takes the four letters around each place that has three more behind; with a text, or its length, beside each of its places the work grows with the square of the length.
+    around = F.regexp_extract_all(F.substring("text", F.lit(2), n), F.lit("(?s)(.{4})(?=.{3}).{0,127}"), F.lit(1))
+    at = docs.select("doc_id", F.posexplode(around).alias("k", "around")).where(F.col("around").rlike(r"^[A-Za-z]+\z")).withColumn("spot", F.col("k") * 131 + 3)
+    at = at.withColumn("ref", mask_ambiguous(F.right("around", F.lit(3)))).withColumn("before", F.upper(F.left("around", F.lit(1))))
     second, last = F.substring("ref", 2, 1), F.substring("ref", 2, 2)
     chosen = F.array(spot % 4, F.floor(spot / 4).cast("int") % 4, F.when(spot % 5 != 0, F.floor(spot / 16).cast("int") % 4))
     calls = at.select(F.col("doc_id").alias("contig"), spot.cast("long").alias("pos"), "ref", F.array(F.concat("before", second, F.lit("q")), F.left("ref", F.lit(1)), F.concat("ref", last)).alias("alts"), (spot % 17).alias("qual"), chosen.alias("chosen"))
-    out = variants.cleaned_calls(calls, alignment.chunked(docs, "doc_id", "text"))
+    letters = F.col("letters")  # translate is slow, and plain letters are what upper changes of ASCII
+    big = F.when(F.octet_length(letters) == F.length(letters), F.upper(letters)).otherwise(F.translate(letters, *_BIG))
+    out = variants.cleaned_calls(calls, alignment.chunked(docs, "doc_id", "text").withColumn("letters", big))
     return out.withColumn("samples", F.array_join(F.col("samples").cast("array<string>"), ","))
 
 

@@ -2,7 +2,8 @@
 
 An insertion or deletion of a unit can move left over every letter that ends the unit as it turns: how far is the common
 beginning of the reference read backwards and of the unit read backwards over and over. A record meets the chunk that holds its place once, and mostly
-finds the letter beside its new place there too; only one that matches a chunk's whole beginning goes on to the chunk before, in a further round.
+finds the letter beside its new place there too; only one that matches a chunk's whole beginning goes on to the chunk before, in a further round, which reads
+the chunks of such records' contigs alone.
 """
 
 from __future__ import annotations
@@ -37,62 +38,72 @@ def turned(unit: Column, shift: Column, n: Column) -> Column:
     return F.substring(F.repeat(unit, (n / k).cast("int") + 2), (shift % k).cast("int") + 1, n)
 
 
-def matching(letters: Column, until: Column, unit: Column, shift: Column) -> Column:
-    """How many letters of ``letters`` before and at place ``until``, read backwards, ``unit`` repeats from ``shift`` on. The nearest few are compared first."""
+def matching(letters: Column, until: Column, near: Column, unit: Column, shift: Column) -> Column:
+    """How many letters of ``letters`` before and at place ``until``, read backwards, ``unit`` repeats from ``shift`` on. ``near``, the nearest ``FIRST`` of them, are compared first."""
+    few = F.least(until, F.lit(FIRST))
 
-    def compared(n: Column) -> Column:
-        pair = F.struct(F.reverse(F.substring(letters, until - n + 1, n)).alias("a"), turned(unit, shift, n).alias("b"))
+    def compared(text: Column, n: Column) -> Column:
+        pair = F.struct(F.reverse(text).alias("a"), turned(unit, shift, n).alias("b"))
         return let(pair, lambda p: F.when(p["a"] == p["b"], n).otherwise(common_start(p["a"], p["b"])))
 
-    near = F.least(until, F.lit(FIRST))
-    return let(compared(near), lambda m: F.when((m < near) | (near == until), m).otherwise(compared(until)))
+    whole = F.when(few == until, few).otherwise(compared(F.left(letters, until), until))
+    return F.when(F.right(near, F.lit(1)) != turned(unit, shift, F.lit(1)), 0).otherwise(let(compared(near, few), lambda m: F.when(m < few, m).otherwise(whole)))
 
 
-def left_aligned(df: DataFrame, chunks: DataFrame, pos: str = "pos", ref: str = "ref", alt: str = "alt", contig: str = "contig", width: int = WIDTH) -> DataFrame:
+def left_aligned(df: DataFrame, chunks: DataFrame, pos: str = "pos", ref: str = "ref", alt: str = "alt", contig: str = "contig", width: int = WIDTH, where: Column | None = None) -> DataFrame:
     """Records with the shortest statement of their change (``pos``, ``ref``, ``alt``) at its leftmost place.
 
     Changes of several letters for several others, and of one for one, are only trimmed. An insertion or deletion has the letter before it in front; at the
-    beginning of a contig the letter behind it follows. Positions count from 1. A record of a contig that ``chunks`` hasn't stays where it is.
+    beginning of a contig the letter behind it follows. Positions count from 1. A record of a contig that ``chunks`` hasn't stays where it is, and one for which ``where`` doesn't hold stays as it is.
+    ``df`` is worked out once: all its records, those that can't move too, go through the join with the chunks.
     """
-    at = trimmed(F.col(pos), F.col(ref), F.col(alt))
-    rows = df.withColumn("_t", at)
+    meant = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    given = F.struct((F.col(pos) + F.lit(0)).alias("pos"), F.col(ref).alias("ref"), F.col(alt).alias("alt"))
+    rows = df.withColumn("_t", F.when(meant, trimmed(F.col(pos), F.col(ref), F.col(alt))).otherwise(given))
     r, a = F.col("_t.ref"), F.col("_t.alt")
     longer, shorter = F.when(F.length(r) > F.length(a), r).otherwise(a), F.when(F.length(r) > F.length(a), a).otherwise(r)
-    simple = (F.length(r) != F.length(a)) & (F.length(shorter) == 1)
+    simple = meant & (F.length(r) != F.length(a)) & (F.length(shorter) == 1)
     behind = simple & (F.left(longer, F.lit(1)) == shorter)
     before = simple & ~behind & (F.right(longer, F.lit(1)) == shorter)
     n = F.length(longer) - 1
     rows = rows.withColumn("_back", F.reverse(F.when(behind, F.right(longer, n)).when(before, F.left(longer, n)))).withColumn("_p", F.when(before, F.col("_t.pos") - 1).otherwise(F.col("_t.pos")).cast("long"))
     rows = rows.withColumn("_deletion", F.length("_t.ref") > F.length("_t.alt")).withColumn("_shift", F.lit(0).cast("long"))
-    known, own = chunks.select(F.col("contig").alias(contig), F.col("chunk").alias("_chunk"), "letters"), [*df.columns, "_t", "_back", "_deletion"]
-    k, chunk = F.length("_back"), lambda place: F.floor((place - 1) / width).cast("int")
-    until = (F.col("_p") - F.col("_chunk").cast("long") * width).cast("int")
-    held = F.length(F.substring("letters", until, F.lit(1))) == 1  # the chunk has this place
-    moved = F.when((F.col("_p") > 0) & held, matching(F.col("letters"), until, F.col("_back"), F.col("_shift"))).otherwise(0)
-    beside = F.when(F.col("_p") > 0, F.col("_p")).otherwise(F.when(F.col("_deletion"), k + 1).otherwise(F.lit(1)))
-    letter = F.substring("letters", (F.col("_beside") - F.col("_chunk").cast("long") * width).cast("int"), F.lit(1))
-    active, done = rows.where("_back is not null"), [rows.where("_back is null")]
+    known, own = chunks.select(F.col("contig").alias(contig), F.col("chunk").alias("_chunk"), "letters"), [*[c for c in df.columns if c not in (pos, ref, alt)], "_t", "_back", "_deletion"]
+    k, chunk = F.length("_back"), lambda place: F.greatest(F.floor((place - 1) / width), F.lit(0)).cast("int")
+    spot = lambda place: (place - F.col("_chunk").cast("long") * width).cast("int")
+    until = spot(F.col("_p"))
+    few = F.least(until, F.lit(FIRST))
+    near = F.when(F.col("_back").isNotNull() & (F.col("_p") > 0), F.substring("letters", until - few + 1, few))
+    held = F.length("_near") == few  # the chunk has this place
+    moved = F.when(held, matching(F.col("letters"), until, F.col("_near"), F.col("_back"), F.col("_shift"))).otherwise(0)
+    beside = F.when(F.col("_p") > F.col("_moved"), F.col("_p") - F.col("_moved")).otherwise(F.when(F.col("_deletion"), k + 1).otherwise(F.lit(1)))
+    at_hand = F.when(F.col("_moved") < few, F.substring("_near", few - F.col("_moved"), F.lit(1))).otherwise(F.substring("letters", spot(F.col("_beside")), F.lit(1)))
+    of = lambda texts, some: texts.join(some.select(contig).distinct(), contig, "left_semi")
+    active, done, first = rows, [], known
     while True:
-        looked = active.withColumn("_chunk", chunk(F.col("_p"))).join(known, [contig, "_chunk"], "left").withColumn("_moved", moved)
-        looked = looked.withColumn("_on", F.coalesce((F.col("_chunk") > 0) & (F.col("_moved") == until), F.lit(False)))
-        looked = looked.withColumns({"_p": F.col("_p") - F.col("_moved"), "_shift": F.col("_shift") + F.col("_moved")}).withColumn("_beside", beside)
-        step = written(looked.select(*own, "_p", "_shift", "_on", "_beside", F.when(~F.col("_on"), F.when(chunk(F.col("_beside")) == F.col("_chunk"), letter)).alias("_letter")))
-        done.append(step.where("not _on and _letter is not null"))
-        elsewhere = step.where("not _on and _letter is null").drop("_letter").withColumn("_chunk", chunk(F.col("_beside"))).join(known, [contig, "_chunk"], "left")
-        done.append(elsewhere.withColumn("_letter", letter))
-        going = step.where("_on")
-        if going.isEmpty():
+        looked = active.withColumn("_chunk", chunk(F.col("_p"))).join(known, [contig, "_chunk"], "left").withColumn("_near", near).withColumn("_moved", moved).withColumn("_beside", beside)
+        on = F.coalesce((F.col("_chunk") > 0) & (F.col("_moved") == until), F.lit(False))
+        away = F.when(F.col("_back").isNotNull() & ~on & (chunk(F.col("_beside")) != F.col("_chunk")), F.col("_beside").cast("long"))
+        letter = F.when(F.col("_back").isNotNull() & ~on & away.isNull(), at_hand)
+        step = written(looked.select(*own, (F.col("_p") - F.col("_moved")).alias("_p"), (F.col("_shift") + F.col("_moved")).alias("_shift"), on.alias("_on"), away.alias("_away"), letter.alias("_letter")))
+        done.append(step.where("not _on and _away is null").drop("_on", "_away"))
+        some = step.agg(F.bool_or("_on").alias("on"), F.count("_away").alias("away")).first()
+        if some["away"]:
+            far = step.where("_away is not null").withColumn("_chunk", chunk(F.col("_away")))
+            found = far.join(of(known, far), [contig, "_chunk"], "left").withColumn("_letter", F.substring("letters", spot(F.col("_away")), F.lit(1)))
+            done.append(found.select(done[0].columns))
+        if not some["on"]:
             break
-        active = going.select(*own, "_p", "_shift")
+        active = written(step.where("_on").select(*own, "_p", "_shift"))
+        known = known if known is not first else written(of(known, active))
     turn = (F.col("_shift") % k).cast("int")
     ahead = F.reverse("_back")
     unit = F.concat(F.right(ahead, turn), F.left(ahead, k - turn))
-    out = reduce(DataFrame.unionByName, [part.select(*own, "_p", unit.alias("_unit"), "_letter") for part in done[1:]])
+    out = reduce(DataFrame.unionByName, done).withColumn("_unit", unit)
     long = F.when(F.col("_p") > 0, F.concat("_letter", "_unit")).otherwise(F.concat("_unit", "_letter"))
     stated = F.struct(F.greatest("_p", F.lit(1)).alias("pos"), F.when(F.col("_deletion"), long).otherwise(F.col("_letter")).alias("ref"), F.when(F.col("_deletion"), F.col("_letter")).otherwise(long).alias("alt"))
     plain = F.struct(F.col("_t.pos").cast("long").alias("pos"), "_t.ref", "_t.alt")
-    out = out.withColumn("_t", F.when(F.col("_letter") != "", stated).otherwise(plain)).select(*df.columns, "_t")
-    return _stated(out.unionByName(done[0].select(*df.columns, plain.alias("_t"))), df, pos, ref, alt)
+    return _stated(out.withColumn("_t", F.when(F.col("_letter") != "", stated).otherwise(plain)), df, pos, ref, alt)
 
 
 def _stated(out: DataFrame, df: DataFrame, pos: str, ref: str, alt: str) -> DataFrame:

@@ -21,11 +21,12 @@ def allele_counts(alts: Column, chosen: Column) -> Column:
     return F.transform(alts, lambda _, i: F.size(F.filter(chosen, lambda g: g.eqNullSafe(i + 1))))
 
 
-def primitives(df: DataFrame, pos: str, ref: str, alt: str) -> DataFrame:
-    """One row for each place where ``ref`` and ``alt``, of one length, differ; rows of unlike lengths stay whole."""
+def primitives(df: DataFrame, pos: str, ref: str, alt: str, where: Column | None = None) -> DataFrame:
+    """One row for each place where ``ref`` and ``alt``, of one length, differ; rows of unlike lengths, and those for which ``where`` doesn't hold, stay whole."""
     one = F.struct(F.lit(0).alias("at"), F.col(ref).alias("ref"), F.col(alt).alias("alt"))
     each = F.transform(F.sequence(F.lit(0), F.length(ref) - 1), lambda i: F.struct(i.alias("at"), F.substring(ref, i + 1, F.lit(1)).alias("ref"), F.substring(alt, i + 1, F.lit(1)).alias("alt")))
-    pieces = F.when(F.length(ref) == F.length(alt), F.filter(each, lambda p: p["ref"] != p["alt"])).otherwise(F.array(one))
+    apart = F.length(ref) == F.length(alt)
+    pieces = F.when(apart if where is None else where & apart, F.filter(each, lambda p: p["ref"] != p["alt"])).otherwise(F.array(one))
     rest = [c for c in df.columns if c not in (pos, ref, alt)]
     return df.withColumn("_piece", F.explode(pieces)).select(*rest, (F.col(pos) + F.col("_piece.at")).alias(pos), F.col("_piece.ref").alias(ref), F.col("_piece.alt").alias(alt))
 

@@ -48,12 +48,11 @@ def cleaned_calls(calls: DataFrame, chunks: DataFrame, min_qual: float = 5, widt
     move to their leftmost place over ``chunks`` of the reference; what states one change twice becomes one row, and what equals the reference goes.
     """
     kept = calls.where((F.col("qual") > min_qual) | F.coalesce(F.array_contains("alts", "<*>"), F.lit(False)))
-    kept = kept.select("contig", "pos", mask_ambiguous(F.col("ref")).alias("ref"), "chosen", F.posexplode("alts").alias("_k", "alt"))
+    kept = kept.select("contig", "pos", mask_ambiguous(F.col("ref")).alias("ref"), "chosen", F.size(F.filter("chosen", lambda g: g.isNotNull())).alias("ns"), F.posexplode("alts").alias("_k", "alt"))
+    kept = kept.where(F.array_contains("chosen", F.col("_k") + 1) & F.col("alt").isNotNull() & ~F.col("alt").isin("", "."))
     who = F.filter(F.transform("chosen", lambda g, i: F.when(g.eqNullSafe(F.col("_k") + 1), i)), lambda i: i.isNotNull())
-    kept = kept.withColumn("samples", who).withColumn("ns", F.size(F.filter("chosen", lambda g: g.isNotNull())))
-    kept = kept.where((F.size("samples") > 0) & F.col("alt").isNotNull() & ~F.col("alt").isin("", ".")).drop("chosen", "_k")
+    kept = kept.withColumn("samples", who).drop("chosen", "_k")
     plain = F.col("alt").rlike(r"^[A-Za-z]+\z")  # $ would let a last line break pass
-    single = primitives(kept.where(plain), "pos", "ref", "alt").unionByName(kept.where(~plain))
-    moved = alignment.left_aligned(single.where(plain), chunks, width=width).unionByName(single.where(~plain))
+    moved = alignment.left_aligned(primitives(kept, "pos", "ref", "alt", plain), chunks, width=width, where=plain)
     once = moved.where("ref <> alt").groupBy("contig", "pos", "ref", "alt").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("samples")))).alias("samples"), F.max("ns").alias("ns"))
     return once.select("contig", "pos", "ref", "alt", "samples", F.size("samples").alias("ac"), "ns")
